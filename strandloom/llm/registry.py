@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import langid, quality
+from strandloom.llm import langid, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op10_quality": quality.op10_quality,
     }
 
