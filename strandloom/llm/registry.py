@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import langid, pii, quality, toxicity
+from strandloom.llm import langid, packing, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_packing": packing.op6_packing,
         "op7_pii": pii.op7_pii,
         "op10_quality": quality.op10_quality,
     }
