@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import langid, packing, pii, quality, toxicity
+from strandloom.llm import langid, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_pii": pii.op7_pii,
+        "op9_secrets": secrets.op9_secrets,
         "op10_quality": quality.op10_quality,
     }
 
