@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import langid, packing, pii, quality, secrets, toxicity
+from strandloom.llm import langid, minhash, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_near_duplicates": minhash.op2_near_duplicates,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_pii": pii.op7_pii,
