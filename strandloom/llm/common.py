@@ -20,8 +20,14 @@ from pyspark.sql import types as T
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows in one Arrow batch: whole texts are long, and both sides hold a batch in memory.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver got it from a source tree (a cluster gets it installed or by --py-files)."""
+    """Bounds Arrow batches, and lets Python workers import this package where the driver got it from a source tree (a cluster gets it installed or by --py-files)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT in sys.path or any(os.path.abspath(p or ".") == ROOT for p in sys.path):

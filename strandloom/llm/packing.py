@@ -86,31 +86,50 @@ def vectors(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
     return out
 
 
-def curve_keys(texts: list[str | None]) -> np.ndarray:
-    v = vectors(texts)
+def curve_keys(texts: list[str | None], chunk: int = 500_000) -> np.ndarray:
+    """Hilbert keys of the texts, taken some at a time so that memory doesn't grow with the batch."""
+    parts, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > chunk or i + 1 == len(texts):
+            parts.append(vectors(texts[begin : i + 1]))
+            begin, size = i + 1, 0
+    v = np.concatenate(parts) if parts else np.zeros((0, DIMS))
     squeezed = 0.5 + 0.5 * np.tanh(v * 5.0)  # a language's common words shift the mean by about 0.2
     return hilbert(np.minimum((squeezed * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
 class Encoder:
-    """Ids of whole texts by the named public tokenizer."""
+    """Ids of whole texts by the named public tokenizer. The slower library is loaded only once a text needs it."""
 
     def __init__(self, name: str = TOKENIZER):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}  # noqa: SIM115
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.full.encode_special_tokens = True
+        self.name, self.full = name, None
+
+    def plain(self, text: str) -> bool:
+        """Whether both libraries are known to agree, and the faster one to take linear time."""
+        lengths = list(map(len, text.split()))
+        if max(lengths, default=0) > LONG or len(text) - sum(lengths) > len(lengths) + LONG:
+            return False
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            return not OTHER.search(text)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.split()
-        if words and (OTHER.search(text) or max(map(len, words)) > LONG or len(text) - sum(map(len, words)) > len(words) + LONG) or len(text) > LONG and not words:
-            ids = self.full.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array([*ids, END], "<u4")
+        if self.plain(text):
+            return np.array([*self.fast.encode_ordinary(text), END], "<u4")
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
+            self.full.encode_special_tokens = True
+        return np.array([*self.full.encode(text, add_special_tokens=False).ids, END], "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
