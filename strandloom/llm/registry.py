@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import langid, minhash, packing, pii, quality, secrets, toxicity
+from strandloom.llm import embeddings, langid, minhash, packing, pii, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1_language_id,
         "op2_near_duplicates": minhash.op2_near_duplicates,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_embedding_near_duplicates": embeddings.op5_embedding_near_duplicates,
         "op6_packing": packing.op6_packing,
         "op7_pii": pii.op7_pii,
         "op9_secrets": secrets.op9_secrets,
