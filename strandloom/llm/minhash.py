@@ -7,10 +7,11 @@ the same darts hit the same region in every document. A dart falls on one of K c
 each coordinate is the signature. Only about K log K darts are needed, however many shingles a text has.
 
 Signatures are cut into bands. Exact copies are reduced to one representative first, by a digest of the whole text. In each
-bucket of a band every member is compared with the bucket's centre only, and links that hold join components; then members of
-a bucket that are in another component than its centre are compared with all the bucket's members outside their own component.
-After that every pair of a bucket is compared or joined already, so no component is missed, and a group of any size
-takes a number of comparisons in proportion to it, not to its square. Comparisons are exact, on the shingle sets.
+bucket of a band every member is compared with the bucket's centre only, and links that hold join components. Buckets
+whose members are still in several components get another centre, again and again, while that joins many; each round
+compares as many pairs as there are members. What is left, the pairs of different components, is then compared in full. So
+every pair of a bucket is compared or joined already, no component is missed, and a large group of copies takes work in
+proportion to its size, not to its square. Comparisons are exact, on the shingle sets.
 
 Edge cases: null texts and texts without a word are like nothing and form classes of their own; texts of fewer than WORDS
 words are one shingle; rows that repeat a doc_id are the same node; ties go to the smaller doc_id; extra columns don't
@@ -32,7 +33,7 @@ from strandloom.llm.common import Scratch, components, doc_columns, mix64, range
 
 WORDS = 5
 SIMILAR = 0.8
-K, BANDS = 128, 32
+K, BANDS = 100, 25
 TOKEN = re.compile(r"\w+")
 BATCH_SHINGLES = 200_000
 
@@ -80,6 +81,7 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray], k: int = K) ->
     doc = np.repeat(np.arange(docs), [int(c.sum()) for c in cells])
     state = mix64(element + cell.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), 2)
     room = np.minimum(full - cell, 1.0)
+    cut = bool((room < 1).any())
     total = np.array([w.sum() for w in weights])
     limit = k * (np.log(k) + 2) / total
     time = np.zeros(len(state))
@@ -98,19 +100,17 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray], k: int = K) ->
             time[live] = arrival[hit]
             state[live] = stream
             where = mix64(stream, 4)
-            inside = unit_floats(mix64(stream, 5)) < room[live]
-            i = live[inside]
-            found.append((doc[i] * k + (where[inside] % np.uint64(k)).astype(np.int64), time[i], where[inside]))
+            i = live
+            if cut:
+                inside = unit_floats(mix64(stream, 5)) < room[live]
+                i, where = live[inside], where[inside]
+            found.append((doc[i] * k + (where % np.uint64(k)).astype(np.int64), time[i], where))
         slot = np.concatenate([f[0] for f in found])
         when = np.concatenate([f[1] for f in found])
         what = np.concatenate([f[2] for f in found])
-        order = np.lexsort((when, slot))
-        slot, when, what = slot[order], when[order], what[order]
-        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
-        s = slot[first]
-        earlier = when[first] < best.ravel()[s]
-        best.ravel()[s[earlier]] = when[first][earlier]
-        value.ravel()[s[earlier]] = what[first][earlier]
+        np.minimum.at(best.ravel(), slot, when)
+        earliest = when == best.ravel()[slot]
+        value.ravel()[slot[earliest]] = what[earliest]
         short = np.isinf(best).any(1)
         limit = np.where(short, limit * 2, -1.0)
         live = np.concatenate(later) if later else live
@@ -223,22 +223,35 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str =
     lead = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("c")
     centres = keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.rep").alias("centre"))
     full, _ = scratch.keep(keys.join(centres, "band").select("band", "rep", "n", "centre"))
-    first = full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct()
-    first, _ = scratch.keep(first)
-    links, _ = scratch.keep(verified(first, plain, similar, weighting).select("u", "v"))
-    parts, _ = scratch.keep(components(links, scratch))
-    # members outside the centre's component, against all of the bucket outside their own
-    roots = full.join(parts.withColumnsRenamed({"node": "rep", "root": "own"}), "rep", "left").join(parts.withColumnsRenamed({"node": "centre", "root": "main"}), "centre", "left")
-    roots = roots.select("band", "rep", "n", F.coalesce("own", "rep").alias("own"), F.coalesce("main", "centre").alias("main"), "centre")
-    roots, _ = scratch.keep(roots)
-    outside = roots.filter("own <> main").select("band", "rep", "n", "own")
-    every = roots.select("band", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("own").alias("theirs"), (F.col("own") != F.col("main")).alias("out"), "centre")
-    near = (F.least("n", "m") >= similar * F.greatest("n", "m")) if weighting == "one" else F.lit(True)
-    second = outside.join(every.filter("other <> centre"), "band").filter("own <> theirs and (not out or rep < other)").filter(near)
-    second = second.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    second, _ = scratch.keep(second)
-    more = verified(second, plain, similar, weighting).select("u", "v")
-    joined, _ = scratch.keep(components(links.unionByName(more), scratch).select(F.col("node").alias("rep"), "root"))
+    pairs, tried = full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct(), None
+    edges = spark.createDataFrame([], "u long, v long")
+    rows, open_pairs = full.count(), None
+    while True:
+        now, _ = scratch.keep(pairs)
+        edges = components(edges.unionByName(verified(now, plain, similar, weighting).select("u", "v")), scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        edges, _ = scratch.keep(edges)
+        if open_pairs == 0:
+            break
+        tried = now if tried is None else tried.unionByName(now)
+        turn = 0 if open_pairs is None else turn + 1
+        # buckets whose members are in several components, and how many pairs of them are not joined yet
+        roots = full.select("band", "rep", "n").join(edges.select(F.col("u").alias("rep"), F.col("v").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+        each = roots.groupBy("band", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "own")).alias("c"))
+        states = each.groupBy("band").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("joined"), F.min("c").alias("c"), F.count("*").alias("parts")).filter("parts > 1")
+        states, _ = scratch.keep(states)
+        before, open_pairs = open_pairs, int(states.agg(F.sum((F.col("rows") * F.col("rows") - F.col("joined")) / 2)).first()[0] or 0)
+        if not open_pairs:
+            break
+        near = (lambda n, m: F.least(n, m) >= similar * F.greatest(n, m)) if weighting == "one" else (lambda n, m: F.lit(True))
+        some = roots.join(states.select("band", "c"), "band")
+        if open_pairs > 2 * rows and (before is None or open_pairs < 0.9 * before):  # another centre for each open bucket
+            pairs = some.filter(F.col("own") != F.col("c.own")).filter(near("n", "c.n")).select(F.greatest("rep", "c.rep").alias("u"), F.least("rep", "c.rep").alias("v"))
+        else:  # the rest, each pair of different components
+            other = some.select("band", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("own").alias("theirs"))
+            pairs = some.select("band", "rep", "n", "own").join(other, "band").filter("rep > other and own <> theirs").filter(near("n", "m")).select(F.col("rep").alias("u"), F.col("other").alias("v"))
+            open_pairs = 0
+        pairs = pairs.distinct().join(tried, ["u", "v"], "left_anti")
+    joined = edges.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     classes = members.join(joined, "rep", "left").select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
     out = plain.select("doc_id").join(classes, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
