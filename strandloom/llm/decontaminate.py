@@ -33,7 +33,20 @@ JOINED = r"[.,:/](\p{N})"
 OUTSIDE = r"[^\p{L}\p{N}" + START + POINT + r"]+"
 NUMBER = " " + POINT + r"?\p{N}[^ ]*"
 NAME = r" \p{Lu}[^ ]*"
-UNIT = " (" + "|".join(UNITS) + ") "
+
+
+def trie(words: list[str]) -> str:
+    """A pattern for exactly these words that reads each letter once."""
+    first = {}
+    for w in words:
+        if w:
+            first.setdefault(w[0], []).append(w[1:])
+    parts = [c + trie(rest) for c, rest in sorted(first.items())]
+    body = parts[0] if len(parts) == 1 and "" not in words else "(?:" + "|".join(parts) + ")" if parts else ""
+    return body + "?" if body and "" in words else body
+
+
+UNIT = " " + trie(UNITS) + " "
 
 
 def marked(text: Column) -> Column:
@@ -53,18 +66,31 @@ def canonical(words: Column) -> Column:
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
 
 
+def once(c: Column) -> Column:
+    """A column that the optimiser doesn't copy into each place that uses it: it is generated, as the one row of an array."""
+    return F.explode(F.array(c))
+
+
+def words_of(rows: DataFrame, key: str) -> DataFrame:
+    """key, marked words m, canonical words c."""
+    return rows.select(key, once(marked(F.col("text"))).alias("m")).select(key, "m", once(canonical(F.col("m"))).alias("c"))
+
+
+def each_window(f):
+    """f of each window's first word (from 1) of c, in order; none if there are too few words."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - F.lit(WINDOW - 1)))
+    return F.when(F.size("c") >= WINDOW, F.transform(at, f))
+
+
 def windows(rows: DataFrame, key: str) -> DataFrame:
     """key, position (from 0) and hash of each window."""
-    c = rows.select(key, canonical(marked(F.col("text"))).alias("c")).filter(F.size("c") >= WINDOW)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("c") - F.lit(WINDOW - 1)), lambda i: F.xxhash64(F.slice("c", i, WINDOW)))
-    return c.select(key, F.posexplode(hashes).alias("pos", "h"))
+    return words_of(rows, key).select(key, F.posexplode(each_window(lambda i: F.xxhash64(F.slice("c", i, WINDOW)))).alias("pos", "h"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, position, hash and literal words of each window of an item."""
-    c = items.select("item_id", canonical(marked(F.col("text"))).alias("c")).filter(F.size("c") >= WINDOW)
-    at = F.transform(F.sequence(F.lit(1), F.size("c") - F.lit(WINDOW - 1)), lambda i: F.struct(F.xxhash64(F.slice("c", i, WINDOW)).alias("h"), F.size(F.filter(F.slice("c", i, WINDOW), lambda w: ~w.isin("#", "@", "%"))).alias("literal")))
-    return c.select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.literal")
+    at = each_window(lambda i: F.struct(F.xxhash64(F.slice("c", i, WINDOW)).alias("h"), F.size(F.filter(F.slice("c", i, WINDOW), lambda w: ~w.isin("#", "@", "%"))).alias("literal")))
+    return words_of(items, "item_id").select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.literal")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -83,7 +109,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = hits.select("doc_id").distinct()
     if found.count() <= BROADCAST_DOCS:
         found = F.broadcast(found)
-    words = lambda rows, key, name: rows.select(key, F.split(marked(F.col("text")), " ").alias(name), canonical(marked(F.col("text"))).alias("c"))
+    words = lambda rows, key, name: words_of(rows, key).select(key, F.split("m", " ").alias(name), "c")
     texts = words(docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id", "there").drop("c")
     wanted = covered.join(words(items, "item_id", "here"), "item_id").filter(F.col("c")[F.col("at")].isin("#", "@", "%"))
     slots = wanted.select("doc_id", "item_id", "diagonal", "at", F.col("c")[F.col("at")].alias("kind"), F.col("here")[F.col("at")].alias("here")).join(texts, "doc_id")
