@@ -25,6 +25,7 @@ remove; extra columns don't take part; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from strandloom.llm.common import doc_columns, mix64, ship, table
 SPAN, GRAM = 50, 16
 GRAMS = SPAN - GRAM + 1
 WIDTH = SPAN + GRAMS - 1
-BATCH_BYTES = 4_000_000
-BUCKET_ANCHORS = 400_000
+BATCH_BYTES = 1_500_000
+BUCKET_ANCHORS = 150_000
 PERIOD = 16
 POSITION_BITS = 30
 NONE = np.iinfo(np.int64).max
@@ -104,7 +105,7 @@ class Batch:
 
     def distinct(self) -> np.ndarray:
         """Hashes of the anchors, once each; the lowest bit tells whether several documents of the batch have it."""
-        key = self.hash >> np.uint64(1)
+        key = short(self.hash)
         order = np.lexsort((self.ids[self.doc], key))
         k, d = key[order], self.ids[self.doc[order]]
         if not len(k):
@@ -115,7 +116,7 @@ class Batch:
 
     def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
         """For the anchors among shared hashes: order of the anchors, group of each, and for each group its bytes, offsets, smallest id and hash."""
-        pick = np.flatnonzero(member(self.hash >> np.uint64(1), shared))
+        pick = np.flatnonzero(member(short(self.hash), shared))
         rows = self.buf[(self.anchor[pick] - (GRAMS - 1) + WIDTH)[:, None] + np.arange(WIDTH)[None, :]]
         column = np.arange(WIDTH)[None, :]
         rows = np.where((column >= self.low[pick][:, None]) & (column < self.high[pick][:, None] + SPAN), rows, 0).astype(np.uint8)
@@ -134,6 +135,11 @@ class Batch:
         return pick, np.cumsum(new) - 1, wide[at, : WIDTH + 2], self.ids[self.doc[pick[at]]], self.hash[pick[at]]
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """47 bits of each hash: with a mark, six bytes."""
+    return h >> np.uint64(17)
+
+
 def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether each value is among sorted known ones."""
     if not len(known):
@@ -218,11 +224,21 @@ def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def by_bucket(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by bucket (the leading bits), and the bucket of each in that order."""
-    b = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-    order = np.argsort(b, kind="stable")
-    return order, b[order]
+def packed(marked: np.ndarray) -> bytes:
+    """Marked hashes by their low six bytes. They only tell which anchors go on to be compared, so a chance meeting does no harm."""
+    return np.ascontiguousarray(marked.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
+def by_bucket(hashes: np.ndarray, bits: int, of: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash, and the bucket (the leading bits, of so many) of each in that order."""
+    order = np.argsort(hashes, kind="stable")
+    return order, (hashes[order] >> np.uint64(of - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -238,19 +254,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         h = batch_of(rows).distinct()
-        order, b = by_bucket(h, bits)
+        order, b = by_bucket(h, bits, 48)
         at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
         parts = np.split(h[order], at[1:]) if len(b) else []
-        return pa.table({"bucket": pa.array(b[at], pa.int64()), "g": pa.array([key[0].as_py()] * len(parts), pa.int64()), "data": pa.array([blob(p) for p in parts], pa.binary())})
+        return pa.table({"bucket": pa.array(b[at], pa.int64()), "g": pa.array([key[0].as_py()] * len(parts), pa.int64()), "data": pa.array([packed(p) for p in parts], pa.binary())})
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         g = rows.column("g").to_pylist()
-        found = shared_hashes([np.frombuffer(d, np.uint64) for d in rows.column("data").to_pylist()])
-        kept = [(x, blob(f)) for x, f in zip(g, found, strict=True) if len(f)]
+        found = shared_hashes([unpacked(d) for d in rows.column("data").to_pylist()])
+        kept = [(x, packed(f)) for x, f in zip(g, found, strict=True) if len(f)]
         return pa.table({"g": pa.array([x for x, _ in kept], pa.int64()), "data": pa.array([f for _, f in kept], pa.binary())})
 
     def shared_of(t: pa.Table) -> np.ndarray:
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(d, np.uint64) for d in t.column("data").to_pylist()]]))
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *[unpacked(d) for d in t.column("data").to_pylist()]]))
 
     context = "bucket long, g long, rows binary, owners binary, numbers binary"
 
@@ -263,11 +279,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         order, b = by_bucket(h, bits)
         at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
         parts = np.split(order, at[1:]) if len(b) else []
-        return pa.table([pa.array(b[at], pa.int64()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([blob(ctx[p]) for p in parts], pa.binary()), pa.array([blob(owner[p]) for p in parts], pa.binary()), pa.array([blob(p.astype(np.int32)) for p in parts], pa.binary())], names)
+        return pa.table([pa.array(b[at], pa.int64()), pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array([zlib.compress(blob(ctx[p]), 1) for p in parts], pa.binary()), pa.array([blob(owner[p]) for p in parts], pa.binary()), pa.array([blob(p.astype(np.int32)) for p in parts], pa.binary())], names)
 
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         owners = [np.frombuffer(x, np.int64) for x in rows.column("owners").to_pylist()]
-        ctx = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("rows").to_pylist()]).reshape(-1, WIDTH + 2)
+        ctx = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows.column("rows").to_pylist()]).reshape(-1, WIDTH + 2)
         bitmask = earlier(ctx[:, :WIDTH], ctx[:, WIDTH].astype(np.int64), ctx[:, WIDTH + 1].astype(np.int64), np.concatenate(owners))
         parts = np.split(bitmask, np.cumsum([len(o) for o in owners])[:-1])
         kept = [(g, x, p) for g, x, p in zip(rows.column("g").to_pylist(), rows.column("numbers").to_pylist(), parts, strict=True) if p.any()]
