@@ -184,20 +184,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     return fit([features(t) for t, _ in rows], np.array([1 if y else -1 for _, y in rows], dtype=np.int64))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, modulus: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, modulus: int = 5, held: int = 0, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns of docs with held_out, score and predicted of each row."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # 2 ** BITS weights
+    extra = [c for c in columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    kept = [c for c in rows.columns if c in columns]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            s = [m.score(features(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            s = [m.score(features(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(s, pa.float64())], [*kept, "score"])
 
-    out = doc_columns(docs).mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", (fold_remainder("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = rows.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return out.select(*columns, (fold_remainder("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

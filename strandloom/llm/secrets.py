@@ -279,6 +279,31 @@ def redacted(text: str | None, found: list[tuple[int, int, float]]) -> str | Non
     return "".join([*parts, text[at:]])
 
 
+def redact(docs: DataFrame, forest: Forest, columns: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
+    """docs, cut to the named columns, with every secret in text replaced; n_chars, if it is among them, follows where a text changed."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(forest)
+    rows = docs.select(*columns)
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = []
+            for t in b.column(at):
+                text = t.as_py()
+                clean.append(redacted(text, [x for x in findings_of(text, shared.value) if x[2] >= threshold]))
+            cols = list(b.columns)
+            if "n_chars" in columns:
+                k = columns.index("n_chars")
+                n = [x if c is None or c == t.as_py() else len(c) for x, c, t in zip(cols[k].to_pylist(), clean, b.column(at), strict=True)]
+                cols[k] = pa.array(n, cols[k].type)
+            cols[at] = pa.array(clean, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, list(columns))
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: one row each, with spans as text."""
     found = scan(table(spark, sf_dir, "documents"), train())
