@@ -7,11 +7,10 @@ the same darts hit the same region in every document. A dart falls on one of K c
 each coordinate is the signature. Only about K log K darts are needed, however many shingles a text has.
 
 Signatures are cut into bands. Exact copies are reduced to one representative first, by a digest of the whole text. In each
-bucket of a band every member is compared with the bucket's centre only, and links that hold join components. Buckets
-whose members are still in several components get another centre, again and again, while that joins many; each round
-compares as many pairs as there are members. What is left, the pairs of different components, is then compared in full. So
-every pair of a bucket is compared or joined already, no component is missed, and a large group of copies takes work in
-proportion to its size, not to its square. Comparisons are exact, on the shingle sets.
+bucket of a band every member is compared with the bucket's centre, and links that hold join components. Only buckets whose
+members are still in several components go on: their members meet with their sets, in blocks, and a block returns a
+spanning forest of its links. So every pair of a bucket is compared or joined already, no component is missed, and no
+pairs are listed, however large a group is. Comparisons are exact, on the shingle sets.
 
 Edge cases: null texts and texts without a word are like nothing and form classes of their own; texts of fewer than WORDS
 words are one shingle; rows that repeat a doc_id are the same node; ties go to the smaller doc_id; extra columns don't
@@ -207,6 +206,98 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float, weighting: str)
     return joined.mapInArrow(run, "u long, v long, similarity double")
 
 
+BLOCK = 512
+GROUP_BYTES = 6_000_000
+
+
+def blob(h: np.ndarray) -> bytes:
+    """Six bytes of each hash of a set."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unblob(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of the incidence of shared elements, some columns at a time."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    column = np.cumsum(new) - 1
+    several = np.bincount(column) > 1
+    rank = np.cumsum(several) - 1
+    keep = several[column]
+    column, owner = rank[column[keep]], owner[keep]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for begin in range(0, width, 4096):
+        lo, hi = np.searchsorted(column, [begin, begin + 4096])
+        inc = np.zeros((len(sets), min(4096, width - begin)), np.float32)
+        inc[owner[lo:hi], column[lo:hi] - begin] = 1
+        out += inc @ inc.T
+    return out
+
+
+def alike(sets: list[np.ndarray], weights: list[np.ndarray] | None, similar: float) -> np.ndarray:
+    """Which pairs reach the bound."""
+    if weights is not None:
+        return np.array([[i != j and similarity((a, v), (b, w)) >= similar - 1e-12 for j, (b, w) in enumerate(zip(sets, weights, strict=True))] for i, (a, v) in enumerate(zip(sets, weights, strict=True))])
+    n = np.array([len(x) for x in sets], np.float64)
+    both = overlaps(sets).astype(np.float64)
+    out = both >= (similar - 1e-12) * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def compared(members: DataFrame, docs: DataFrame, similar: float, weighting: str, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that join what is alike among the members (band, rep, own, size) of open buckets.
+
+    Each member takes its set along; a bucket of more than BLOCK members becomes pairs of blocks. All pairs of a block are
+    compared where they are, by matrix products, and only a spanning forest of the links is returned, never the pairs.
+    """
+    from strandloom.llm.embeddings import forest
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_hashes(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blob(h) for h, _ in found], pa.binary()), pa.array([b"" if weighting == "one" else c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["rep", "shingles", "counts"])
+
+    texts = texts_of(docs, members.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
+    known, _ = scratch.keep(texts.mapInArrow(sets, "rep long, shingles binary, counts binary"))
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("rep", "own", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = dealt.join(known, "rep")
+    sizes = known.select("rep", (F.length("shingles") + F.length("counts")).alias("bytes"))
+    total = dealt.join(sizes, "rep").agg(F.sum("bytes")).first()[0] or 0
+    groups = max(1, int(total) // GROUP_BYTES)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rep, own, band, i, j = (t.column(c).to_numpy() for c in ("rep", "own", "band", "i", "j"))
+        data, counts = t.column("shingles").to_pylist(), t.column("counts").to_pylist()
+        order = np.lexsort((rep, j, i, band))
+        parts = np.flatnonzero(np.concatenate(([True], (np.diff(band[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)))) if len(order) else []
+        u, v = [], []
+        for part in np.split(order, parts[1:]) if len(order) else []:
+            if len(part) < 2 or (own[part] == own[part[0]]).all():
+                continue
+            hashes = [unblob(data[k]) for k in part]
+            w = None if weighting == "one" else [weigh(np.frombuffer(counts[k], np.int32).astype(np.int64), weighting) for k in part]
+            if w is not None:
+                hashes, w = zip(*[(h[o], x[o]) for h, x in zip(hashes, w, strict=True) for o in [np.argsort(h)]], strict=True)
+            moved, root = forest(alike(list(hashes), w if w is None else list(w), similar))
+            u += rep[part[moved]].tolist()
+            v += rep[part[root]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.withColumn("g", F.pmod(F.xxhash64("band", "i", "j"), F.lit(groups))).groupBy("g").applyInArrow(run, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str = "one") -> DataFrame:
     """doc_id, class_id (smallest doc_id of its group), copy_of (smallest doc_id with the very same text), kept."""
     spark = docs.sparkSession
@@ -223,34 +314,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str =
     lead = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("c")
     centres = keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.rep").alias("centre"))
     full, _ = scratch.keep(keys.join(centres, "band").select("band", "rep", "n", "centre"))
-    pairs, tried = full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct(), None
-    edges = spark.createDataFrame([], "u long, v long")
-    rows, open_pairs = full.count(), None
-    while True:
-        now, _ = scratch.keep(pairs)
-        edges = components(edges.unionByName(verified(now, plain, similar, weighting).select("u", "v")), scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        edges, _ = scratch.keep(edges)
-        if open_pairs == 0:
-            break
-        tried = now if tried is None else tried.unionByName(now)
-        turn = 0 if open_pairs is None else turn + 1
-        # buckets whose members are in several components, and how many pairs of them are not joined yet
-        roots = full.select("band", "rep", "n").join(edges.select(F.col("u").alias("rep"), F.col("v").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-        each = roots.groupBy("band", "own").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "own")).alias("c"))
-        states = each.groupBy("band").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("joined"), F.min("c").alias("c"), F.count("*").alias("parts")).filter("parts > 1")
-        states, _ = scratch.keep(states)
-        before, open_pairs = open_pairs, int(states.agg(F.sum((F.col("rows") * F.col("rows") - F.col("joined")) / 2)).first()[0] or 0)
-        if not open_pairs:
-            break
-        near = (lambda n, m: F.least(n, m) >= similar * F.greatest(n, m)) if weighting == "one" else (lambda n, m: F.lit(True))
-        some = roots.join(states.select("band", "c"), "band")
-        if open_pairs > 2 * rows and (before is None or open_pairs < 0.9 * before):  # another centre for each open bucket
-            pairs = some.filter(F.col("own") != F.col("c.own")).filter(near("n", "c.n")).select(F.greatest("rep", "c.rep").alias("u"), F.least("rep", "c.rep").alias("v"))
-        else:  # the rest, each pair of different components
-            other = some.select("band", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("own").alias("theirs"))
-            pairs = some.select("band", "rep", "n", "own").join(other, "band").filter("rep > other and own <> theirs").filter(near("n", "m")).select(F.col("rep").alias("u"), F.col("other").alias("v"))
-            open_pairs = 0
-        pairs = pairs.distinct().join(tried, ["u", "v"], "left_anti")
+    pairs, _ = scratch.keep(full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct())
+    links = verified(pairs, plain, similar, weighting).select("u", "v")
+    edges, _ = scratch.keep(components(links, scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    roots = full.select("band", "rep").join(edges.select(F.col("u").alias("rep"), F.col("v").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+    states = roots.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size")
+    still, _ = scratch.keep(roots.join(states, "band"))
+    more, _ = scratch.keep(compared(still, plain, similar, weighting, scratch))
+    edges, _ = scratch.keep(components(edges.unionByName(more), scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     joined = edges.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     classes = members.join(joined, "rep", "left").select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
     out = plain.select("doc_id").join(classes, "doc_id", "left")
