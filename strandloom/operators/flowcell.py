@@ -49,6 +49,15 @@ def random_coordinates(df: DataFrame, seed: int, g: Geometry) -> DataFrame:
     return df.withColumn("coordinates", F.struct(draw("tile", g.tile).cast("int").alias("tile"), draw("x", g.x).cast("int").alias("x"), draw("y", g.y).cast("int").alias("y")))
 
 
+def places(seed: int, g: Geometry) -> tuple[int, int]:
+    """Step and shift of the permutation of all places: number times step plus shift, modulo the number of places."""
+    size = math.prod(g.sizes())
+    step = int(rng.uniform_py(seed, "flowcell_step") * size) | 1
+    while math.gcd(step, size) != 1:
+        step += 2
+    return step, int(rng.uniform_py(seed, "flowcell_shift") * size)
+
+
 def distinct_coordinates(df: DataFrame, seed: int, g: Geometry) -> DataFrame:
     """No two clusters share a place, in any packet: each one's number is mapped by a permutation of all places.
 
@@ -63,10 +72,7 @@ def distinct_coordinates(df: DataFrame, seed: int, g: Geometry) -> DataFrame:
     total = packets.agg(F.max("_all")).first()[0] or 0
     if total > size:
         raise ValueError(f"{total} clusters don't fit {size} places")
-    step = int(rng.uniform_py(seed, "flowcell_step") * size) | 1
-    while math.gcd(step, size) != 1:
-        step += 2
-    shift = int(rng.uniform_py(seed, "flowcell_shift") * size)
+    step, shift = places(seed, g)
     out = ranked(df).join(packets.select("sample_id", "packet_id", "_before"), ["sample_id", "packet_id"])
     number = (F.col("_before") + F.col("_rn") - 1).cast("decimal(38,0)")
     at = ((number * F.lit(step).cast("decimal(19,0)") + F.lit(shift)) % F.lit(size)).cast("bigint")
