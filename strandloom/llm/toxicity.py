@@ -33,7 +33,7 @@ SAMPLE = 6000
 WORDS = 65536
 WORD = re.compile(r"[^\W\d_]+")
 PRIOR = 2000.0
-BOUND = 3.0
+BOUND = 2.5
 LEAST = 1.0
 DRIFT = 0.05
 #: Lengths of the stems that count beside whole words; a stem is written with a sign no word has.
@@ -128,10 +128,11 @@ def log_odds(counts: DataFrame) -> DataFrame:
     t, c = float(total.t or 0), float(total.c or 0)
     if not t or not c:
         return counts.select("word", F.lit(0.0).alias("gain")).limit(0)
-    prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (t + c)) + 0.5
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    delta = F.log(a / (t + PRIOR)) - F.log(b / (c + PRIOR))
-    gain = delta - BOUND * F.sqrt(1.0 / a + 1.0 / b)
+    prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (t + c))
+    # roots of counts have a standard deviation of one half, whatever the count, so both bounds hold for rare words too
+    a = F.greatest(F.sqrt(F.col("toxic") + prior) - BOUND / 2, F.lit(0.0))
+    b = F.sqrt(F.col("clean") + prior) + BOUND / 2
+    gain = F.log(F.greatest(a * a, F.lit(1e-9)) / (t + PRIOR)) - F.log(b * b / (c + PRIOR))
     return counts.filter("toxic >= 2").select("word", gain.alias("gain")).filter(F.col("gain") > LEAST)
 
 
