@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, minhash, packing, quality, secrets
-from strandloom.llm.common import Scratch, table
+from strandloom.llm.common import Scratch, table, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,15 +29,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Rows that repeat an id stay once."""
-    classes = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    alone = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return documents(alone.join(classes, "doc_id", "left_anti"))
+    scratch = Scratch(spark, "near_duplicates")
+    copies = minhash.near_duplicates(docs).filter("not kept")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    alone = without(docs, copies.select("doc_id").unionByName(repeated.select("doc_id")), scratch)
+    # of rows that repeat an id which stays, one
+    again, _ = scratch.keep(repeated.select("doc_id").join(copies.select("doc_id"), "doc_id", "left_anti"))
+    if again.isEmpty():
+        return documents(alone)
+    return documents(alone.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whatever its numbers and names."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return documents(docs.join(found, "doc_id", "left_anti"))
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return documents(without(docs, found, Scratch(spark, "decontaminated")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

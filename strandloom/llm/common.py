@@ -15,7 +15,6 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -110,7 +109,14 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(starts, counts)
 
 
-EDGE = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+#: Ids up to so many (8 bytes each) are sent to all executors, so that texts needn't move; beyond, both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs whose doc_id isn't among the ids (doc_id)."""
+    ids, _ = scratch.keep(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, components, doc_columns, mix64, ranges, ship, table, unit_floats
+from strandloom.llm.common import BROADCAST_IDS, Scratch, components, doc_columns, mix64, ranges, ship, table, unit_floats
 
 WORDS = 5
 SIMILAR = 0.8
@@ -145,9 +145,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 SIGNED = "doc_id long, digest string, n int, bands array<long>"
-#: Ids up to so many (8 bytes each) are sent to all executors to pick texts; beyond, both sides are shuffled.
-BROADCAST_IDS = 2_000_000
-
 
 def signed(docs: DataFrame, weighting: str) -> DataFrame:
     """doc_id, digest, number of shingles and band keys of each text with a word. Only these leave the executors, no text."""

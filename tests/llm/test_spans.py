@@ -1,0 +1,100 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strandloom.llm import pii, secrets
+from strandloom.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(text):
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"\D", "", m.group())
+        if 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), m.end(), "card"))
+    out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub(r"\D", "", m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a.@-+1 25(9)é_%", max_size=60) | st.from_regex(r"(4[0-9]{3} ?){4} [+][0-9]{3} [0-9]{7}|[0-9]{1,3}(\.[0-9]{1,3}){3,7}", fullmatch=True))
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    rows = pii.op7_pii(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = brute(docs[r.doc_id])
+        text = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[2] for x in base) for k in pii.BASE]
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def test_field_on_new_sentences():
+    field = pii.train()
+    right = wrong = total = 0
+    for text, spans in pii.sentences(200, seed=99):
+        got = pii.added_spans(text, pii.base_spans(text), field)
+        total += len(spans)
+        right += sum(s in got for s in spans)
+        wrong += sum(s not in spans for s in got)
+    assert right >= 0.8 * total and wrong <= 0.05 * total
+
+
+def test_best_segmentation_is_best():
+    """The dynamic program against all segmentations of a short piece."""
+    field = pii.train()
+    t = pii.Tokens("call 415-555-1234")
+    scores = field.scores(field.rows(t))
+    n, k = len(t), len(field.TYPES)
+
+    def every(i, was):
+        if i == n:
+            yield 0.0, []
+            return
+        for j in range(i + 1, n + 1):
+            for y in range(k):
+                if scores[i, j][y] > -1e9:
+                    for s, rest in every(j, y):
+                        yield s + scores[i, j][y] + field.next[was, y], ([(i, j, field.TYPES[y])] if y else []) + rest
+
+    top = max(every(0, 0), key=lambda x: x[0]) if n <= 6 else None
+    got = field.best(t, [False] * n)
+    assert top is None or got == top[1]
+
+
+def test_spans_edge_cases(spark, odd):
+    assert pii.find(odd, pii.train()).count() == 11
+    assert pii.find(odd.limit(0), pii.train()).count() == 0
+    assert pii.base_spans("1" * 30_000) == [] and pii.base_spans("a" * 30_000 + "@") == []
+    assert secrets.scan(odd, secrets.train()).count() == 11
+    assert secrets.scan(odd.limit(0), secrets.train()).count() == 0
+    assert {r.n_secrets for r in secrets.scan(odd, secrets.train()).selectExpr("size(secrets) n_secrets").collect()} == {0}
+
+
+def test_secrets(spark, docs_of):
+    key, word, token = "AKIA" + "QZ7XW3PLM2NB5TRV", "e3b3ed3cc8548923d6", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    text = f'the {key} and password={word} then token = "{token}" but commit {token} and src/app/main7/test.py too'
+    r = secrets.scan(docs_of([(1, text), (2, "nothing here at 2024-01-01")]), secrets.train()).orderBy("doc_id").collect()
+    assert [text[s.start : s.end] for s in r[0].secrets] == [key, word, token]
+    assert r[0].clean_text.count("<SECRET>") == 3 and r[1].secrets == [] and r[1].clean_text == "nothing here at 2024-01-01"
+
+
+def test_forest_held_out_and_from_a_table(spark):
+    import numpy as np
+
+    rows = secrets.generated_findings(600, seed=77)
+    x, y = np.array([secrets.features(*r[:3]) for r in rows]), np.array([r[3] for r in rows])
+    own = spark.createDataFrame(secrets.generated_findings(800, seed=5), "before string, candidate string, after string, label int")
+    for forest in (secrets.train(), secrets.train(own)):
+        assert ((forest.score(x) >= 0.5) == y).mean() > 0.97
+    assert secrets.train(own.limit(0)).trees == []
