@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float, weighting: str)
     return joined.mapInArrow(run, "u long, v long, similarity double")
 
 
-BLOCK = 512
+BLOCK = 1024
 GROUP_BYTES = 6_000_000
 
 
@@ -245,8 +245,9 @@ def alike(sets: list[np.ndarray], weights: list[np.ndarray] | None, similar: flo
     if weights is not None:
         return np.array([[i != j and similarity((a, v), (b, w)) >= similar - 1e-12 for j, (b, w) in enumerate(zip(sets, weights, strict=True))] for i, (a, v) in enumerate(zip(sets, weights, strict=True))])
     n = np.array([len(x) for x in sets], np.float64)
-    both = overlaps(sets).astype(np.float64)
-    out = both >= (similar - 1e-12) * (n[:, None] + n[None, :] - both)
+    both = overlaps(sets)  # whole numbers, exact in single precision
+    # both >= similar * (n + m - both), solved for both
+    out = both >= (similar / (1 + similar)) * (n[:, None] + n[None, :]) - 1e-7
     np.fill_diagonal(out, False)
     return out
 
