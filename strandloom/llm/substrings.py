@@ -98,7 +98,7 @@ class Batch:
         self.anchor, self.doc = chosen[first], owner[first]
         self.low = at[first] - self.anchor + GRAMS - 1  # offsets of the strings in the context, which starts GRAMS - 1 before the anchor
         self.high = at[last] - self.anchor + GRAMS - 1
-        self.hash = h[self.anchor]
+        self.hash = mix64(h[self.anchor], 7)  # chosen for being small, so mixed again before it deals out buckets
         known = self.ids[self.doc] != NONE
         if not known.all():
             self.anchor, self.doc, self.low, self.high, self.hash = (x[known] for x in (self.anchor, self.doc, self.low, self.high, self.hash))
@@ -220,6 +220,29 @@ def earlier(rows: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarr
     return bits
 
 
+def judged(ctx: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """earlier() of contexts with their offsets in the last two columns. Equal ones of several batches are taken once, and
+    every offset of those that aren't the first counts."""
+    wide = np.zeros((len(ctx), (WIDTH + 9) // 8 * 8), np.uint8)
+    wide[:, : WIDTH + 2] = ctx
+    words = wide.view("<u8")
+    h = np.zeros(len(ctx), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words.T:
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    order = np.lexsort((owner, h))
+    new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (words[order][1:] != words[order][:-1]).any(1)))
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    first = order[at]
+    low, high = ctx[first, WIDTH].astype(np.int64), ctx[first, WIDTH + 1].astype(np.int64)
+    bits = earlier(ctx[first, :WIDTH], low, high, owner[first])
+    full = ((np.uint64(1) << (high - low + 1).astype(np.uint64)) - np.uint64(1)) << low.astype(np.uint64)
+    out = np.empty(len(ctx), np.uint64)
+    out[order] = np.where(owner[order] > owner[first][group], full[group], bits[group])
+    return out
+
+
 def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -284,7 +307,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         owners = [np.frombuffer(x, np.int64) for x in rows.column("owners").to_pylist()]
         ctx = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows.column("rows").to_pylist()]).reshape(-1, WIDTH + 2)
-        bitmask = earlier(ctx[:, :WIDTH], ctx[:, WIDTH].astype(np.int64), ctx[:, WIDTH + 1].astype(np.int64), np.concatenate(owners))
+        bitmask = judged(ctx, np.concatenate(owners))
         parts = np.split(bitmask, np.cumsum([len(o) for o in owners])[:-1])
         kept = [(g, x, p) for g, x, p in zip(rows.column("g").to_pylist(), rows.column("numbers").to_pylist(), parts, strict=True) if p.any()]
         return pa.table({"g": pa.array([g for g, _, _ in kept], pa.int64()), "numbers": pa.array([x for _, x, _ in kept], pa.binary()), "masks": pa.array([blob(p) for _, _, p in kept], pa.binary())})
