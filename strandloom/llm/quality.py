@@ -165,23 +165,33 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0) -> Model:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int) -> list[tuple[str, int]]:
-    """(text, label) of at most sample rows of each class, outside the held-out fold. The ids are chosen first, so only their texts move."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample: int) -> list[tuple[np.ndarray, int]]:
+    """(features, label) of at most sample rows of each class, outside the held-out fold.
+
+    The ids are chosen first, so that only their texts are read, on the executors; only feature numbers reach the driver.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     clean = clean.filter(fold_remainder("doc_id", modulus) != held).withColumn("h", F.xxhash64("doc_id"))
     chosen = [x for y in (0, 1) for x in clean.filter(F.col("y") == y).orderBy("h", "doc_id").limit(sample).collect()]
     if not chosen:
         return []
-    spark = docs.sparkSession
     want = F.broadcast(spark.createDataFrame([(x.doc_id, x.y, x.h) for x in chosen], "doc_id long, y int, h long"))  # at most 2 * sample rows
-    rows = doc_columns(docs).join(want, "doc_id").orderBy("h", "doc_id", "y").select("text", "y").collect()
-    return [(r.text or "", r.y) for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [features(t.as_py()).astype(np.int32).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), b.column(3)], ["h", "doc_id", "x", "y"])
+
+    rows = doc_columns(docs).join(want, "doc_id").select("h", "doc_id", "text", "y").mapInArrow(run, "h long, doc_id long, x binary, y int").collect()
+    return [(np.frombuffer(r.x, np.int32).astype(np.int64), r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.y, bytes(r.x)))]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
     """A model fitted on a bounded sample of labelled rows outside the held-out fold."""
     rows = labelled_sample(docs, labels, label, modulus, held, sample)
-    return fit([features(t) for t, _ in rows], np.array([1 if y else -1 for _, y in rows], dtype=np.int64))
+    return fit([x for x, _ in rows], np.array([1 if y else -1 for _, y in rows], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, modulus: int = 5, held: int = 0, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
