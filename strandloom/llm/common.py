@@ -123,7 +123,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): root is the smallest node reachable over edges (u, v). Nodes without edges don't appear.
 
     Alternating large-star and small-star steps. Each holds as many edges as it got or fewer, groups are reduced by
-    partial minima, and a node with very many neighbours is met by a join that adaptive execution can split.
+    partial minima, which are written so that a node with very many neighbours is met by a join that adaptive execution can split.
     Ends when a round changes nothing; ends at once on an empty input.
     """
     edges = edges.filter("u <> v and u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -131,12 +131,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low, first = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, second = scratch.keep(large)
+        low, third = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now, later = scratch.keep(small)
-        scratch.drop(path)
+        for old in (path, first, second, third):
+            scratch.drop(old)
         path, before, mark = later, mark, _mark(now)
         if mark == before:
             break

@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str =
     scratch = Scratch(spark, "minhash")
     plain = doc_columns(docs)
     every, _ = scratch.keep(signed(plain, weighting))
-    copies = every.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    copies, _ = scratch.keep(every.groupBy("digest").agg(F.min("doc_id").alias("rep")))  # written, so that joins by a hot digest can be split
     members, _ = scratch.keep(every.select("doc_id", "digest").join(copies, "digest").select("doc_id", "rep").distinct())
     reps = copies.select("rep", "digest")
     keys = every.join(reps, (every["digest"] == reps["digest"]) & (every["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["doc_id", "digest"])
