@@ -155,6 +155,11 @@ SELECT row_key || '.r' || k AS row_key, a + 1 AS start, substr(sequence, a::INT
     "molecule_file_packets": q("SELECT (ordinal % 3)::INT AS packet_id, count(*) AS n, sum(len)::BIGINT AS bases, count(DISTINCT transcript_id) AS transcripts FROM mol GROUP BY 1"),
     "molecules_from_distribution": q(f"SELECT transcript_id, count(*) AS n FROM (SELECT {u('distribution', 'i')} AS u FROM range(5000) r(i)) d JOIN (SELECT transcript_id, (c - w) / t AS low, c / t AS high FROM (SELECT transcript_id, w, sum(w) OVER (ORDER BY transcript_id)::DOUBLE AS c, sum(w) OVER ()::DOUBLE AS t FROM (SELECT transcript_id, count(*) AS w FROM mol GROUP BY 1))) c ON u >= low AND u < high GROUP BY 1"),
 }
+ORACLE["distribution_molecules"] = q(f"""SELECT '1-d-' || i AS row_key, (i // 500 + 4)::INT AS packet_id, transcript_id, sequence || repeat('A', add_) AS sequence, source_start,
+  CASE WHEN source_strand = '-' THEN add_ || 'S' || len || 'M' ELSE len || 'M' || add_ || 'S' END AS source_cigar
+  FROM (SELECT i, (50 + floor({u('tail', 'i')} * 201))::INT AS add_, {u('distribution', 'i')} AS x FROM range(2000) r(i)) d
+  JOIN (SELECT transcript_id, (c - w) / t AS low, c / t AS high FROM (SELECT transcript_id, w, sum(w) OVER (ORDER BY transcript_id)::DOUBLE AS c, sum(w) OVER ()::DOUBLE AS t FROM (SELECT transcript_id, count(*) AS w FROM mol GROUP BY 1))) c ON x >= low AND x < high
+  JOIN (SELECT * FROM mol QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY ordinal) = 1) USING (transcript_id)""")
 SX, SY, ST = CELL.sizes()
 STEP, SHIFT = places(SEED, CELL)
 ORACLE["coords_distinct"] = q(f"""SELECT row_key, ({CELL.tile[0]} + at_ // {SX * SY})::INT AS tile, ({CELL.x[0]} + at_ % {SX})::INT AS x, ({CELL.y[0]} + at_ // {SX} % {SY})::INT AS y FROM (

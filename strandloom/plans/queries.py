@@ -99,7 +99,20 @@ def _molecule_files(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("packet_id").agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bases"), F.countDistinct("transcript_id").alias("transcripts"))
 
 
+def transcripts(m: DataFrame) -> DataFrame:
+    """The first molecule of each transcript as its sequence."""
+    one = F.min_by(F.struct("sequence", F.col("source_chrom").alias("chrom"), F.col("source_start").alias("ref_start"), F.concat(F.length("sequence").cast("string"), F.lit("M")).alias("ref_cigar"), F.col("source_strand").alias("strand")), "ordinal")
+    return m.groupBy("transcript_id").agg(one.alias("t")).select("transcript_id", "t.*")
+
+
+def _distribution(spark: SparkSession, d: str) -> DataFrame:
+    m = M(spark, d)
+    weights = m.groupBy("transcript_id").agg(F.count("*").alias("weight"))
+    return formats.molecules_from_distribution(spark, transcripts(m), weights, 2000, SEED, packet_size=500, first_packet=4).select("row_key", "packet_id", "transcript_id", "sequence", "source_start", "source_cigar")
+
+
 QUERIES: dict[str, Query] = {
+    "distribution_molecules": _distribution,
     "quant_by_transcript": lambda s, d: analytics.quantify(M(s, d)),
     "quant_rollup": lambda s, d: analytics.quant_rollup(analytics.quantify(M(s, d))),
     "input_vs_output_quant": lambda s, d: analytics.compare_quant(analytics.quantify(M(s, d)), analytics.quantify(size_selected(M(s, d)))),

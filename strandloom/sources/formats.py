@@ -260,3 +260,23 @@ def draw_molecules(spark: SparkSession, weights: DataFrame, n: int, seed: int) -
     cum = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells)))))
     draws = spark.range(n).select(F.col("id").alias("ordinal"), rng.uniform(seed, "distribution", F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
     return draws.join(cum, "cell").filter("u >= low and u < high").select("ordinal", "transcript_id")
+
+
+def molecules_from_distribution(spark: SparkSession, transcripts: DataFrame, weights: DataFrame, n: int, seed: int, sample_id: str = "1", tails: tuple[int, int] = (50, 250), packet_size: int = 10_000, first_packet: int = 0) -> DataFrame:
+    """n molecules drawn in proportion to the weights, as bases of their transcripts and a tail of A of a length drawn evenly.
+
+    transcripts: transcript_id, sequence, chrom, ref_start, ref_cigar, strand. Tails are clipped in the alignment, on the side
+    of the molecule's end. Packets are numbered from first_packet, after those of files.
+    """
+    drawn = draw_molecules(spark, weights, n, seed)
+    t = transcripts.select("transcript_id", "sequence", "chrom", "ref_start", "ref_cigar", F.col("strand").alias("source_strand"))
+    tail = rng.integer(rng.uniform(seed, "tail", F.col("ordinal")), *tails)
+    m = drawn.join(t, "transcript_id").withColumn("_tail", tail)
+    clip = F.when(F.col("_tail") > 0, F.concat(F.col("_tail").cast("string"), F.lit("S"))).otherwise("")
+    key = F.concat_ws("-", F.lit(sample_id), F.lit("d"), F.col("ordinal").cast("string"))
+    seq = F.concat("sequence", F.repeat(F.lit("A"), F.col("_tail").cast("int")))
+    return m.select(
+        F.lit(sample_id).alias("sample_id"), (F.floor(F.col("ordinal") / packet_size) + first_packet).cast("int").alias("packet_id"), "ordinal", key.alias("row_key"), F.concat(F.lit("m"), key).alias("molecule_id"), "transcript_id",
+        seq.alias("sequence"), F.lit(1).cast("bigint").alias("start"), F.concat(F.length(seq).cast("string"), F.lit("M")).alias("cigar"), F.lit("+").alias("strand"), F.col("chrom").alias("source_chrom"),
+        F.col("ref_start").alias("source_start"), F.when(F.col("source_strand") == "-", F.concat(clip, "ref_cigar")).otherwise(F.concat("ref_cigar", clip)).alias("source_cigar"), "source_strand",
+    )
