@@ -6,8 +6,6 @@ setting is absent (tests) a temporary folder of this machine is used.
 
 from __future__ import annotations
 
-import os
-import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -16,8 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
+from strandloom import runtime
 
 #: Rows in one Arrow batch: whole texts are long, and both sides hold a batch in memory.
 BATCH_ROWS = 1000
@@ -27,11 +24,7 @@ def ship(spark: SparkSession) -> None:
     """Bounds Arrow batches, and lets Python workers import this package where the driver got it from a source tree (a cluster gets it installed or by --py-files)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT in sys.path or any(os.path.abspath(p or ".") == ROOT for p in sys.path):
-        if ROOT not in known:
-            env["PYTHONPATH"] = os.pathsep.join([*known, ROOT])
+    runtime.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
