@@ -51,7 +51,8 @@ UNIT = " " + trie(UNITS) + " "
 
 def marked(text: Column) -> Column:
     """Words between single spaces; starts of sentences and inner points are marked."""
-    t = F.translate(F.coalesce(text, F.lit("")), START + POINT, "  ")
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.contains(START) | t.contains(POINT), F.translate(t, START + POINT, "  ")).otherwise(t)
     t = F.regexp_replace(t, SENTENCE, "$1" + START + "$2")
     t = F.regexp_replace(t, JOINED, POINT + "$1")
     return F.trim(F.regexp_replace(t, OUTSIDE, " "))
@@ -61,7 +62,7 @@ def canonical(words: Column) -> Column:
     """The array of canonical words of marked text; as many as it has words."""
     c = F.regexp_replace(F.concat(F.lit(" "), words), NUMBER, " #")
     c = F.lower(F.regexp_replace(c, NAME, " @"))
-    c = F.concat(F.regexp_replace(c, " ", "  "), F.lit(" "))
+    c = F.concat(F.replace(c, F.lit(" "), F.lit("  ")), F.lit(" "))
     c = F.replace(F.regexp_replace(c, UNIT, " % "), F.lit(START), F.lit(""))
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
 
@@ -77,20 +78,25 @@ def words_of(rows: DataFrame, key: str) -> DataFrame:
 
 
 def each_window(f):
-    """f of each window's first word (from 1) of c, in order; none if there are too few words."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - F.lit(WINDOW - 1)))
-    return F.when(F.size("c") >= WINDOW, F.transform(at, f))
+    """f of the place (from 1) of each window's first word, in order; none if there are too few words."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.lit(WINDOW - 1)))
+    return F.when(F.size("w") >= WINDOW, F.transform(at, f))
+
+
+def hashed(rows: DataFrame, key: str) -> DataFrame:
+    """key, c, and the hash of each word as w: a window's hash is that of its words' hashes, each of which is taken once."""
+    return words_of(rows, key).select(key, "c", once(F.transform("c", lambda x: F.xxhash64(x))).alias("w"))
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
     """key, position (from 0) and hash of each window."""
-    return words_of(rows, key).select(key, F.posexplode(each_window(lambda i: F.xxhash64(F.slice("c", i, WINDOW)))).alias("pos", "h"))
+    return hashed(rows, key).select(key, F.posexplode(each_window(lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).alias("pos", "h"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
     """item_id, position, hash and literal words of each window of an item."""
-    at = each_window(lambda i: F.struct(F.xxhash64(F.slice("c", i, WINDOW)).alias("h"), F.size(F.filter(F.slice("c", i, WINDOW), lambda w: ~w.isin("#", "@", "%"))).alias("literal")))
-    return words_of(items, "item_id").select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.literal")
+    at = each_window(lambda i: F.struct(F.xxhash64(F.slice("w", i, WINDOW)).alias("h"), F.size(F.filter(F.slice("c", i, WINDOW), lambda w: ~w.isin("#", "@", "%"))).alias("literal")))
+    return hashed(items, "item_id").select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.literal")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
