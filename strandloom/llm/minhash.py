@@ -41,7 +41,7 @@ class Hashes(dict):
     """crc32 of each word met; emptied when full, so that its memory is bounded."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         self[w] = h = zlib.crc32(w.encode()) | zlib.adler32(w.encode()) << 32
         return h

@@ -40,7 +40,7 @@ class Names(dict):
     """Token to name and shape; emptied when full, so that its memory is bounded."""
 
     def __missing__(self, w: str) -> tuple[str, str]:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         self[w] = out = normal(w)
         return out

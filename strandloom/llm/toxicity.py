@@ -78,7 +78,7 @@ class Gains(dict):
         self.known = known
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = g = max(self.known.get(x, 0.0) for x in names(word))
         return g
