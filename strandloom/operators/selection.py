@@ -45,5 +45,6 @@ def size_probability(n: Column, min_length: int, max_length: int, full_from: int
 
 def size_select(df: DataFrame, seed: int, min_length: int, max_length: int, full_from: int | None = None, full_to: int | None = None) -> DataFrame:
     """Keeps a molecule by the probability of its length; on the plateau always."""
-    p = size_probability(F.length("sequence"), min_length, max_length, full_from, full_to)
+    # the length is bound once: a filter would take an expression behind it anew for each use
+    p = F.transform(F.array(F.length("sequence")), lambda n: size_probability(n, min_length, max_length, full_from, full_to))[0]
     return df.filter(rng.uniform(seed, "sizing", F.col("row_key")) < p)
