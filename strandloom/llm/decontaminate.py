@@ -2,17 +2,22 @@
 
 Texts become words without punctuation; numbers, names (capitalised words that don't start a sentence) and units turn
 into typed placeholders and the rest into lower case. Windows of WINDOW canonical words of documents and benchmark items are
-joined by hash. Matches on one diagonal (position in the document less position in the item) must fill slots consistently: each slot value
-of the item stands for one value of the document. So a question with other numbers or names is found, and a
+joined by hash, and so are windows of their plain words in lower case: names can't be told in a text all in capitals or all in
+lower case, so an item copied in such letters matches by its plain words. Matches on one diagonal (position in the document less position in the item) must fill slots consistently: each slot value
+of the item stands for one value of the document, as the canonical windows have it. So a question with other numbers or names is found, and a
 chance likeness with clashing values isn't. A document is contaminated by an item if consistent diagonals match at
-least ENOUGH windows, or half of those that the item has.
+least ENOUGH windows, or half of those that the item has; a window counts once, whichever kind matches.
 
-Only hashes of windows are joined: the benchmark's are broadcast if there are at most BROADCAST_WINDOWS of them, and both
+Windows are taken of candidates only: documents in which a gram of GRAM words, looked at in every STRIDE-th place, is an item's. Each window
+that an item shares holds such a place, so none is lost. Only hashes of grams and windows are joined: the benchmark's are broadcast if there are at most BROADCAST_WINDOWS of them, and both
 sides are shuffled otherwise; texts never move, except those with matches.
 
-Edge cases: null and empty texts match nothing, nor do items of fewer than WINDOW words or windows with fewer than LITERAL words
-that aren't placeholders; repeated rows of a document or an item count once; extra columns don't take part; ties don't
+Edge cases: null and empty texts match nothing, nor do items of fewer than WINDOW words; windows with fewer than LITERAL words
+that aren't placeholders match by plain words only; repeated rows of a document or an item count once; extra columns don't take part; ties don't
 arise, as all items that match are given.
+
+The registered SQL knows canonical windows only. n_windows and n_slots are of these, as there; pairs that only plain words bring over
+the bound are rows that the SQL lacks.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import Scratch, table
 
 WINDOW, LITERAL, ENOUGH = 8, 4, 6
+#: A window holds a whole gram at one of any STRIDE places in turn.
+GRAM = 5
+STRIDE = WINDOW - GRAM + 1
 BROADCAST_WINDOWS = 500_000
 BROADCAST_DOCS = 2_000_000
 #: Units of measure that are placeholders (fixed values).
@@ -67,6 +75,11 @@ def canonical(words: Column) -> Column:
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(c), " +"))
 
 
+def plain(words: Column) -> Column:
+    """The array of the words of marked text in lower case, place by place those of canonical()."""
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(F.replace(words, F.lit(START), F.lit(""))), " "))
+
+
 def once(c: Column) -> Column:
     """A column that the optimiser doesn't copy into each place that uses it: it is generated, as the one row of an array."""
     return F.explode(F.array(c))
@@ -83,35 +96,69 @@ def each_window(f):
     return F.when(F.size("w") >= WINDOW, F.transform(at, f))
 
 
+def grams(rows: DataFrame, key: str, step: int) -> DataFrame:
+    """key, hash and literal words (plain words are all literal) of the grams of canonical and of plain words in every step-th place."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c") - F.lit(GRAM - 1)), F.lit(step))
+    literal = lambda i: F.size(F.filter(F.slice("c", i, GRAM), lambda w: ~w.isin("#", "@", "%")))
+    gram = lambda words, i, n: F.struct(F.xxhash64(F.slice(words, i, GRAM)).alias("h"), n.alias("literal")) if step == 1 else F.xxhash64(F.slice(words, i, GRAM))
+    words = words_of(rows, key).select(key, "c", once(plain(F.col("m"))).alias("v")).filter(F.size("c") >= WINDOW)
+    both = words.select(key, F.explode(F.concat(F.transform(at, lambda i: gram("c", i, literal(i))), F.transform(at, lambda i: gram("v", i, F.lit(GRAM))))).alias("h"))
+    return both.select(key, "h.h", "h.literal") if step == 1 else both
+
+
+def candidates(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id of every document that can share a window with an item, once."""
+    # a window with enough literal words has some in each of its grams
+    keys, _ = scratch.keep(grams(items, "item_id", 1).filter(F.col("literal") >= LITERAL - (WINDOW - GRAM)).select("h").distinct())
+    small = keys.count() <= BROADCAST_WINDOWS
+    found, _ = scratch.keep(grams(docs, "doc_id", STRIDE).join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc_id").distinct())
+    return F.broadcast(found) if found.count() <= BROADCAST_DOCS else found
+
+
 def hashed(rows: DataFrame, key: str) -> DataFrame:
-    """key, c, and the hash of each word as w: a window's hash is that of its words' hashes, each of which is taken once."""
-    return words_of(rows, key).select(key, "c", once(F.transform("c", lambda x: F.xxhash64(x))).alias("w"))
+    """key, c, and the hash of each canonical word as w, of each plain word as v: a window's hash is that of its words' hashes, each of which is taken once."""
+    w = words_of(rows, key).select(key, "m", "c", once(F.transform("c", lambda x: F.xxhash64(x))).alias("w"))
+    return w.select(key, "c", "w", once(F.transform(plain(F.col("m")), lambda x: F.xxhash64(x))).alias("v"))
+
+
+def window(words: str, i: Column) -> Column:
+    """Hash of the window whose first word is at i."""
+    return F.xxhash64(F.slice(words, i, WINDOW))
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """key, position (from 0) and hash of each window."""
-    return hashed(rows, key).select(key, F.posexplode(each_window(lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).alias("pos", "h"))
+    """key, position (from 0) and hash of each window of canonical words (canonical) and of each of plain words; without placeholders they have one hash."""
+    both = F.concat(each_window(lambda i: window("w", i)), each_window(lambda i: window("v", i)))
+    each = hashed(rows, key).select(key, (F.size("w") - F.lit(WINDOW - 1)).alias("n"), F.posexplode(both).alias("at", "h"))
+    return each.select(key, F.pmod("at", "n").alias("pos"), (F.col("at") < F.col("n")).alias("canonical"), "h")
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, position, hash and literal words of each window of an item."""
-    at = each_window(lambda i: F.struct(F.xxhash64(F.slice("w", i, WINDOW)).alias("h"), F.size(F.filter(F.slice("c", i, WINDOW), lambda w: ~w.isin("#", "@", "%"))).alias("literal")))
-    return hashed(items, "item_id").select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.literal")
+    """item_id, position, hashes of canonical and plain words, and literal words of each window of an item."""
+    literal = lambda i: F.size(F.filter(F.slice("c", i, WINDOW), lambda w: ~w.isin("#", "@", "%")))
+    at = each_window(lambda i: F.struct(window("w", i).alias("h"), window("v", i).alias("g"), literal(i).alias("literal")))
+    return hashed(items, "item_id").select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.g", "x.literal")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, item_windows, n_slots, contaminated: every pair with a consistent diagonal."""
+    """doc_id, item_id, n_windows, item_windows, n_slots, n_matched, contaminated: every pair with a consistent diagonal.
+
+    n_windows counts canonical windows, n_matched those that match either way.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
     mine, _ = scratch.keep(item_windows(items))
-    keys = mine.filter(F.col("literal") >= LITERAL).select("item_id", "ipos", "h")
+    keys = mine.filter(F.col("literal") >= LITERAL).select("item_id", "ipos", "h", F.lit(True).alias("template"))
+    keys = keys.unionByName(mine.filter("g <> h").select("item_id", "ipos", F.col("g").alias("h"), F.lit(False).alias("template")))
     small = keys.count() <= BROADCAST_WINDOWS
-    joined = windows(docs.filter("doc_id is not null and text is not null"), "doc_id").join(F.broadcast(keys) if small else keys, "h")
-    hits, _ = scratch.keep(joined.select("doc_id", "pos", "item_id", "ipos").distinct())
-    # slots of the matched words, once each
-    covered = hits.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.explode(F.sequence(F.col("ipos"), F.col("ipos") + WINDOW - 1)).alias("at")).distinct()
+    docs = docs.filter("doc_id is not null and text is not null")
+    near = docs.join(candidates(docs, items, scratch), "doc_id", "left_semi")
+    joined = windows(near, "doc_id").join(F.broadcast(keys) if small else keys, "h")
+    hits, _ = scratch.keep(joined.groupBy("doc_id", "pos", "item_id", "ipos").agg(F.max(F.col("canonical") & F.col("template")).alias("canonical")))
+    # slots of the words that canonical windows match, once each; plain windows fill none
+    covered = hits.filter("canonical").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.explode(F.sequence(F.col("ipos"), F.col("ipos") + WINDOW - 1)).alias("at")).distinct()
     found = hits.select("doc_id").distinct()
     if found.count() <= BROADCAST_DOCS:
         found = F.broadcast(found)
@@ -123,17 +170,18 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     values = slots.groupBy("doc_id", "item_id", "diagonal", "kind", "here").agg(F.min("there").alias("low"), F.max("there").alias("high"))
     checked = values.groupBy("doc_id", "item_id", "diagonal").agg(F.count("*").alias("slots"), F.max((F.col("low") != F.col("high")).cast("int")).alias("clash"))
     lines = hits.withColumn("diagonal", F.col("pos") - F.col("ipos")).join(checked, ["doc_id", "item_id", "diagonal"], "left").filter(F.coalesce("clash", F.lit(0)) == 0)
-    pairs = lines.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("ipos").alias("p"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"))
+    pairs = lines.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("ipos").alias("p"), F.collect_set(F.when(F.col("canonical"), F.col("ipos"))).alias("q"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"))
     # an item has a bounded number of windows, so the set of positions met is small
-    pairs = pairs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("p")))).cast("long").alias("n_windows"), F.sum("slots").alias("n_slots"))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    pairs = pairs.groupBy("doc_id", "item_id").agg(distinct("q").alias("n_windows"), distinct("p").alias("n_matched"), F.sum("slots").alias("n_slots"))
     sizes = mine.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     out = pairs.join(sizes, "item_id")
-    return out.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", ((F.col("n_windows") >= ENOUGH) | (2 * F.col("n_windows") >= F.col("item_windows"))).alias("contaminated"))
+    return out.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_matched", ((F.col("n_matched") >= ENOUGH) | (2 * F.col("n_matched") >= F.col("item_windows"))).alias("contaminated"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds."""
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("contaminated").drop("contaminated")
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("contaminated").drop("n_matched", "contaminated")
 
 
 def _sql_words(source: str, key: str) -> str:

@@ -99,6 +99,12 @@ def test_templates_are_found(spark, docs_of):
     assert decontaminate.matches(docs, bench(spark).limit(0)).count() == 0
 
 
+def test_items_in_other_case_are_found(spark, docs_of):
+    docs = docs_of([(1, "HERE IT IS: " + ITEMS[0][1].upper() + " AND ON"), (2, ITEMS[0][1].lower()), (3, "so " + ITEMS[3][1].upper()), (4, "NOTHING OF THIS KIND IS IN HERE, ONLY PLAIN WORDS THAT GO ON AND ON")])
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.item_windows) for r in decontaminate.matches(docs, bench(spark)).filter("contaminated").collect()}
+    assert got == {(1, 1): (18, 18), (2, 1): (18, 18), (3, 4): (18, 18)}
+
+
 def test_decontamination_same_without_broadcast(spark, monkeypatch):
     a = sorted(map(tuple, decontaminate.op8_decontamination(spark, SF).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
