@@ -1,9 +1,9 @@
 """Language identification: interpolated Kneser-Ney character models, one per language, in sorted hash arrays.
 
 Texts are lower-cased, anything but letters becomes one space, and 4-grams of 16-bit symbols are counted over all
-training rows, document by document on the executors. Lower orders use continuation counts. A 4-gram stays in the
-model of its language if its share of that language's 4-grams is at least 2 ** -SHARE_BITS, so that a language has at most
-2 ** SHARE_BITS entries whatever the size of the corpus. The lowest length-normalised cross-entropy wins.
+training rows, document by document on the executors. Lower orders use continuation counts. Every 4-gram stays in the
+model, the rarest too, as discounts and continuation counts are taken from them; the model grows with the number of
+distinct 4-grams of each language, not with the number of rows. The lowest length-normalised cross-entropy wins.
 
 Rejection: the margin between the best two languages is calibrated on training rows kept out of the counts; ``rejected``
 tells that the calibrated score is under one half, or that the text fits its best language worse than nearly all of them.
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import fold_remainder, mix64, ship, table
 
 ORDER = 4
-SHARE_BITS = 17
 #: Rows for the calibration, at most; they are kept out of the counts.
 CALIBRATION = 1500
 UNIFORM = 1.0 / 4096
@@ -264,7 +264,7 @@ def training_rows(docs: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def train(docs: DataFrame, modulus: int = 4, held: int = 2) -> Model:
-    """Counts 4-grams of every training row on the executors; only pruned tables reach the driver."""
+    """Counts 4-grams of every training row on the executors; only distinct 4-grams with their counts reach the driver."""
     spark = docs.sparkSession
     ship(spark)
     rows = training_rows(docs, modulus, held)
@@ -291,20 +291,16 @@ def train(docs: DataFrame, modulus: int = 4, held: int = 2) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(keys[at].view(np.int64)), pa.array(np.add.reduceat(counts, at))], ["lang", "gram", "n"])
 
     each = rows.filter("not aside").select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    summed = each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = each.groupBy("lang").agg(F.sum("n").alias("total"))
-    sums = {r.lang: r.total for r in total.collect()}
-    if not sums:
-        return Model([], [])
-    names = sorted(sums)
-    least = F.create_map(*[F.lit(x) for k in names for x in (k, sums[k] / float(1 << SHARE_BITS))])
-    kept = summed.filter(F.col("n") >= least[F.col("lang")]).toArrow()  # at most 2 ** SHARE_BITS rows a language
-    lang, key, n = np.array(kept.column(0).to_pylist(), object), kept.column(1).to_numpy().view(np.uint64), kept.column(2).to_numpy()
+    summed = each.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # one row for each distinct 4-gram of a language
+    names = sorted(pc.unique(summed["lang"]).to_pylist())
     tables = []
     for name in names:
-        k, c = key[lang == name], n[lang == name]
+        part = summed.filter(pc.equal(summed["lang"], name))
+        k, c = part["gram"].to_numpy().view(np.uint64), part["n"].to_numpy()
         order = np.argsort(k)
         tables.append((k[order], c[order]))
+    if not names:
+        return Model([], [])
     model = Model(names, tables)
     calibrate(model, rows.filter("aside"))
     return model
@@ -334,7 +330,7 @@ def identify(docs: DataFrame, model: Model, modulus: int = 4, held: int = 2) ->
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of each row of docs."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most 2 ** SHARE_BITS entries a language
+    shared = spark.sparkContext.broadcast(model)  # grows with the distinct 4-grams of the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -90,6 +90,16 @@ def test_language_edge_cases(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.Model([], [])).collect()} == {"und"}
 
 
+def test_rare_grams_count_in_a_large_corpus(spark, docs_of):
+    docs = docs_of([(i, "the same words again " * 6000 + f"{'abcdefghij'[i % 10] * 2}zq{'klmnopqrst'[i // 10]}") for i in range(40)])
+    texts = [r.text for r in langid.training_rows(docs, 4, 2).filter("not aside").collect()]
+    keys, counts = langid.tally(langid.grams(*langid.symbols(texts))[0])
+    assert counts.sum() > 1 << 18 and (counts == 1).any() and (counts == 2).any()
+    got, want = langid.train(docs).each[0], langid.KneserNey(keys, counts)
+    for n in range(1, langid.ORDER + 1):
+        assert all((a == b).all() for a, b in zip((*got.logp[n], *got.left[n]), (*want.logp[n], *want.left[n]), strict=True))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abc é日1.\U0001f600\n", max_size=12), min_size=1, max_size=5))
 def test_symbols_by_hand(texts):
