@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
 Each document is a vector of hashed words, projected by random signs to DIMS numbers; these are cut to BITS bits each and
-give a place on a Hilbert curve. Documents are range-sorted by that key (and by doc_id, so that very many equal keys still
+give a place on a Hilbert curve. Documents are range-sorted by that key (and by a hash of id and text, so that very many equal keys still
 spread over partitions), tokenised, and packed one after another: neighbours on the curve share sequences. A document
 that crosses the end of a sequence is cut and goes on in the next one. What is left at the end of a partition is
 cut at powers of two, so nothing is padded there either.
@@ -31,6 +31,10 @@ DIMS, BITS = 4, 8
 LENGTH = 2048
 END = 1
 TOKENIZER = "byte_bpe_50k"
+#: The tokenizer's special mark (fixed value).
+MARK = "<|endoftext|>"
+#: Bytes of text in one partition of the sorted documents.
+PART_BYTES = 48 << 20
 #: Texts of these characters only, without very long words or runs of white space, go to the faster of two libraries with the same result.
 OTHER = re.compile("[^\x00-ɏ]")
 LONG = 400
@@ -64,20 +68,51 @@ def hilbert(coords: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+#: An odd number and its inverse modulo 2 ** 64: hashes of words are differences of running sums, brought back to one place.
+ODD = 0x9E3779B97F4A7C15
+BACK = pow(ODD, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
+
+
+def powers_of_odd(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ODD and of its inverse; those that a usual chunk needs are kept."""
+    if not _POWERS:
+        _POWERS.extend(np.cumprod(np.full(1 << 18, x, np.uint64)) for x in (ODD, BACK))
+    if n <= len(_POWERS[0]):
+        return _POWERS[0][:n], _POWERS[1][:n]
+    return np.cumprod(np.full(n, ODD, np.uint64)), np.cumprod(np.full(n, BACK, np.uint64))
+
+
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word of some UTF-8 text that ends in a space.
+
+    A word reaches to the next white space. Characters of three or four bytes, but for general punctuation, stand for
+    themselves, as most scripts without spaces are written with them; they also end a word before them.
+    """
+    n = len(buf)
+    space = buf <= 32
+    lone = (buf >= 0xE0) & (buf != 0xE2)
+    begins = ~space
+    begins[1:] &= space[:-1] | lone[1:]
+    ends = space | lone
+    at = np.flatnonzero(begins)
+    stops = np.append(np.flatnonzero(ends), n)
+    before = np.cumsum(ends)  # stops up to and with each byte
+    end = stops[before[at]]
+    power, back = powers_of_odd(n)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((buf + np.uint64(1)) * power, out=total[1:])
+        h = (total[end] - total[at]) * back[at]
+    return at, mix64(h, 5)
+
+
 def vectors(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
-    """Random-sign projections of the hashed words (their first bytes) of each text: means, so that length doesn't matter."""
+    """Random-sign projections of the hashed words of each text: means, so that length doesn't matter."""
     raw = [(t or "").encode() for t in texts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    buf = np.frombuffer(b" ".join(raw) + b" " * 9, np.uint8)
-    space = buf <= 32
-    at = np.flatnonzero(~space[1:-8] & space[:-9]) + 1
-    if len(buf) > 9 and not space[0]:
-        at = np.concatenate(([0], at))
+    at, h = word_hashes(np.frombuffer(b" ".join(raw) + b" ", np.uint8))
     doc = np.searchsorted(np.cumsum(lengths + 1), at, "right")
-    h = np.zeros(len(at), np.uint64)
-    for i in range(5):
-        h = (h << np.uint64(8)) | buf[at + i].astype(np.uint64)
-    h = mix64(h, 5)
     n = np.bincount(doc, minlength=len(raw)).astype(np.float64)
     out = np.zeros((len(raw), dims))
     for i in range(dims):
@@ -86,7 +121,7 @@ def vectors(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
     return out
 
 
-def curve_keys(texts: list[str | None], chunk: int = 500_000) -> np.ndarray:
+def curve_keys(texts: list[str | None], chunk: int = 100_000) -> np.ndarray:
     """Hilbert keys of the texts, taken some at a time so that memory doesn't grow with the batch."""
     parts, begin, size = [], 0, 0
     for i, t in enumerate(texts):
@@ -107,7 +142,8 @@ class Encoder:
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # as in the named tokenizer, the mark for the end of a text is one id wherever a text spells it out
+        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={MARK: len(ranks)})
         self.name, self.full = name, None
 
     def plain(self, text: str) -> bool:
@@ -123,12 +159,12 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.plain(text):
-            return np.array([*self.fast.encode_ordinary(text), END], "<u4")
+            ids = self.fast.encode(text, allowed_special={MARK}) if MARK in text else self.fast.encode_ordinary(text)
+            return np.array([*ids, END], "<u4")
         if self.full is None:
             from tokenizers import Tokenizer
 
             self.full = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
-            self.full.encode_special_tokens = True
         return np.array([*self.full.encode(text, add_special_tokens=False).ids, END], "<u4")
 
 
@@ -185,15 +221,22 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def along_curve(docs: DataFrame) -> DataFrame:
-    """doc_id and text, range-sorted by the Hilbert key. The key is cheap, as sorting by range takes it twice."""
-    ship(docs.sparkSession)
+    """doc_id and text, range-sorted by the Hilbert key into partitions of about PART_BYTES. The key is cheap, as sorting by range takes it twice.
+
+    Equal keys are split by a hash of id and text.
+    """
+    spark = docs.sparkSession
+    ship(spark)
 
     @F.pandas_udf("long")
     def key(text: pd.Series) -> pd.Series:
         return pd.Series(curve_keys([t if isinstance(t, str) else None for t in text]))
 
-    keyed = doc_columns(docs).withColumn("hilbert", key("text"))
-    return keyed.repartitionByRange("hilbert", F.xxhash64("doc_id")).sortWithinPartitions("hilbert", "doc_id")
+    plain = doc_columns(docs)
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES), min(3 * spark.sparkContext.defaultParallelism, -(-size // (1 << 20))))
+    keyed = plain.withColumn("hilbert", key("text"))
+    return keyed.repartitionByRange(parts, "hilbert", F.xxhash64("doc_id", "text")).sortWithinPartitions("hilbert", "doc_id")
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH) -> DataFrame:

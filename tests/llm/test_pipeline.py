@@ -17,9 +17,7 @@ def reference():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_pieces(rows, texts):
@@ -58,7 +56,7 @@ def test_packing_edge_cases(spark, odd):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="ab1 '’éñ\n\t.,<|>endoftxt\xa0\xad߷", max_size=80))
+@given(st.text(max_size=60) | st.text(alphabet="ab1 '’éñ\n\t.,<|>endoftxt\xa0\xad߷", max_size=80) | st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "a", " bc", "\n", "日本", "é", "<"]), max_size=12).map("".join))
 def test_both_libraries_agree(text):
     want = [*reference_cached().encode(text, add_special_tokens=False).ids, 1]
     assert packing.encoder()(text).tolist() == want
@@ -73,6 +71,19 @@ def reference_cached():
     return _REF[0]
 
 
+def test_the_mark_is_one_id():
+    assert packing.encoder()("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 1]
+    assert packing.encoder()("日 <|endoftext|> b").tolist()[-3:] == [50256, 275, 1]
+
+
+def test_whole_words_are_hashed():
+    a, b = packing.vectors(["internationalisation of interviews", "interstate of interest"])
+    assert (a != b).any()
+    assert (packing.vectors(["one two three"]) == packing.vectors(["three  one\ntwo "])).all()
+    far, near = packing.word_hashes(np.frombuffer("日本語 日x ".encode(), np.uint8))
+    assert len(far) == 4 and near[0] != near[1]
+
+
 @pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_is_connected(dims, bits):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
