@@ -310,13 +310,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str =
     keys, _ = scratch.keep(keys.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("band")))
     # the same order everywhere, so that the buckets of a large group mostly have the same centre
     lead = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("c")
-    centres = keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.rep").alias("centre"))
+    # the aggregates of bands are written before they are joined: a join that doesn't share its shuffle with them can be split at hot bands
+    centres, _ = scratch.keep(keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.rep").alias("centre")))
     full, _ = scratch.keep(keys.join(centres, "band").select("band", "rep", "n", "centre"))
     pairs, _ = scratch.keep(full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct())
     links = verified(pairs, plain, similar, weighting).select("u", "v")
     edges, _ = scratch.keep(components(links, scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     roots = full.select("band", "rep").join(edges.select(F.col("u").alias("rep"), F.col("v").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-    states = roots.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size")
+    states, _ = scratch.keep(roots.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size"))
     still, _ = scratch.keep(roots.join(states, "band"))
     more, _ = scratch.keep(compared(still, plain, similar, weighting, scratch))
     edges, _ = scratch.keep(components(edges.unionByName(more), scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
