@@ -240,6 +240,21 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, root) of the rows whose component, under the symmetric link matrix, starts at an earlier row."""
+    n = len(links)
+    label = np.arange(n)
+    while True:
+        low = np.where(links, label[None, :], n).min(1) if n else label
+        new = np.minimum(label, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
 def alike(sets: list[np.ndarray], weights: list[np.ndarray] | None, similar: float) -> np.ndarray:
     """Which pairs reach the bound."""
     if weights is not None:
@@ -258,8 +273,6 @@ def compared(members: DataFrame, docs: DataFrame, similar: float, weighting: str
     Each member takes its set along; a bucket of more than BLOCK members becomes pairs of blocks. All pairs of a block are
     compared where they are, by matrix products, and only a spanning forest of the links is returned, never the pairs.
     """
-    from strandloom.llm.embeddings import forest
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_hashes(t.as_py()) for t in b.column(1)]

@@ -117,8 +117,10 @@ def brute_links(rows):
 VEC = "vec_id long, embedding array<float>, label int, bucket int"
 
 
-def test_embeddings_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 8)  # large buckets are cut
+@pytest.mark.parametrize("shape", [(None, None), (3, 25), (12, 60)])
+def test_embeddings_against_brute_force(spark, monkeypatch, shape):
+    for name, value in (("BLOCK_BYTES", 1024), ("UNIT", 16), ("GROUP_ROWS", 100), ("GROUP_BYTES", 4000)):  # large buckets are cut
+        monkeypatch.setattr(embeddings, name, value)
     g, rows = np.random.default_rng(2), []
     for k in range(12):
         base = g.standard_normal(16)
@@ -127,7 +129,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     rows += [rows[0], rows[0], [x * 2 for x in rows[0]], [1.0, 0.0], [1.0, 0.1], [0.0] * 16, None, [], [None] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15]
     rows = [((i * 37) % 1009, v) for i, v in enumerate(rows)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], VEC)
-    got = embeddings.links_of(df)
+    got = embeddings.links_of(df, bits=shape[0], tables=shape[1])
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == brute_links(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.collect())
 
@@ -139,6 +141,17 @@ def test_embeddings_edge_cases(spark):
     assert embeddings.links_of(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_one_id_and_in_double_precision(spark):
+    rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (3, [1.0, 0.01, 0.0]), (9, [0.0, 1.0, 1e-9]), (5, [0.0, 1e300, 1.0])]
+    got = embeddings.links_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(3, 1, 3), (5, 2, 5), (7, 1, 3), (7, 2, 5), (9, 2, 5)]
+
+
+def test_signs_dont_depend_on_the_batch():
+    x = np.random.default_rng(0).standard_normal((300, 48))
+    assert (embeddings.signs(x, 200) == np.concatenate([embeddings.signs(x[i : i + 1], 200) for i in range(300)])).all()
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 130)] + [(200 + 2 * k, 201 + 2 * k) for k in range(5)] + [(7, 7), (None, 3), (50, 100)]
