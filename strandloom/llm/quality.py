@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-n-gram indicators are scaled by class log-count ratios; a linear hinge-loss model is then fitted by dual coordinate
+Indicators of words, word pairs, and pairs and triples of shapes (a shape tells what kind of token it is, and whether it repeats
+the one before) are scaled by class log-count ratios; a linear hinge-loss model is then fitted by dual coordinate
 descent (L2-regularised, L1 hinge), and its margin is calibrated by a logistic curve on rows that the fit has not seen.
 
 Edge cases: null and empty texts have no n-grams and get the score of the bias alone; rows with a null id or null label
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import doc_columns, fold_remainder, ship, table
+from strandloom.llm.common import doc_columns, fold_remainder, mix64, ship, sorted_unique, table
 
-BITS = 18
+BITS = 20
 #: At most so many labelled rows of each class are used for the fit: those with the smallest hash of their id.
 SAMPLE = 3000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n")
@@ -32,45 +33,38 @@ def normal(w: str) -> tuple[str, str]:
     if w.isalpha():
         return ("^" + w.lower(), "UP") if w.isupper() and len(w) > 1 else (w.lower(), "w")
     if w.isdigit():
-        return "#%d" % min(len(w), 9), "NUM"
-    return w[:6], w[:6]
+        return f"#{len(w)}", "NUM"
+    return w, w
 
 
-class Names(dict):
-    """Token to name and shape; emptied when full, so that its memory is bounded."""
+class Hashes(dict):
+    """Token to hashes of its name (upper half) and shape; emptied when full, so that its memory is bounded."""
 
-    def __missing__(self, w: str) -> tuple[str, str]:
+    def __missing__(self, w: str) -> int:
         if len(self) > 60_000:
             self.clear()
-        self[w] = out = normal(w)
+        name, shape = normal(w)
+        self[w] = out = zlib.crc32(name.encode()) << 32 | zlib.crc32(shape.encode(), 1)
         return out
 
 
-NAMES = Names()
+HASHES = Hashes()
+REPEATED = np.uint64(0x5EED)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct hashed indicators: tokens, shape pairs and triples, and bands of repetition."""
+    """Distinct hashed indicators: words, word pairs, shape pairs and triples."""
     found = TOKEN.findall(text or "")
     if not found:
         return np.zeros(0, np.int64)
-    each = [NAMES[w] for w in found]
-    words, shapes = [x[0] for x in each], [x[1] for x in each]
-    crc, mask = zlib.crc32, (1 << BITS) - 1
-    distinct, pairs = set(words), set(zip(words, words[1:], strict=False))
-    n = max(1, len(words))
-    same = sum(a == b for a, b in pairs)
-    plain = shapes.count("w")
-    grams = ["t " + w for w in distinct]
-    grams += ["s " + " ".join(x) for x in set(zip(shapes, shapes[1:], strict=False))]
-    grams += ["r " + " ".join(x) for x in set(zip(shapes, shapes[1:], shapes[2:], strict=False))]
-    grams.append("len %d" % min(12, n.bit_length()))
-    grams.append("distinct %d %d" % (10 * len(distinct) // n, n.bit_length() // 2))
-    grams.append("pairs %d" % (10 * len(pairs) // n))
-    grams.append("same %d" % (20 * same // n))
-    grams.append("plain %d" % (20 * plain // n))
-    grams.append("upper %d" % (20 * shapes.count("UP") // n))
-    return np.fromiter({crc(g.encode()) & mask for g in grams}, np.int64)
+    both = np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+    word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    shape[1:][word[1:] == word[:-1]] = REPEATED
+    with np.errstate(over="ignore"):
+        step = lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b
+        pair = step(shape[:-1], shape[1:])
+        grams = [mix64(word, 1), mix64(step(word[:-1], word[1:]), 2), mix64(sorted_unique(pair), 3), mix64(sorted_unique(step(pair[:-1], shape[2:])), 4)]
+    return sorted_unique(np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Model:
@@ -86,7 +80,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -30, 30))))
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7, still: float = 1e-3) -> tuple[np.ndarray, float]:
     """w and bias of min |w|^2/2 + sum of cost * hinge, one dual variable at a time, in a shuffled order that is always the same."""
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     values = [scale[r] / max(1.0, len(r) ** 0.5) for r in rows]
@@ -103,7 +97,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
                 w[rows[i]] += step * values[i]
                 bias += step
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if moved < still:
             break
     return w, bias
 

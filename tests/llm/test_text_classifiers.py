@@ -40,6 +40,30 @@ def test_quality_held_out(spark):
     assert auc(s, t) > 0.97 and (p == t).mean() > 0.95
 
 
+def test_dual_descent_finds_the_optimum():
+    """Against projected gradient steps on the whole dual problem."""
+    g = np.random.default_rng(3)
+    rows = [np.sort(g.choice(12, g.integers(2, 7), replace=False)) for _ in range(30)]
+    y, scale = np.where(g.random(30) < 0.4, 1, -1), g.standard_normal(12)
+    cost = np.where(y > 0, 1.5, 0.7)
+    x = np.zeros((30, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = scale[r] / len(r) ** 0.5, 1.0
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, rate = np.zeros(30), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(50_000):
+        alpha = np.clip(alpha + rate * (1 - q @ alpha), 0, cost)
+    w, bias = quality.dual_descent(rows, y, scale, cost, epochs=20_000, still=1e-9)
+    assert np.allclose([*w, bias], (alpha * y) @ x, atol=1e-4)
+
+
+def test_quality_features_are_words_and_pairs():
+    one = lambda t: set(quality.features(t).tolist())
+    assert one("red cat") > one("red") & one("cat") and one("red cat") != one("cat red")
+    assert one("go go go") != one("go on go") and not one("") and not one(None)
+    assert one("a !!!!!!!! b") != one("a !!!!!!!!! b")  # runs of marks aren't cut
+
+
 def test_toxicity_held_out(spark):
     rows = toxicity.op4_toxicity(spark, SF).collect()
     y = labelled(spark, "toxic")
