@@ -1,15 +1,16 @@
 """Toxicity: maximum-scoring segments over token log-odds with Dirichlet priors.
 
-The log-odds between toxic and clean labelled rows of each word, and of the stems (first letters) of words, are smoothed
-by a Dirichlet prior in proportion to the pooled counts; each counts once a row, so that repetition in one text doesn't
-add up. A word gains the largest lower confidence bound of its own and its stems' log-odds, halved for each time it was
-met before in the text, less a drift, so that clean text has a negative mean. A linear-time scan then finds every
+Tokens of toxic and of clean labelled rows are counted, whole words and their stems (first letters). The share of a word's tokens
+that are toxic has a Dirichlet prior of PRIOR tokens with the share of its longest stem, that one has the next shorter
+stem's, and the shortest the share of all tokens; so a word never met has what is known of its stem. A token scores the log-odds
+of its share against that of all tokens, less DRIFT, which makes the mean of clean text negative. A linear-time scan then finds every
 maximal-scoring segment of a text. A segment of score S in n tokens has an expected number of equals by chance of
-K n exp(-lambda S) (extreme-value law, lambda from the clean rows); the logs of these expectations are added up and
-calibrated to a probability on training rows that the log-odds have not seen.
+K n exp(-lambda S) (extreme-value law); lambda and K are fitted to the segments of clean rows that were not counted. What the segments
+have beyond chance is added up, in the logs of these expectations, a word's gain halved for each time that it
+was met before in the text, and calibrated to a probability on rows that were not counted.
 
 Edge cases: null and empty texts have no segment and get the score of a text without any; labels that are null, or rows
-with null ids, don't train; no labels at all: score is the same for all, 0. Ties between segments don't arise, as
+with null ids, don't train; no labels at all: score is the same for all, near 0. Ties between segments don't arise, as
 maximal segments are disjoint. Extra columns don't take part.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,137 +31,162 @@ from strandloom.llm.common import Scratch, doc_columns, fold_remainder, ship, ta
 
 #: Labelled rows of each class, at most, chosen by the hash of the id.
 SAMPLE = 6000
-#: Tokens in the model, at most: those with the highest lower bounds.
-WORDS = 65536
 WORD = re.compile(r"[^\W\d_]+")
-PRIOR = 2000.0
-BOUND = 2.5
-LEAST = 1.0
-DRIFT = 0.05
-#: Lengths of the stems that count beside whole words; a stem is written with a sign no word has.
+#: Tokens that a prior weighs, and what a token loses.
+PRIOR = 50.0
+DRIFT = 0.4
+#: Lengths of the stems, which stand in for rare words; a stem is written with a sign no word has.
 STEMS = (4, 5, 6)
 
 
-def segments(at: list[int], gain: list[float], drift: float) -> list[tuple[int, int, float]]:
+def segments(at: list[int], left: list[float], right: list[float]) -> list[tuple[int, int, float]]:
     """Every maximal-scoring segment as (first token, last token, score), in linear time.
 
-    at and gain hold the tokens with positive scores in order; each token between them costs drift.
+    at holds the tokens with positive scores in order, left and right the sums of all scores before and up to each of them.
     Segments on a stack are kept with the running total before and after them; a new one joins the nearest earlier
     one that starts lower and ends no higher.
     """
-    stack: list[list[float]] = []
-    total, last = 0.0, -1
-    for i, g in zip(at, gain, strict=True):
-        total -= drift * (i - last - 1)
-        left, total, last = total, total + g, i
+    stack: list[tuple[int, int, float, float, int]] = []
+    for i, low, high in zip(at, left, right, strict=True):
         first = i
         while True:
             j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j = int(stack[j][4])
-            if j < 0 or stack[j][3] >= total:
-                stack.append([first, i, left, total, j])
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
+                stack.append((first, i, low, high, j))
                 break
-            first, left = int(stack[j][0]), stack[j][2]
+            first, low = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r, _ in stack]
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def names(word: str) -> list[str]:
-    """A word and its stems."""
-    return [word, *[f"{word[:n]}~" for n in STEMS if len(word) > n]]
+    """A word and its stems, the longest first."""
+    return [word, *[f"{word[:n]}~" for n in reversed(STEMS) if len(word) > n]]
 
 
-class Gains(dict):
-    """The gain of each word met so far, 0 for none; emptied when full, so that its memory is bounded."""
+def hash_of(name: str) -> int:
+    raw = name.encode()
+    return zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5EED)
 
-    def __init__(self, known: dict[str, float]):
+
+class Scores(dict):
+    """The score of each word met so far, as it is written; emptied when full, so that its memory is bounded."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         super().__init__()
-        self.known = known
+        self.keys_, self.values_ = keys, values
 
     def __missing__(self, word: str) -> float:
         if len(self) > 60_000:
             self.clear()
-        self[word] = g = max(self.known.get(x, 0.0) for x in names(word))
-        return g
+        out = 0.0
+        for name in names(word.lower()):
+            h = np.uint64(hash_of(name))
+            k = int(np.searchsorted(self.keys_, h))
+            if k < len(self.keys_) and self.keys_[k] == h:
+                out = float(self.values_[k])
+                break
+        self[word] = out - DRIFT
+        return out - DRIFT
 
 
 class Model:
-    def __init__(self, gain: dict[str, float], scale: float = 1.0, size: float = 0.1):
-        self.gain, self.scale, self.size = gain, scale, size
+    """Log-odds by sorted hash of the name, the extreme-value law, and the calibration."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, scale: float = 1.0, size: float = 0.1):
+        self.keys, self.values, self.scale, self.size = keys, values.astype(np.float32), scale, size
         self.slope, self.shift = 1.0, -30.0
-        self.met = Gains(gain)
+        self.met = Scores(self.keys, self.values)
+
+    @classmethod
+    def of(cls, gain: dict[str, float]) -> Model:
+        """From log-odds of names."""
+        keys = np.array([hash_of(w) for w in gain], np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], np.array(list(gain.values()))[order] if gain else np.zeros(0))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "met"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.met = Gains(self.gain)
+        self.met = Scores(self.keys, self.values)
 
     def found(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """Segments with the log of their expected number by chance."""
-        met = self.met
-        hits = [(i, g) for i, w in enumerate(words) if (g := met[w]) > 0]
-        if not hits:
+        """Segments as (first token, last token, score, score with repetition damped)."""
+        if not len(self.keys) or not words:
+            return []
+        x = np.fromiter(map(self.met.__getitem__, words), np.float64, len(words))
+        at = np.flatnonzero(x > 0)
+        if not len(at):
             return []
-        before: Counter = Counter()
-        for k, (i, g) in enumerate(hits):
-            hits[k] = (i, g * 0.5 ** min(60, before[words[i]]))
-            before[words[i]] += 1
-        base = math.log(self.size * len(words))
-        return [(a, b, s, base - self.scale * s) for a, b, s in segments([i for i, _ in hits], [g for _, g in hits], DRIFT)]
-
-    def evidence(self, words: list[str]) -> float:
+        total = np.concatenate(([0.0], np.cumsum(x)))
+        out, before = [], Counter()
+        for a, b, s in segments(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+            damped = s
+            for i in at[np.searchsorted(at, a) : np.searchsorted(at, b, "right")].tolist():
+                w = words[i].lower()
+                damped -= x[i] * (1 - 0.5 ** min(60, before[w]))
+                before[w] += 1
+            out.append((a, b, s, float(damped)))
+        return out
+
+    def chance(self, score: float, tokens: int) -> float:
+        """Log of the expected number of segments of at least this score in so many clean tokens."""
+        return math.log(self.size * max(1, tokens)) - self.scale * score
+
+    def evidence(self, damped: list[float], tokens: int) -> float:
         """Sum of what the segments have beyond chance, in nats."""
-        return sum(max(0.0, -e) for *_, e in self.found(words))
+        return sum(max(0.0, -self.chance(s, tokens)) for s in damped)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * math.log1p(evidence) + self.shift))))
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
-def log_odds(counts: DataFrame) -> DataFrame:
-    """(word, gain) of the words whose lower bound is positive: log-odds with a prior in proportion to the pooled counts."""
-    total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    t, c = float(total.t or 0), float(total.c or 0)
-    if not t or not c:
-        return counts.select("word", F.lit(0.0).alias("gain")).limit(0)
-    prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (t + c))
-    # roots of counts have a standard deviation of one half, whatever the count, so both bounds hold for rare words too
-    a = F.greatest(F.sqrt(F.col("toxic") + prior) - BOUND / 2, F.lit(0.0))
-    b = F.sqrt(F.col("clean") + prior) + BOUND / 2
-    gain = F.log(F.greatest(a * a, F.lit(1e-9)) / (t + PRIOR)) - F.log(b * b / (c + PRIOR))
-    return counts.filter("toxic >= 2").select("word", gain.alias("gain")).filter(F.col("gain") > LEAST)
-
-
-def chance_scale(gain: dict[str, float], clean: Counter, n: float) -> float:
-    """lambda > 0 with a mean of exp(lambda * score) of 1 over clean tokens, each toxic token taken as seen half a time at least."""
-    if not gain:
-        return 1.0
-    g = np.array(list(gain.values()))
-    p = np.array([max(clean.get(w, 0), 0.5) for w in gain]) / max(n, 1.0)
-    rest = max(0.0, 1 - p.sum())
-    low, high = 1e-3, 5.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        mean = float((p * np.exp(np.minimum(mid * g, 700))).sum()) + rest * math.exp(-mid * DRIFT)
-        low, high = (mid, high) if mean < 1 else (low, mid)
-    return low
+    return WORD.findall(text or "")
+
+
+def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log-odds of each name from its (toxic, clean) tokens; stems have a ~ at their end."""
+    whole = [(t, c) for w, (t, c) in counts.items() if not w.endswith("~")]
+    toxic, clean = sum(t for t, _ in whole), sum(c for _, c in whole)
+    if not toxic or not clean:
+        return {}
+    base = toxic / (toxic + clean)
+    share: dict[str, float] = {}
+    for name in sorted(counts, key=lambda w: (not w.endswith("~"), len(w))):  # stems by length, then words
+        word = name.removesuffix("~")
+        rest = next((share[x] for x in names(word)[1:] if x != name and x in share), base)
+        t, c = counts[name]
+        share[name] = (t + PRIOR * rest) / (t + c + PRIOR)
+    return {w: math.log(p / (1 - p)) - math.log(base / (1 - base)) for w, p in share.items()}
+
+
+def law(scores: np.ndarray, tokens: int) -> tuple[float, float]:
+    """lambda and K of the extreme-value law from the scores of all segments of clean text: of the upper tenth, by its median,
+    so that a few rows with a wrong label don't matter; with hardly any segments, 1 and 0.1."""
+    if len(scores) < 100 or not tokens:
+        return 1.0, 0.1
+    least = float(np.quantile(scores, 0.9))
+    beyond = scores[scores > least] - least
+    if len(beyond) < 10 or np.median(beyond) <= 0:
+        return 1.0, 0.1
+    scale = math.log(2) / float(np.median(beyond))
+    return scale, len(beyond) * math.exp(min(50.0, scale * least)) / tokens
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
-    """A model from a bounded sample of labelled rows outside the held-out fold; words are counted on the executors."""
+    """A model from a bounded sample of labelled rows outside the held-out fold; tokens are counted on the executors."""
     spark = docs.sparkSession
     ship(spark)
     clean = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     clean = clean.filter(fold_remainder("doc_id", modulus) != held).withColumn("h", F.xxhash64("doc_id"))
     want = [x for y in (0, 1) for x in clean.filter(F.col("y") == y).orderBy("h", "doc_id").limit(sample).collect()]
     if not want:
-        return Model({})
+        return Model.of({})
     ids = F.broadcast(spark.createDataFrame([(x.doc_id, x.y, x.h) for x in want], "doc_id long, y int, h long"))  # at most 2 * sample rows
     scratch = Scratch(spark, "toxicity")
     rows, path = scratch.keep(doc_columns(docs).join(ids, "doc_id").select("text", "y", (F.pmod("h", F.lit(4)) == 0).alias("aside")))
@@ -168,33 +195,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         n = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n[y].update({x for w in set(words_of(text)) for x in names(w)})
+                for w, k in Counter(words_of(text)).items():
+                    for name in names(w.lower()):
+                        n[y][name] += k
         every = sorted(n[0].keys() | n[1].keys())
         for i in range(0, len(every), 50_000):
             part = every[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([n[1][w] for w in part], pa.int64()), pa.array([n[0][w] for w in part], pa.int64())], ["word", "toxic", "clean"])
 
-    counts, counted = scratch.keep(rows.filter("not aside").select("text", "y").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    chosen = log_odds(counts).join(counts, "word").select("word", "gain", "clean").orderBy(F.desc("gain"), "word").limit(WORDS).collect()
-    gain = {r.word: r.gain - DRIFT for r in chosen}
-    tokens = float(counts.agg(F.sum("clean")).first()[0] or 0)
-    model = Model(gain, chance_scale(gain, Counter({r.word: r.clean for r in chosen}), tokens))
+    counts = rows.filter("not aside").select("text", "y").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    model = Model.of(log_odds(dict(zip(counts["word"].to_pylist(), zip(counts["toxic"].to_pylist(), counts["clean"].to_pylist(), strict=True), strict=True))))
+    shared = spark.sparkContext.broadcast(model)  # 12 bytes for each distinct word and stem of the sample
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(words_of(t)) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["e", "y"])
-
-    seen = rows.filter("aside").select("text", "y").mapInArrow(stats, "e double, y int").collect()
-    calibrate(model, np.array([r.e for r in seen]), np.array([r.y for r in seen]))
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            found = [shared.value.found(w) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([[x[2] for x in f] for f in found], pa.list_(pa.float64())), pa.array([[x[3] for x in f] for f in found], pa.list_(pa.float64())), pa.array([len(w) for w in words], pa.int64()), b.column(1)], ["s", "d", "n", "y"])
+
+    seen = rows.filter("aside").select("text", "y").mapInArrow(stats, "s array<double>, d array<double>, n long, y int").collect()
+    model.scale, model.size = law(np.array([x for r in seen if r.y == 0 for x in r.s]), sum(r.n for r in seen if r.y == 0))
+    calibrate(model, np.array([model.evidence(r.d, r.n) for r in seen]), np.array([r.y for r in seen]))
+    shared.unpersist()
     scratch.drop(path)
-    scratch.drop(counted)
     return model
 
 
 def calibrate(model: Model, e: np.ndarray, y: np.ndarray) -> None:
     """A logistic curve of log(1 + evidence); without rows of both classes a steep default."""
     if len(y) == 0 or y.min() == y.max():
-        model.slope, model.shift = 4.0, -3.0 if len(y) == 0 or model.gain else -30.0
+        model.slope, model.shift = 4.0, -3.0 if len(model.keys) else -30.0
         return
     x = np.log1p(e)
     goal = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y <= 0).sum() + 2))
@@ -214,7 +244,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and every significant toxic passage: code point offsets, text, score in nats and log of the expected number by chance."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most WORDS entries
+    shared = spark.sparkContext.broadcast(model)  # 12 bytes for each distinct word and stem of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -223,13 +253,11 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             scores, spans = [], []
             for text in b.column(1).to_pylist():
                 words = words_of(text)
-                found = [x for x in m.found(words) if x[3] < 0]
-                scores.append(m.score(sum(-x[3] for x in found)))
-                if found and len((text or "").lower()) == len(text):
-                    at = [x.span() for x in WORD.finditer(text.lower())]
-                    spans.append([{"start": at[p][0], "end": at[q][1], "text": text[at[p][0] : at[q][1]], "score": s, "log_expected": e} for p, q, s, e in found])
-                else:  # lower-casing changed the length: the passage is given without offsets
-                    spans.append([{"start": None, "end": None, "text": " ".join(words[p : q + 1]), "score": s, "log_expected": e} for p, q, s, e in found])
+                found = m.found(words)
+                scores.append(m.score(m.evidence([x[3] for x in found], len(words))))
+                sure = [(p, q, s, e) for p, q, s, _ in found if (e := m.chance(s, len(words))) < 0]
+                at = [x.span() for x in WORD.finditer(text)] if sure else []
+                spans.append([{"start": at[p][0], "end": at[q][1], "text": text[at[p][0] : at[q][1]], "score": s, "log_expected": e} for p, q, s, e in sure])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, score double, passages array<struct<start:long,end:long,text:string,score:double,log_expected:double>>")

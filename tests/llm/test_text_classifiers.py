@@ -70,7 +70,7 @@ def test_toxicity_held_out(spark):
     assert len(rows) == 1000 and all(r.held_out == (fold(r.doc_id, 4) == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(r.score, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
     s, t = map(np.array, zip(*held, strict=True))
-    assert auc(s, t) > 0.8
+    assert auc(s, t) > 0.97 and ((s >= 0.3) == t).mean() > 0.95
 
 
 def test_language_held_out(spark):
@@ -171,18 +171,45 @@ def brute_segments(x):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([0.0, 0.0, 0.0, 0.31, 0.57, 1.13]), max_size=14))
-def test_segments_are_maximal(gains):
-    drift = 0.23
-    at = [i for i, g in enumerate(gains) if g]
-    got = toxicity.segments(at, [gains[i] for i in at], drift)
-    want = brute_segments([g or -drift for g in gains])
+@given(st.lists(st.sampled_from([-0.23, -0.41, -0.07, 0.31, 0.57, 1.13]), max_size=14))
+def test_segments_are_maximal(x):
+    total = np.concatenate(([0.0], np.cumsum(x)))
+    at = [i for i, g in enumerate(x) if g > 0]
+    got = toxicity.segments(at, [total[i] for i in at], [total[i + 1] for i in at])
+    want = brute_segments(x)
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_log_odds_have_the_priors_of_stems():
+    got = toxicity.log_odds({"vile": (40, 0), "calm": (10, 90), "wretched": (5, 0), "wretch~": (9, 1), "wretc~": (9, 1), "wret~": (9, 1)})
+    base, p = 55 / 145, toxicity.PRIOR
+    share = lambda t, c, rest: (t + p * rest) / (t + c + p)
+    odds = lambda x: np.log(x / (1 - x)) - np.log(base / (1 - base))
+    stem = share(9, 1, share(9, 1, share(9, 1, base)))
+    assert np.allclose([got["vile"], got["calm"], got["wretch~"], got["wretched"]], [odds(share(40, 0, base)), odds(share(10, 90, base)), odds(stem), odds(share(5, 0, stem))])
+    m = toxicity.Model.of(got)
+    assert np.isclose(m.met["WRETCHEDNESS"], got["wretch~"] - toxicity.DRIFT, atol=1e-5) and m.met["unknown"] == -toxicity.DRIFT
+    assert toxicity.log_odds({"vile": (40, 0)}) == {}
+
+
+def test_extreme_value_law_is_found():
+    """Steps of a normal law with mean -m and deviation 1 have lambda = 2 m."""
+    g, scores, n = np.random.default_rng(5), [], 0
+    for _ in range(40):
+        x = g.standard_normal(20_000) - 0.4
+        total = np.concatenate(([0.0], np.cumsum(x)))
+        at = np.flatnonzero(x > 0)
+        scores += [s for *_, s in toxicity.segments(at.tolist(), total[at].tolist(), total[at + 1].tolist())]
+        n += len(x)
+    scale, size = toxicity.law(np.array(scores), n)
+    assert abs(scale - 0.8) < 0.25
+    expected = size * n * np.exp(-scale * 6)
+    assert 0.4 < sum(s >= 6 for s in scores) / expected < 2.5
+
+
 def test_passages_have_offsets(spark, docs_of):
-    model = toxicity.Model({"vile": 6.0})
+    model = toxicity.Model.of({"vile": 6.0})
     model.slope, model.shift = 4.0, -3.0
-    r = toxicity.passages(docs_of([(1, "so nice. VILE vile things " + "calm " * 50)]), model).collect()[0]
-    assert [(p.text, p.start, p.end) for p in r.passages] == [("VILE vile", 9, 18)]
+    r = toxicity.passages(docs_of([(1, "so nice. VILE vile things " + "calm " * 50 + "\u0130 vile")]), model).collect()[0]
+    assert [(p.text, p.start, p.end) for p in r.passages] == [("VILE vile", 9, 18), ("vile", 278, 282)]
