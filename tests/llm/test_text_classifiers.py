@@ -114,14 +114,68 @@ def test_language_edge_cases(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.Model([], [])).collect()} == {"und"}
 
 
-def test_rare_grams_count_in_a_large_corpus(spark, docs_of):
-    docs = docs_of([(i, "the same words again " * 6000 + f"{'abcdefghij'[i % 10] * 2}zq{'klmnopqrst'[i // 10]}") for i in range(40)])
-    texts = [r.text for r in langid.training_rows(docs, 4, 2).filter("not aside").collect()]
-    keys, counts = langid.tally(langid.grams(*langid.symbols(texts))[0])
-    assert counts.sum() > 1 << 18 and (counts == 1).any() and (counts == 2).any()
-    got, want = langid.train(docs).each[0], langid.KneserNey(keys, counts)
-    for n in range(1, langid.ORDER + 1):
-        assert all((a == b).all() for a, b in zip((*got.logp[n], *got.left[n]), (*want.logp[n], *want.left[n]), strict=True))
+class BruteKneserNey:
+    """Interpolated Kneser-Ney by its definition, over dictionaries of tuples."""
+
+    def __init__(self, texts):
+        self.count, self.discount = [{} for _ in range(5)], [0] * 5
+        for text in texts:
+            out, _ = langid.symbols([text])
+            s = out.tolist()
+            for i in range(4, len(s)):
+                g = tuple(s[i - 3 : i + 1])
+                self.count[4][g] = self.count[4].get(g, 0) + 1
+        for n in (3, 2, 1):
+            for g in {g[-n - 1 :] for g in self.count[n + 1]}:
+                self.count[n][g[1:]] = self.count[n].get(g[1:], 0) + 1
+        for n in range(1, 5):
+            one, two = (sum(c == k for c in self.count[n].values()) for k in (1, 2))
+            self.discount[n] = one / (one + 2 * two) if one and two else 0.5
+
+    def p(self, g):
+        n = len(g)
+        if not n:
+            return langid.UNIFORM
+        total = sum(c for x, c in self.count[n].items() if x[:-1] == g[:-1])
+        if not total:
+            return self.p(g[1:])
+        kinds = sum(x[:-1] == g[:-1] for x in self.count[n])
+        return max(self.count[n].get(g, 0) - self.discount[n], 0) / total + self.discount[n] * kinds / total * self.p(g[1:])
+
+    def entropy(self, text):
+        s = langid.symbols([text])[0].tolist()
+        return -np.mean([np.log(self.p(tuple(s[i - 3 : i + 1]))) for i in range(4, len(s))])
+
+
+def test_cross_entropies_against_brute_force(spark, docs_of):
+    texts = {"aa": ["abracadabra alakazam zara", "bazar abra", "aab abc q"], "bb": ["hokus pokus fidibus", "pokus dreimal", "schwarzer kater x"], "cc": ["äöü été 日本語 日本"]}
+    rows = [(i * 4, t, lang) for i, (lang, t) in enumerate((k, t) for k, each in texts.items() for t in each)]
+    model = langid.train(docs_of(rows), modulus=1, held=5)
+    assert model.names == ["aa", "bb", "cc"]
+    ask = ["abra kadabra", "pokus", "日本 été", "zzz", "a"]
+    h, n = model.entropies(ask)
+    for j, name in enumerate(model.names):
+        brute = BruteKneserNey(texts[name])
+        assert np.allclose(h[:, j], [brute.entropy(t) for t in ask], atol=1e-5)
+
+
+def test_languages_in_several_passes(spark, docs_of, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.train(docs)
+    cols = ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"]
+    one = sorted(map(tuple, langid.identify(docs, model).select(cols).collect()))
+    monkeypatch.setattr(langid, "GROUP_BYTES", 1)
+    assert len(model.groups()) == len(model.names) > 2
+    assert sorted(map(tuple, langid.identify(docs, model).select(cols).collect())) == one
+
+
+def test_all_rows_count_but_those_for_the_calibration(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION", 3)
+    docs = docs_of([(i, f"word{chr(97 + i % 26)} again", "en") for i in range(400)] + [(1000 + i, "seltene worte", "de") for i in range(5)] + [(2000, None, "en")])
+    rows = langid.training_rows(docs, 4, 2).collect()
+    assert sum(r.aside for r in rows) == 3 and all(r.lang == "en" for r in rows if r.aside)
+    assert len(rows) == sum(fold(i, 4) != 2 for i in [*range(400), *range(1000, 1005)])
+    assert langid.train(docs).names == ["de", "en"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -149,12 +203,15 @@ def test_kneser_ney_sums_to_one():
 
 
 def test_hash_array():
+    import pickle
+
     g = np.random.default_rng(0)
     keys = np.unique(g.integers(0, 2**60, 5000).astype(np.uint64))
-    a = langid.HashArray(keys)
-    at = a.find(keys)
-    assert (keys[a.order][at] == keys).all()
-    assert (a.find(keys + np.uint64(2**61)) == -1).all()
+    for a in (langid.HashArray(keys, np.arange(len(keys))), pickle.loads(pickle.dumps(langid.HashArray(keys, np.arange(len(keys)))))):
+        value, hit = a.find(keys)
+        assert hit.all() and (value == np.arange(len(keys))).all()
+        assert not a.find(keys + np.uint64(2**61))[1].any()
+    assert not langid.HashArray(keys[:0], np.zeros(0)).find(keys)[1].any()
 
 
 def brute_segments(x):
