@@ -10,12 +10,14 @@ position in (SPAN - GRAM + 2) / 2 is moved.
 2. Each bucket of hashes returns to every batch those that some other document has too. Most text ends here.
 3. For the rest a batch sends contexts: the bytes that the strings of an anchor span, once for each distinct context, with the
    smallest id that has it. Long ties, such as copies, so come once a batch.
-4. Each bucket of contexts sorts its suffixes. Suffixes at offsets in a difference cover are sorted first and give ranks
-   and common prefix lengths; every other suffix is then sorted by the few bytes before its next cover suffix and the rank of
-   that one, cut to the depth that is left. Equal strings get one name; the smallest id of each is returned as a bit.
+4. Each bucket of contexts is a suffix bucket, sorted at a time. Equal contexts are taken once. The suffixes at all their offsets are sorted together:
+   by their first PERIOD bytes, and those that tie there by ranks computed before. These are ranks of the suffixes at offsets in a difference cover:
+   any two suffixes have a shift under PERIOD that brings both into it, so the order of two that tie is that of their ranks at this shift, however long
+   the tie. Neighbours in order that share SPAN bytes are equal strings; the smallest id of each is returned as a bit.
 5. Batches mark bytes, and give digests.
 
-Memory is bounded by the sizes of a batch and of a bucket, both of which stay the same as the corpus grows.
+Memory is bounded by the sizes of a batch and of a bucket. A batch stays the same as the corpus grows, and so does a bucket but for
+contexts that very many batches share: these come to their bucket once a batch.
 
 Edge cases: null text counts as empty; rows with a null id lose nothing and are no source; rows that repeat an id
 are one document, so they don't take from each other; texts of any length are taken whole; ties (equal ids) never
@@ -39,8 +41,12 @@ GRAMS = SPAN - GRAM + 1
 WIDTH = SPAN + GRAMS - 1
 BATCH_BYTES = 1_500_000
 BUCKET_ANCHORS = 150_000
+#: Suffixes that are sorted at a time.
+BLOCK_SUFFIXES = 400_000
 PERIOD = 16
-POSITION_BITS = 30
+#: Rows of contexts with room behind them for words and names that begin near their end.
+WIDE = -(-(WIDTH + PERIOD) // 8) * 8 + 8
+POSITION_BITS = 32
 NONE = np.iinfo(np.int64).max
 
 
@@ -163,60 +169,113 @@ def shared_hashes(parts: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(kept, np.cumsum(counts)[:-1])
 
 
-def words_at(rows: np.ndarray, at: int, size: int) -> list[np.ndarray]:
-    """size bytes of each row from at, as big-endian words, the last one filled with zeros."""
-    out = []
-    for i in range(at, at + size, 8):
-        n = min(8, at + size - i, rows.shape[1] - i)
-        w = np.zeros((len(rows), 8), np.uint8)
-        w[:, :n] = rows[:, i : i + n]
-        out.append(w.view(">u8")[:, 0].astype(np.uint64))
+def shifts(cover: list[int], period: int = PERIOD) -> np.ndarray:
+    """For each pair of residues the least shift that brings both into the cover; a set that isn't a difference cover has none for some pair."""
+    inside = np.isin(np.arange(2 * period) % period, cover)
+    out = np.zeros((period, period), np.int64)
+    for a in range(period):
+        for b in range(period):
+            both = np.flatnonzero(inside[a : a + period] & inside[b : b + period])
+            if not len(both):
+                raise ValueError(f"no shift brings {a} and {b} into {cover}")
+            out[a, b] = both[0]
     return out
 
 
-class CoverRanks:
-    """The suffixes of all rows at one offset in order, with the length that each shares with the one before."""
-
-    def __init__(self, rows: np.ndarray, at: int):
-        size = min(SPAN, rows.shape[1] - at)
-        keys = words_at(rows, at, size)
-        self.order = np.lexsort(keys[::-1])
-        part = rows[self.order, at : at + size]
-        differ = part[1:] != part[:-1]
-        shared = np.where(differ.any(1), differ.argmax(1), size) if len(rows) > 1 else np.zeros(0, np.int64)
-        self.lcp = np.concatenate(([0], shared))
+def dense(keys: list[np.ndarray]) -> np.ndarray:
+    """Ranks by keys, the first of which counts most; equal ones share a rank."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), np.int64)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
-    def names(self, depth: int) -> np.ndarray:
-        """The rank of each row's suffix, cut to so many bytes."""
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.cumsum(self.lcp < depth)
-        return out
 
+class Suffixes:
+    """Contexts as rows of bytes, all suffixes of which can be compared: by big-endian words, and by the ranks of cover suffixes."""
 
-def earlier(rows: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each context a bit mask of the offsets whose string also starts in a context with a smaller id."""
+    def __init__(self, rows: np.ndarray):
+        wide = np.zeros((len(rows), WIDE), np.uint8)
+        wide[:, :WIDTH] = rows
+        self.bytes = wide
+        self.word = np.empty((len(rows), WIDE - 8), np.uint64)
+        for i in range(8):
+            part = np.ascontiguousarray(wide[:, i : i + (WIDE - 8 - i + 7) // 8 * 8])
+            self.word[:, i::8] = part.view(">u8")[:, : self.word[:, i::8].shape[1]]
+        self.rank = np.zeros((0, 0), np.int64)
+
+    def rank_cover(self, cover: list[int]) -> None:
+        """Ranks of all suffixes that begin at an offset in the cover: names of PERIOD bytes, then of what follows them, PERIOD bytes on, which is in the cover too."""
+        at = np.array([o for o in range(0, WIDTH) if o % PERIOD in cover])
+        names = np.zeros((len(self.word), WIDTH + 5 * PERIOD), np.int64)
+        names[:, at] = dense([self.word[:, at].ravel(), self.word[:, at + 8].ravel()]).reshape(len(self.word), -1) + 1
+        self.rank = np.zeros((len(self.word), WIDTH), np.int64)
+        self.rank[:, at] = dense([names[:, at + k * PERIOD].ravel() for k in range(-(-WIDTH // PERIOD))]).reshape(len(self.word), -1)
+
+    def order(self, row: np.ndarray, at: np.ndarray, group: np.ndarray, cover: list[int]) -> np.ndarray:
+        """Order of suffixes within groups (numbers in order) of which all share PERIOD bytes.
+
+        A suffix comes after as many of each residue as are smaller than it: both are compared by their ranks at the shift that brings the two
+        residues into the cover. Suffixes of one residue so are in order at once, and are met by binary search.
+        """
+        shift, most = shifts(cover), int(self.rank.max()) + 2
+        kind = at % PERIOD
+        members = [np.flatnonzero(kind == r) for r in range(PERIOD)]
+        place = np.zeros(len(row), np.int64)
+        for a, x in enumerate(members):
+            for b, y in enumerate(members):
+                if len(x) and len(y):
+                    d = shift[a, b]
+                    known = np.sort(group[y] * most + self.rank[row[y], at[y] + d])
+                    place[x] += np.searchsorted(known, group[x] * most + self.rank[row[x], at[x] + d]) - np.searchsorted(known, group[x] * most)
+        return np.lexsort([place, group])
+
+
+def earlier(rows: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray, cover: list[int] | None = None, block: int = 0) -> np.ndarray:
+    """For each context a bit mask of the offsets whose string also starts in a context with a smaller id.
+
+    The suffixes at all offsets are sorted together, a block of them (by their first bytes) at a time: by their first PERIOD bytes, and those that
+    tie by cover ranks. Neighbours in order that share SPAN bytes are equal strings.
+    """
+    cover, block = COVER if cover is None else cover, block or BLOCK_SUFFIXES
     bits = np.zeros(len(rows), np.uint64)
-    ranks: dict[int, CoverRanks] = {}
-    for offset in range(GRAMS - 1, -1, -1):
-        use = np.flatnonzero((low <= offset) & (offset <= high))
-        if len(use) < 2:
+    s = Suffixes(rows)
+    size = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(rows)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row]
+    first = s.word[row, at]
+    parts = max(1, -(-len(row) // block))
+    cuts = np.unique(np.quantile(first[:: max(1, len(first) // 10_000)], np.arange(1, parts) / parts, method="lower")) if parts > 1 else np.zeros(0, np.uint64)
+    of = np.searchsorted(cuts, first, "right")
+    for k in range(len(cuts) + 1):
+        x = np.flatnonzero(of == k) if len(cuts) else np.arange(len(row))
+        if len(x) < 2:
             continue
-        ahead = next(d for d in range(PERIOD) if (offset + d) % PERIOD in COVER)
-        if offset + ahead not in ranks:
-            ranks = {k: v for k, v in ranks.items() if k <= offset + ahead}
-            ranks[offset + ahead] = CoverRanks(rows, offset + ahead)
-        name = ranks[offset + ahead].names(SPAN - ahead)[use]
-        keys = [name, *words_at(rows[use], offset, ahead)[::-1]] if ahead else [name]
-        order = np.lexsort(keys)
-        new = np.zeros(len(order), bool)
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[order][1:] != k[order][:-1]
-        at = np.flatnonzero(new)
-        least = np.minimum.reduceat(owner[use[order]], at)
-        least = np.repeat(least, np.diff(np.append(at, len(order))))
-        hit = use[order[least < owner[use[order]]]]
-        bits[hit] |= np.uint64(1 << offset)
+        a, b = first[x], s.word[row[x], at[x] + 8]
+        order = np.lexsort([b, a])
+        new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+        group = np.cumsum(new) - 1
+        tied = np.bincount(group)[group] > 1
+        x, group = x[order[tied]], group[tied]
+        if not len(x):
+            continue
+        if not len(s.rank):
+            s.rank_cover(cover)
+        o = s.order(row[x], at[x], group, cover)
+        x = x[o]
+        flat = s.bytes.ravel()
+        same = np.ones(len(x) - 1, bool)
+        begin = row[x] * WIDE + at[x]
+        for i in range(0, len(x) - 1, 1 << 16):
+            p = begin[i : i + (1 << 16) + 1]
+            text = flat[p[:, None] + np.arange(SPAN)[None, :]]
+            same[i : i + (1 << 16)] = (text[1:] == text[:-1]).all(1)
+        head = np.flatnonzero(np.concatenate(([True], ~same)))
+        least = np.repeat(np.minimum.reduceat(owner[row[x]], head), np.diff(np.append(head, len(x))))
+        hit = x[least < owner[row[x]]]
+        np.bitwise_or.at(bits, row[hit], np.uint64(1) << at[hit].astype(np.uint64))
     return bits
 
 
@@ -236,7 +295,13 @@ def judged(ctx: np.ndarray, owner: np.ndarray) -> np.ndarray:
     at, group = np.flatnonzero(new), np.cumsum(new) - 1
     first = order[at]
     low, high = ctx[first, WIDTH].astype(np.int64), ctx[first, WIDTH + 1].astype(np.int64)
-    bits = earlier(ctx[first, :WIDTH], low, high, owner[first])
+    # equal strings have equal anchors, so a context whose anchor no other has is done
+    anchor = np.ascontiguousarray(ctx[first, GRAMS - 1 : GRAMS - 1 + GRAM]).view(np.uint64)
+    name = dense([anchor[:, 0], anchor[:, 1]])
+    rest = np.flatnonzero(np.bincount(name)[name] > 1)
+    bits = np.zeros(len(first), np.uint64)
+    if len(rest):
+        bits[rest] = earlier(ctx[first[rest], :WIDTH], low[rest], high[rest], owner[first[rest]])
     full = ((np.uint64(1) << (high - low + 1).astype(np.uint64)) - np.uint64(1)) << low.astype(np.uint64)
     out = np.empty(len(ctx), np.uint64)
     out[order] = np.where(owner[order] > owner[first][group], full[group], bits[group])
@@ -272,7 +337,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
     bits = max(0, int(np.ceil(np.log2(max(1.0, size * 2 / (GRAMS + 1) / BUCKET_ANCHORS)))))
-    dealt = plain.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    # by id and text, so that rows that repeat an id, or have none, don't all come into one batch
+    dealt = plain.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     batch_of = lambda t: Batch(t.column("doc_id").to_pylist(), t.column("text").to_pylist())
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:

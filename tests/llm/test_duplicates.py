@@ -206,12 +206,48 @@ def test_difference_cover(period):
     assert {(a - b) % period for a in cover for b in cover} == set(range(period)) and len(cover) < period
 
 
-def test_cover_ranks_sort_suffixes():
+def brute_earlier(rows, low, high, owner):
+    first = {}
+    for r, (a, b) in enumerate(zip(low, high, strict=True)):
+        for o in range(a, b + 1):
+            k = bytes(rows[r, o : o + substrings.SPAN])
+            first[k] = min(first.get(k, owner[r]), owner[r])
+    return [sum(1 << o for o in range(a, b + 1) if first[bytes(rows[r, o : o + substrings.SPAN])] < owner[r]) for r, (a, b) in enumerate(zip(low, high, strict=True))]
+
+
+def shifted_rows(n=120):
+    """Contexts cut from few texts at any place, so that equal strings lie at different offsets."""
     g = np.random.default_rng(0)
-    rows = g.integers(97, 99, (200, substrings.WIDTH)).astype(np.uint8)
-    ranks = substrings.CoverRanks(rows, 3)
-    text = [bytes(r[3 : 3 + substrings.SPAN]) for r in rows]
-    assert [text[i] for i in ranks.order] == sorted(text)
-    for depth in (1, 5, 50):
-        name = ranks.names(depth)
-        assert all((name[i] == name[j]) == (text[i][:depth] == text[j][:depth]) for i in range(40) for j in range(40))
+    texts = [g.integers(97, 99, 150), np.full(150, 97), np.tile([97, 98, 98], 50), np.repeat([97, 98], 75)]
+    rows = np.stack([texts[g.integers(4)][k : k + substrings.WIDTH] for k in g.integers(0, 60, n)]).astype(np.uint8)
+    rows[::7, 60] = 99
+    low = g.integers(0, 20, n)
+    return rows, low, low + g.integers(0, 15, n), g.integers(0, 50, n)
+
+
+@pytest.mark.parametrize("block", [10**6, 200, 3])
+def test_strings_at_different_offsets_are_matched(block):
+    rows, low, high, owner = shifted_rows()
+    assert substrings.earlier(rows, low, high, owner, block=block).tolist() == brute_earlier(rows, low, high, owner)
+
+
+def test_suffixes_are_in_order_by_a_cover_only():
+    """Ties are broken at the shift that brings both suffixes into the cover; a set that isn't a cover has no such shift."""
+    rows, low, high, owner = shifted_rows()
+    s = substrings.Suffixes(rows)
+    s.rank_cover(substrings.COVER)
+    row, at = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(substrings.GRAMS), indexing="ij"))
+    text = [bytes(s.bytes[r, o : o + 16]) for r, o in zip(row, at, strict=True)]
+    group = np.array([sorted(set(text)).index(x) for x in text])
+    whole = [bytes(rows[r, o:]).ljust(200, b"\0") for r, o in zip(row, at, strict=True)]
+    order = s.order(row, at, group, substrings.COVER)
+    assert [whole[k] for k in order] == sorted(whole)
+    for bad in ([0], [5], [0, 8], [3, 7], substrings.COVER[:-1]):
+        with pytest.raises(ValueError):
+            substrings.earlier(rows, low, high, owner, cover=bad)
+
+
+def test_rows_without_an_id_are_dealt_by_text(spark, docs_of):
+    rows = [(None, f"text {i} " * 30) for i in range(40)] + [(5, f"text {i} " * 30) for i in range(40)]
+    got = sorted((tuple(x) for x in substrings.remove_repeats(docs_of(rows)).collect()), key=str)
+    assert got == brute_removed(rows)
