@@ -33,8 +33,8 @@ END = 1
 TOKENIZER = "byte_bpe_50k"
 #: The tokenizer's special mark (fixed value).
 MARK = "<|endoftext|>"
-#: Bytes of text in one partition of the sorted documents.
-PART_BYTES = 48 << 20
+#: Bytes of text in one partition of the sorted documents, and partitions at most (beyond, they hold more; nothing grows in memory with them).
+PART_BYTES, MOST_PARTS = 16 << 20, 100_000
 #: Texts of these characters only, without very long words or runs of white space, go to the faster of two libraries with the same result.
 OTHER = re.compile("[^\x00-ɏ]")
 LONG = 400
@@ -221,7 +221,7 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def along_curve(docs: DataFrame) -> DataFrame:
-    """doc_id and text, range-sorted by the Hilbert key into partitions of about PART_BYTES. The key is cheap, as sorting by range takes it twice.
+    """doc_id and text, range-sorted by the Hilbert key into partitions of about PART_BYTES, at most MOST_PARTS of them. The key is cheap, as sorting by range takes it twice.
 
     Equal keys are split by a hash of id and text.
     """
@@ -234,7 +234,7 @@ def along_curve(docs: DataFrame) -> DataFrame:
 
     plain = doc_columns(docs)
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES), min(3 * spark.sparkContext.defaultParallelism, -(-size // (1 << 20))))
+    parts = max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
     keyed = plain.withColumn("hilbert", key("text"))
     return keyed.repartitionByRange(parts, "hilbert", F.xxhash64("doc_id", "text")).sortWithinPartitions("hilbert", "doc_id")
 

@@ -42,8 +42,9 @@ WIDTH = SPAN + GRAMS - 1
 BATCH_BYTES = 1_500_000
 BUCKET_ANCHORS = 150_000
 #: Suffixes that are sorted at a time.
-BLOCK_SUFFIXES = 400_000
+BLOCK_SUFFIXES = 200_000
 PERIOD = 16
+DEPTH = 4
 #: Rows of contexts with room behind them for words and names that begin near their end.
 WIDE = -(-(WIDTH + PERIOD) // 8) * 8 + 8
 POSITION_BITS = 32
@@ -197,39 +198,54 @@ class Suffixes:
     """Contexts as rows of bytes, all suffixes of which can be compared: by big-endian words, and by the ranks of cover suffixes."""
 
     def __init__(self, rows: np.ndarray):
-        wide = np.zeros((len(rows), WIDE), np.uint8)
-        wide[:, :WIDTH] = rows
-        self.bytes = wide
-        self.word = np.empty((len(rows), WIDE - 8), np.uint64)
-        for i in range(8):
-            part = np.ascontiguousarray(wide[:, i : i + (WIDE - 8 - i + 7) // 8 * 8])
-            self.word[:, i::8] = part.view(">u8")[:, : self.word[:, i::8].shape[1]]
+        self.bytes = np.zeros((len(rows), WIDE), np.uint8)
+        self.bytes[:, :WIDTH] = rows
+        self.flat = np.ndarray((max(0, self.bytes.size - 7),), ">u8", self.bytes.data, 0, (1,))
+        self.of: np.ndarray = np.zeros(0, np.int64)
         self.rank = np.zeros((0, 0), np.int64)
 
-    def rank_cover(self, cover: list[int]) -> None:
-        """Ranks of all suffixes that begin at an offset in the cover: names of PERIOD bytes, then of what follows them, PERIOD bytes on, which is in the cover too."""
-        at = np.array([o for o in range(0, WIDTH) if o % PERIOD in cover])
-        names = np.zeros((len(self.word), WIDTH + 5 * PERIOD), np.int64)
-        names[:, at] = dense([self.word[:, at].ravel(), self.word[:, at + 8].ravel()]).reshape(len(self.word), -1) + 1
-        self.rank = np.zeros((len(self.word), WIDTH), np.int64)
-        self.rank[:, at] = dense([names[:, at + k * PERIOD].ravel() for k in range(-(-WIDTH // PERIOD))]).reshape(len(self.word), -1)
+    def word(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Eight bytes of each of the rows, in the order of texts."""
+        return self.flat[row * WIDE + at].astype(np.uint64)
+
+    def rank_cover(self, some: np.ndarray, cover: list[int]) -> None:
+        """Ranks of the suffixes of some rows that begin at an offset in the cover, cut at DEPTH names: names of PERIOD bytes, each followed by the one PERIOD bytes on, which is in the cover too.
+
+        DEPTH names are more than SPAN bytes, so what the cut leaves undecided shares a whole string.
+        """
+        at = np.array([o for o in range(WIDTH) if o % PERIOD in cover])
+        row = np.repeat(some, len(at))
+        col = np.tile(at, len(some))
+        names = np.zeros((len(some), WIDTH + DEPTH * PERIOD), np.int64)
+        names[:, at] = dense([self.word(row, col), self.word(row, col + 8)]).reshape(len(some), -1) + 1
+        at = at[at < GRAMS + PERIOD]  # no offset is further than GRAMS - 1, no shift reaches PERIOD
+        self.rank = np.zeros((len(some), GRAMS + PERIOD), np.int64)
+        self.rank[:, at] = dense([names[:, at + k * PERIOD].ravel() for k in range(DEPTH)]).reshape(len(some), -1)
+        self.of = np.full(len(self.bytes), -1, np.int64)
+        self.of[some] = np.arange(len(some))
 
     def order(self, row: np.ndarray, at: np.ndarray, group: np.ndarray, cover: list[int]) -> np.ndarray:
-        """Order of suffixes within groups (numbers in order) of which all share PERIOD bytes.
+        """Order of suffixes within groups (numbers from 0) of which all share PERIOD bytes.
 
         A suffix comes after as many of each residue as are smaller than it: both are compared by their ranks at the shift that brings the two
         residues into the cover. Suffixes of one residue so are in order at once, and are met by binary search.
         """
         shift, most = shifts(cover), int(self.rank.max()) + 2
-        kind = at % PERIOD
+        kind, line = at % PERIOD, self.of[row]
         members = [np.flatnonzero(kind == r) for r in range(PERIOD)]
+        key = lambda x, d: group[x] * most + self.rank[line[x], at[x] + d]
         place = np.zeros(len(row), np.int64)
-        for a, x in enumerate(members):
-            for b, y in enumerate(members):
-                if len(x) and len(y):
-                    d = shift[a, b]
-                    known = np.sort(group[y] * most + self.rank[row[y], at[y] + d])
-                    place[x] += np.searchsorted(known, group[x] * most + self.rank[row[x], at[x] + d]) - np.searchsorted(known, group[x] * most)
+        for b, y in enumerate(members):
+            if not len(y):
+                continue
+            before = np.concatenate(([0], np.cumsum(np.bincount(group[y], minlength=int(group.max()) + 1))))
+            known: dict[int, np.ndarray] = {}
+            for a, x in enumerate(members):
+                if len(x):
+                    d = int(shift[a, b])
+                    if d not in known:
+                        known[d] = np.sort(key(y, d))
+                    place[x] += np.searchsorted(known[d], key(x, d)) - before[group[x]]
         return np.lexsort([place, group])
 
 
@@ -245,33 +261,32 @@ def earlier(rows: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarr
     size = np.maximum(high - low + 1, 0)
     row = np.repeat(np.arange(len(rows)), size)
     at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row]
-    first = s.word[row, at]
+    first = s.word(row, at)
     parts = max(1, -(-len(row) // block))
     cuts = np.unique(np.quantile(first[:: max(1, len(first) // 10_000)], np.arange(1, parts) / parts, method="lower")) if parts > 1 else np.zeros(0, np.uint64)
     of = np.searchsorted(cuts, first, "right")
+    blocks = []
     for k in range(len(cuts) + 1):
         x = np.flatnonzero(of == k) if len(cuts) else np.arange(len(row))
         if len(x) < 2:
             continue
-        a, b = first[x], s.word[row[x], at[x] + 8]
+        a, b = first[x], s.word(row[x], at[x] + 8)
         order = np.lexsort([b, a])
-        new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
-        group = np.cumsum(new) - 1
+        group = np.cumsum(np.concatenate(([False], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))))
         tied = np.bincount(group)[group] > 1
-        x, group = x[order[tied]], group[tied]
-        if not len(x):
-            continue
-        if not len(s.rank):
-            s.rank_cover(cover)
-        o = s.order(row[x], at[x], group, cover)
-        x = x[o]
-        flat = s.bytes.ravel()
+        if tied.any():
+            group = group[tied]
+            blocks.append((x[order[tied]], np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))))
+    if not blocks:
+        return bits
+    s.rank_cover(np.flatnonzero(np.bincount(row[np.concatenate([x for x, _ in blocks])], minlength=len(rows))), cover)
+    for x, group in blocks:
+        x = x[s.order(row[x], at[x], group, cover)]
         same = np.ones(len(x) - 1, bool)
         begin = row[x] * WIDE + at[x]
-        for i in range(0, len(x) - 1, 1 << 16):
-            p = begin[i : i + (1 << 16) + 1]
-            text = flat[p[:, None] + np.arange(SPAN)[None, :]]
-            same[i : i + (1 << 16)] = (text[1:] == text[:-1]).all(1)
+        for i in range(0, SPAN, 8):  # the last word overlaps the one before
+            w = s.flat[begin + min(i, SPAN - 8)]
+            same &= w[1:] == w[:-1]
         head = np.flatnonzero(np.concatenate(([True], ~same)))
         least = np.repeat(np.minimum.reduceat(owner[row[x]], head), np.diff(np.append(head, len(x))))
         hit = x[least < owner[row[x]]]

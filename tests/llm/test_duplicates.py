@@ -235,11 +235,11 @@ def test_suffixes_are_in_order_by_a_cover_only():
     """Ties are broken at the shift that brings both suffixes into the cover; a set that isn't a cover has no such shift."""
     rows, low, high, owner = shifted_rows()
     s = substrings.Suffixes(rows)
-    s.rank_cover(substrings.COVER)
+    s.rank_cover(np.arange(len(rows)), substrings.COVER)
     row, at = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(substrings.GRAMS), indexing="ij"))
     text = [bytes(s.bytes[r, o : o + 16]) for r, o in zip(row, at, strict=True)]
     group = np.array([sorted(set(text)).index(x) for x in text])
-    whole = [bytes(rows[r, o:]).ljust(200, b"\0") for r, o in zip(row, at, strict=True)]
+    whole = [bytes(rows[r, o : o + substrings.SPAN]) for r, o in zip(row, at, strict=True)]
     order = s.order(row, at, group, substrings.COVER)
     assert [whole[k] for k in order] == sorted(whole)
     for bad in ([0], [5], [0, 8], [3, 7], substrings.COVER[:-1]):
