@@ -3,17 +3,18 @@
 Texts become words without punctuation; numbers, names (capitalised words that don't start a sentence) and units turn
 into typed placeholders and the rest into lower case. Windows of WINDOW canonical words of documents and benchmark items are
 joined by hash, and so are windows of their plain words in lower case: names can't be told in a text all in capitals or all in
-lower case, so an item copied in such letters matches by its plain words. Matches on one diagonal (position in the document less position in the item) must fill slots consistently: each slot value
-of the item stands for one value of the document, as the canonical windows have it. So a question with other numbers or names is found, and a
-chance likeness with clashing values isn't. A document is contaminated by an item if consistent diagonals match at
-least ENOUGH windows, or half of those that the item has; a window counts once, whichever kind matches.
+lower case, so an item copied in such letters matches by its plain words. A canonical window must fill its slots consistently: within
+it each slot value of the item stands for one value of the document, and the other way round. So a question with other numbers or names is found, and
+a chance likeness with clashing values isn't; one clash costs the windows around it, not the rest of the item, and windows whose words are equal always count. A document is contaminated by an item if consistent windows match at
+least ENOUGH places, or half of those that the item has; a place counts once, whichever kind matches.
 
 Windows are taken of candidates only: documents in which a gram of GRAM words, looked at in every STRIDE-th place, is an item's. Each window
 that an item shares holds such a place, so none is lost. Only hashes of grams and windows are joined: the benchmark's are broadcast if there are at most BROADCAST_WINDOWS of them, and both
 sides are shuffled otherwise; texts never move, except those with matches.
 
 Edge cases: null and empty texts match nothing, nor do items of fewer than WINDOW words; windows with fewer than LITERAL words
-that aren't placeholders match by plain words only; repeated rows of a document or an item count once; extra columns don't take part; ties don't
+that aren't placeholders match by plain words only; repeated rows of a document or an item count once, and rows that repeat an id with another text are
+each held against the items on their own (the id has what any of them has); extra columns don't take part; ties don't
 arise, as all items that match are given.
 
 The registered SQL knows canonical windows only. n_windows and n_slots are of these, as there; pairs that only plain words bring over
@@ -141,9 +142,9 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, item_windows, n_slots, n_matched, contaminated: every pair with a consistent diagonal.
+    """doc_id, item_id, n_windows, item_windows, n_slots, n_matched, contaminated: every pair with a consistent window.
 
-    n_windows counts canonical windows, n_matched those that match either way.
+    n_windows counts canonical windows, n_matched those that match either way, n_slots the item's slots that consistent windows cover.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -154,28 +155,29 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     keys = keys.unionByName(mine.filter("g <> h").select("item_id", "ipos", F.col("g").alias("h"), F.lit(False).alias("template")))
     small = keys.count() <= BROADCAST_WINDOWS
     docs = docs.filter("doc_id is not null and text is not null")
-    near = docs.join(candidates(docs, items, scratch), "doc_id", "left_semi")
-    joined = windows(near, "doc_id").join(F.broadcast(keys) if small else keys, "h")
-    hits, _ = scratch.keep(joined.groupBy("doc_id", "pos", "item_id", "ipos").agg(F.max(F.col("canonical") & F.col("template")).alias("canonical")))
-    # slots of the words that canonical windows match, once each; plain windows fill none
-    covered = hits.filter("canonical").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.explode(F.sequence(F.col("ipos"), F.col("ipos") + WINDOW - 1)).alias("at")).distinct()
-    found = hits.select("doc_id").distinct()
-    if found.count() <= BROADCAST_DOCS:
-        found = F.broadcast(found)
+    near = docs.join(candidates(docs, items, scratch), "doc_id", "left_semi").select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc"), "text")
+    joined = windows(near, "doc").join(F.broadcast(keys) if small else keys, "h")
+    hits, _ = scratch.keep(joined.groupBy("doc", "pos", "item_id", "ipos").agg(F.max(F.col("canonical") & F.col("template")).alias("canonical")))
+    # one row a document takes its words to its matches; a document's matches are bounded by its length and the items'
+    found = hits.filter("canonical").groupBy("doc").agg(F.collect_list(F.struct("item_id", "ipos", "pos")).alias("at"))
+    few = found.select("doc.doc_id").distinct()
+    if few.count() <= BROADCAST_DOCS:
+        few = F.broadcast(few)
     words = lambda rows, key, name: words_of(rows, key).select(key, F.split("m", " ").alias(name), "c")
-    texts = words(docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id", "there").drop("c")
-    wanted = covered.join(words(items, "item_id", "here"), "item_id").filter(F.col("c")[F.col("at")].isin("#", "@", "%"))
-    slots = wanted.select("doc_id", "item_id", "diagonal", "at", F.col("c")[F.col("at")].alias("kind"), F.col("here")[F.col("at")].alias("here")).join(texts, "doc_id")
-    slots = slots.select("doc_id", "item_id", "diagonal", "kind", "here", F.col("there")[F.col("at") + F.col("diagonal")].alias("there"))
-    values = slots.groupBy("doc_id", "item_id", "diagonal", "kind", "here").agg(F.min("there").alias("low"), F.max("there").alias("high"))
-    checked = values.groupBy("doc_id", "item_id", "diagonal").agg(F.count("*").alias("slots"), F.max((F.col("low") != F.col("high")).cast("int")).alias("clash"))
-    lines = hits.withColumn("diagonal", F.col("pos") - F.col("ipos")).join(checked, ["doc_id", "item_id", "diagonal"], "left").filter(F.coalesce("clash", F.lit(0)) == 0)
-    pairs = lines.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("ipos").alias("p"), F.collect_set(F.when(F.col("canonical"), F.col("ipos"))).alias("q"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"))
-    # an item has a bounded number of windows, so the set of positions met is small
-    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
-    pairs = pairs.groupBy("doc_id", "item_id").agg(distinct("q").alias("n_windows"), distinct("p").alias("n_matched"), F.sum("slots").alias("n_slots"))
-    sizes = mine.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    out = pairs.join(sizes, "item_id")
+    near = docs.join(few, "doc_id", "left_semi").select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc"), "text").dropDuplicates(["doc"])
+    cut = words(near, "doc", "words").join(found, "doc").select("doc", F.explode(F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["ipos"].alias("ipos"), F.slice("words", x["pos"] + 1, WINDOW).alias("there")))).alias("x"))
+    slots = cut.select("doc", "x.*").join(words(items, "item_id", "here"), "item_id")
+    slot = lambda k: F.struct(F.col("c")[F.col("ipos") + k].alias("kind"), F.col("here")[F.col("ipos") + k].alias("here"), F.col("there")[k].alias("there"), (F.col("ipos") + k).alias("place"))
+    slots = slots.select("doc", "item_id", "ipos", F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), slot), lambda x: x["kind"].isin("#", "@", "%")).alias("s"))
+    kinds = lambda *names: F.size(F.array_distinct(F.transform("s", lambda x: F.struct(x["kind"], *[x[n] for n in names]))))
+    sound = slots.filter((kinds("here") == kinds("here", "there")) & (kinds("there") == kinds("here", "there"))).select("doc", "item_id", "ipos", F.lit(True).alias("canonical"), F.transform("s", lambda x: x["place"]).alias("places"))
+    lines = sound.unionByName(hits.filter("not canonical").select("doc", "item_id", "ipos", F.lit(False).alias("canonical"), F.array().cast("array<int>").alias("places")))
+    # an item has a bounded number of windows, so the sets of places met are small
+    pairs = lines.groupBy(F.col("doc.doc_id").alias("doc_id"), "item_id").agg(
+        F.size(F.collect_set(F.when(F.col("canonical"), F.col("ipos")))).cast("long").alias("n_windows"), F.size(F.collect_set("ipos")).cast("long").alias("n_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_slots"),
+    )
+    out = pairs.join(mine.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
     return out.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_matched", ((F.col("n_matched") >= ENOUGH) | (2 * F.col("n_matched") >= F.col("item_windows"))).alias("contaminated"))
 
 
@@ -202,16 +204,15 @@ def _sql_windows(name: str, key: str, pos: str) -> str:
 OP8_SQL = f"""
 WITH dw AS ({_sql_words("documents", "doc_id")}), iw AS ({_sql_words("benchmark", "item_id")}),
 dx AS ({_sql_windows("dw", "doc_id", "pos")}), ix AS ({_sql_windows("iw", "item_id", "ipos")}),
-hits AS (SELECT DISTINCT doc_id, item_id, pos, ipos, pos - ipos AS diagonal FROM dx JOIN ix USING (w) WHERE ix.literal >= {LITERAL}),
-covered AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(range(ipos, ipos + {WINDOW})) AS k FROM hits),
-slots AS (SELECT doc_id, item_id, diagonal, iw.c[k + 1] AS kind, iw.r[k + 1] AS here, dw.r[k + diagonal + 1] AS there
-          FROM covered JOIN iw USING (item_id) JOIN dw USING (doc_id) WHERE iw.c[k + 1] IN ('#', '@', '%')),
-vals AS (SELECT doc_id, item_id, diagonal, kind, here, count(DISTINCT there) AS n FROM slots GROUP BY ALL),
-checked AS (SELECT doc_id, item_id, diagonal, count(*) AS slots, max(n) AS most FROM vals GROUP BY ALL),
-lines AS (SELECT h.*, coalesce(c.slots, 0) AS slots FROM hits h LEFT JOIN checked c USING (doc_id, item_id, diagonal) WHERE coalesce(c.most, 1) = 1),
-found AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows FROM lines GROUP BY ALL),
-n AS (SELECT doc_id, item_id, sum(slots)::BIGINT AS n_slots FROM (SELECT DISTINCT doc_id, item_id, diagonal, slots FROM lines) GROUP BY ALL),
+hits AS (SELECT DISTINCT doc_id, item_id, pos, ipos FROM dx JOIN ix USING (w) WHERE ix.literal >= {LITERAL}),
+filled AS (SELECT doc_id, item_id, ipos, list_transform(list_filter(range(1, {WINDOW + 1}), lambda k: iw.c[ipos + k] IN ('#', '@', '%')),
+             lambda k: {{'kind': iw.c[ipos + k], 'here': iw.r[ipos + k], 'there': dw.r[pos + k], 'place': ipos + k}}) AS s
+           FROM hits JOIN iw USING (item_id) JOIN dw USING (doc_id)),
+lines AS (SELECT doc_id, item_id, ipos, s FROM filled
+          WHERE len(list_distinct(list_transform(s, lambda x: [x.kind, x.here]))) = len(list_distinct(list_transform(s, lambda x: [x.kind, x.here, x.there])))
+            AND len(list_distinct(list_transform(s, lambda x: [x.kind, x.there]))) = len(list_distinct(list_transform(s, lambda x: [x.kind, x.here, x.there])))),
+found AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, len(list_distinct(flatten(list(list_transform(s, lambda x: x.place)))))::BIGINT AS n_slots FROM lines GROUP BY ALL),
 sizes AS (SELECT item_id, count(*) AS item_windows FROM ix GROUP BY ALL)
-SELECT doc_id, item_id, n_windows, item_windows, n_slots FROM found JOIN n USING (doc_id, item_id) JOIN sizes USING (item_id)
+SELECT doc_id, item_id, n_windows, item_windows, n_slots FROM found JOIN sizes USING (item_id)
 WHERE n_windows >= {ENOUGH} OR 2 * n_windows >= item_windows
 """

@@ -105,11 +105,19 @@ def test_templates_are_found(spark, docs_of):
     clash = ITEMS[0][1].replace("12 red", "77 red")
     docs = docs_of([(1, "some words before it. " + ITEMS[0][1] + " and after"), (2, "here: " + other), (3, "here: " + clash), (4, "nothing of this kind is in here, only plain words that go on and on for a while"), (5, None), (6, ""), (7, ITEMS[3][1]), (7, ITEMS[3][1]), (None, ITEMS[0][1])])
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench(spark)).filter("contaminated").collect()}
-    assert got == {(1, 1), (2, 1), (7, 4)}
+    assert got == {(1, 1), (2, 1), (3, 1), (7, 4)}
     assert decontaminate.matches(docs.limit(0), bench(spark)).count() == 0
     assert decontaminate.matches(docs, bench(spark).limit(0)).count() == 0
 
 
+def test_slots_are_consistent_within_a_window_both_ways(spark, docs_of):
+    item = spark.createDataFrame([(1, "so 3 red boxes and 3 blue balls with 5 lids go there")], "item_id long, text string")
+    docs = docs_of([(1, "so 4 red boxes and 4 blue balls with 9 lids go there"), (2, "so 4 red boxes and 7 blue balls with 9 lids go there"), (3, "so 4 red boxes and 4 blue balls with 4 lids go there"), (4, "so 4 red boxes and 4 blue balls with 9 lids go there"), (4, "quite another text about nothing of this at all")])
+    got = {r.doc_id: (r.n_windows, r.n_slots) for r in decontaminate.matches(docs, item).collect()}
+    # 13 words, six windows: the first two hold the two equal numbers (places 1 and 5), the other four the second and the third (5 and 9)
+    assert got == {1: (6, 3), 2: (4, 2), 3: (2, 2), 4: (6, 3)}
+
+
 def test_items_in_other_case_are_found(spark, docs_of):
     docs = docs_of([(1, "HERE IT IS: " + ITEMS[0][1].upper() + " AND ON"), (2, ITEMS[0][1].lower()), (3, "so " + ITEMS[3][1].upper()), (4, "NOTHING OF THIS KIND IS IN HERE, ONLY PLAIN WORDS THAT GO ON AND ON")])
     got = {(r.doc_id, r.item_id): (r.n_matched, r.item_windows) for r in decontaminate.matches(docs, bench(spark)).filter("contaminated").collect()}
