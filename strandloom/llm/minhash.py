@@ -13,7 +13,7 @@ spanning forest of its links. So every pair of a bucket is compared or joined al
 pairs are listed, however large a group is. Comparisons are exact, on the shingle sets.
 
 Edge cases: null texts and texts without a word are like nothing and form classes of their own; texts of fewer than WORDS
-words are one shingle; rows that repeat a doc_id are the same node; ties go to the smaller doc_id; extra columns don't
+words are one shingle; rows that repeat a doc_id are one node, compared by one of its texts, and each gives one row; ties go to the smaller doc_id; extra columns don't
 take part; an empty table gives no rows.
 """
 
@@ -310,14 +310,13 @@ def compared(members: DataFrame, docs: DataFrame, similar: float, weighting: str
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str = "one") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its group), copy_of (smallest doc_id with the very same text), kept."""
+    """doc_id, class_id (smallest doc_id of its group), copy_of (smallest doc_id with the very same text), kept, digest of the text: one row for each of docs."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "minhash")
     plain = doc_columns(docs)
     every, _ = scratch.keep(signed(plain, weighting))
     copies, _ = scratch.keep(every.groupBy("digest").agg(F.min("doc_id").alias("rep")))  # written, so that joins by a hot digest can be split
-    members, _ = scratch.keep(every.select("doc_id", "digest").join(copies, "digest").select("doc_id", "rep").distinct())
     reps = copies.select("rep", "digest")
     keys = every.join(reps, (every["digest"] == reps["digest"]) & (every["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["doc_id", "digest"])
     keys, _ = scratch.keep(keys.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("band")))
@@ -335,11 +334,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str =
     more, _ = scratch.keep(compared(still, plain, similar, weighting, scratch))
     edges, _ = scratch.keep(components(edges.unionByName(more), scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     joined = edges.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-    classes = members.join(joined, "rep", "left").select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
-    out = plain.select("doc_id").join(classes, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    classes, _ = scratch.keep(copies.join(joined, "rep", "left").select("digest", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id")))
+    out = plain.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.sha2("text", 256)).alias("digest")).join(classes, "digest", "left")
+    own = ~F.coalesce(F.col("class_id") != F.col("copy_of"), F.lit(False)) & F.coalesce(F.col("doc_id") == F.col("copy_of"), F.lit(True))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), own.alias("kept"), "digest")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")

@@ -66,6 +66,9 @@ def test_near_duplicates_edge_cases(spark, odd, docs_of):
     assert got[4] == (4, 4, True) and got[9] == (4, 4, False)
     assert got[None] == (None, None, True)
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    two = minhash.near_duplicates(docs_of([(5, a), (5, b), (3, b + " more"), (9, a), (9, a)])).collect()
+    assert sorted(x.doc_id for x in two) == [3, 5, 5, 9, 9] and not any(x.kept for x in two if x.doc_id == 9)
     assert minhash.near_duplicates(docs_of([(1, "a b c")])).collect()[0].kept
 
 
