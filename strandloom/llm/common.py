@@ -54,11 +54,11 @@ class Scratch:
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
-        """Writes df and returns it reread, with its path."""
+    def keep(self, df: DataFrame, parts: int | None = None) -> tuple[DataFrame, str]:
+        """Writes df, in at most so many parts where its size is known, and returns it reread, with its path."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        (df.coalesce(parts) if parts else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
@@ -112,6 +112,10 @@ def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+#: Edges in one part of a written table.
+EDGES_PART = 250_000
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): root is the smallest node reachable over edges (u, v). Nodes without edges don't appear.
 
@@ -123,13 +127,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now, path = scratch.keep(edges)
     mark = _mark(now)
     while mark[0]:
+        parts = 1 + mark[0] // EDGES_PART  # no step makes more edges than it has
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low, first = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low, first = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), parts)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large, second = scratch.keep(large)
-        low, third = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        large, second = scratch.keep(large, parts)
+        low, third = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), parts)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now, later = scratch.keep(small)
+        now, later = scratch.keep(small, parts)
         for old in (path, first, second, third):
             scratch.drop(old)
         path, before, mark = later, mark, _mark(now)
