@@ -118,7 +118,9 @@ def compose(s1: int, c1: str, d1: str, s2: int, c2: str, d2: str) -> tuple[int,
 
 
 def _chain(s1: pd.Series, c1: pd.Series, d1: pd.Series, s2: pd.Series, c2: pd.Series, d2: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([compose(*x) for x in zip(s1, c1, d1, s2, c2, d2, strict=True)], columns=["start", "cigar", "strand"])
+    """Rows without a CIGAR are decided elsewhere."""
+    nothing = (None, None, None)
+    return pd.DataFrame([nothing if c is None else compose(int(s), c, d, int(t), e, f) for s, c, d, t, e, f in zip(s1, c1, d1, s2, c2, d2, strict=True)], columns=["start", "cigar", "strand"])
 
 
 def chain(s1: Column, c1: Column, d1: Column, s2: Column, c2: Column, d2: Column) -> Column:
@@ -136,3 +138,15 @@ def chain_matched(s1: Column, n: Column, d1: Column, s2: Column, matched: Column
     start = s2 + F.when(aligned > 0, low - 1).otherwise(F.greatest(F.lit(0), matched - 1))
     cigar = F.concat(F.when(aligned > 0, F.concat(aligned.cast("string"), F.lit("M"))).otherwise(""), F.when(n - aligned > 0, F.concat((n - aligned).cast("string"), F.lit("S"))).otherwise(""))
     return F.struct(start.cast("bigint").alias("start"), F.when(clip >= 0, cigar).alias("cigar"), F.when(d1 == d2, "+").otherwise("-").alias("strand"))
+
+
+def chain_run(s1: Column, n: Column, d1: Column, s2: Column, c2: Column, d2: Column) -> Column:
+    """compose() for a query of n bases that all match. Where the other alignment is bases that match and then at most one clip, and some
+    of the query is aligned, it is arithmetic (chain_matched); only the rest goes through Python."""
+    matched = F.regexp_extract(c2, "^([0-9]+)M([0-9]+S)?$", 1).try_cast("bigint")
+    clip = F.coalesce(F.regexp_extract(c2, "^[0-9]+M([0-9]+)S$", 1).try_cast("bigint"), F.lit(0))
+    low = F.when(d2 == "-", matched + clip - (s1 + n - 1) + 1).otherwise(s1)
+    plain = F.coalesce(matched.isNotNull() & (matched - low + 1 > 0) & (n > 0) & (low > 0), F.lit(False))
+    python = lambda c: F.when(~plain, c)
+    slow = chain(s1, python(F.concat(n.cast("string"), F.lit("M"))), d1, s2, c2, d2)
+    return F.when(plain, chain_matched(s1, n, d1, s2, matched, matched + clip, d2)).otherwise(slow)

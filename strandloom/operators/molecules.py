@@ -51,8 +51,8 @@ def derived(d: DataFrame, key: Column, number: Column, transcript: str, chrom: s
 def piece(df: DataFrame, first: Column, size: Column, suffix: Column | None = None, reverse: bool = False) -> DataFrame:
     """Each molecule becomes ``size`` of its bases from ``first`` (1-based), as its reverse complement if asked for.
 
-    start, cigar and strand place it on the molecule it came from; the source alignment is chained. The chaining runs
-    in Arrow batches, and not at all if later steps don't read it.
+    start, cigar and strand place it on the molecule it came from; the source alignment is chained. The chaining is arithmetic for
+    plain alignments, runs in Arrow batches for the others, and not at all if later steps don't read it.
     """
     from strandloom.functions.sequence import reverse_complement
 
@@ -60,7 +60,7 @@ def piece(df: DataFrame, first: Column, size: Column, suffix: Column | None = No
     df = df.withColumns({"_first": first.cast("bigint"), "_size": size.cast("bigint")})
     part = F.substring(F.col("sequence"), F.col("_first").cast("int"), F.col("_size").cast("int"))
     own = F.concat(F.col("_size").cast("string"), F.lit("M"))
-    df = df.withColumn("_chained", cg.chain(F.col("_first"), own, strand, F.col("source_start"), F.col("source_cigar"), F.col("source_strand")))
+    df = df.withColumn("_chained", cg.chain_run(F.col("_first"), F.col("_size"), strand, F.col("source_start"), F.col("source_cigar"), F.col("source_strand")))
     out = df.withColumns({
         "sequence": reverse_complement(part) if reverse else part, "start": F.col("_first"), "cigar": own, "strand": strand,
         "source_start": F.col("_chained.start"), "source_cigar": F.col("_chained.cigar"), "source_strand": F.col("_chained.strand"),

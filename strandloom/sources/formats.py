@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,11 +46,14 @@ def read_molecules(spark: SparkSession, path: str, sample_id: str, pattern: str
 def write_molecules(df: DataFrame, path: str, file: str = "packet_id") -> None:
     """Tab-separated files, one folder for each value of a column (molecule_... names keep the order when read again)."""
     cols = {"transcript_id": "transcript_id", "chrom": "source_chrom", "parental_start": "start", "parental_cigar": "cigar", "ref_start": "source_start", "ref_cigar": "source_cigar", "strand": "source_strand", "sequence": "sequence"}
-    for value in [r[0] for r in df.select(file).distinct().orderBy(file).collect()]:  # one for each packet file asked for
-        one = df.filter(F.col(file) == value).orderBy("ordinal").coalesce(1).select(*[F.col(v).alias(k) for k, v in cols.items()])
-        target = f"{path}/{value}.txt"
-        one.write.mode("overwrite").option("sep", "\t").csv(f"{path}/_{value}")
-        move_single(df.sparkSession, f"{path}/_{value}", target)
+    rows = df.repartition(F.col(file)).sortWithinPartitions(file, "ordinal").select(F.col(file).cast("string").alias("_file"), *[F.col(v).alias(k) for k, v in cols.items()])
+    rows.write.mode("overwrite").option("sep", "\t").partitionBy("_file").csv(f"{path}/_written")  # one job; a file is one task's
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in [x.getPath().getName() for x in fs.listStatus(hadoop(f"{path}/_written")) if x.isDirectory()]:
+        move_single(spark, f"{path}/_written/{name}", f"{path}/{unquote(name.split('=', 1)[1])}.txt")
+    fs.delete(hadoop(f"{path}/_written"), True)
 
 
 def move_single(spark: SparkSession, folder: str, target: str) -> None:
@@ -66,11 +70,15 @@ def move_single(spark: SparkSession, folder: str, target: str) -> None:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (first word of the header), sequence, length, ordinal. Records are split by Spark's reader at each header."""
-    text = spark.read.option("lineSep", "\n>").text(path).withColumn("_row", F.monotonically_increasing_id())
+    text = spark.read.option("lineSep", "\n>").text(path).filter("trim(value) <> ''").withColumn("_row", F.monotonically_increasing_id())
     body = F.regexp_replace("value", r"^>", "")
     lines = F.split(body, "\r?\n")
-    out = text.filter("trim(value) <> ''").select(F.split_part(F.trim(lines[0]), F.lit(" "), F.lit(1)).alias("name"), F.upper(F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), "")).alias("sequence"), "_row")
-    return out.select("name", "sequence", F.length("sequence").alias("length"), (F.row_number().over(Window.orderBy("_row")) - 1).cast("int").alias("ordinal"))
+    part = F.shiftright("_row", 33)
+    # the upper bits of a row's number are its partition, so counts of partitions give the ordinals, and no sequence moves
+    counts = text.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
+    out = text.select(F.split_part(F.trim(lines[0]), F.lit(" "), F.lit(1)).alias("name"), F.upper(F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), "")).alias("sequence"), part.alias("_part"), (F.col("_row") - F.shiftleft(part, 33)).alias("_at"))
+    return out.join(F.broadcast(before), "_part").select("name", "sequence", F.length("sequence").alias("length"), (F.col("_before") + F.col("_at")).cast("int").alias("ordinal"))
 
 
 def read_adapter_kit(spark: SparkSession, path: str) -> DataFrame:

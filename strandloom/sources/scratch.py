@@ -9,7 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def base_folder(spark: SparkSession) -> str:
+    """The shared folder. A temporary folder of this machine serves only where driver and executors are one process; elsewhere executors
+    would each write to a disk of their own, so an unset spark.checkpoint.dir is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
+    return Path(tempfile.gettempdir()).as_uri()
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path; a temporary folder of this machine only if no shared one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir()).as_uri()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's path."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -93,3 +93,21 @@ def test_uniform_is_the_same_in_python(spark):
 def test_hamming(spark):
     df = spark.createDataFrame([("ACGT", "ACGA"), ("A", "AC"), ("", ""), ("GG", "CC")], "a string, b string")
     assert [r[0] for r in df.select(sq.hamming("a", "b")).collect()] == [1, None, 0, 2]
+
+
+def test_chain_run_equals_chain(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import cigar as cg
+
+    r, rows = random.Random(2), []
+    for _ in range(400):
+        c = r.choice(("20M", "15M5S", "1M19S", "5S15M", "10M3N10M", "8M2I10M", "20S", "9M2D11M"))
+        s = r.randint(1, 20)
+        rows.append((s, r.randint(1, 21 - s), r.choice("+-"), r.randint(1, 10**10), c, r.choice("+-")))
+    df = spark.createDataFrame(rows, "s1 long, n long, d1 string, s2 long, c2 string, d2 string")
+    col = F.col
+    got = df.select(*df.columns, cg.chain_run(col("s1"), col("n"), col("d1"), col("s2"), col("c2"), col("d2")).alias("x")).collect()
+    assert all(tuple(g.x) == cg.compose(g.s1, f"{g.n}M", g.d1, g.s2, g.c2, g.d2) for g in got)
