@@ -1,20 +1,19 @@
 """Pieces the training-data operators share: input normalisation, scratch tables, numpy helpers, connected components.
 
 Scratch tables live under ``spark.checkpoint.dir``, which a cluster names and all executors share. Only where that
-setting is absent (tests) a temporary folder of this machine is used.
+setting is absent and all is one process (tests) a temporary folder of this machine is used.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import runtime
+from strandloom.sources.scratch import base_folder
 
 #: Rows in one Arrow batch: whole texts are long, and both sides hold a batch in memory.
 BATCH_ROWS = 1000
@@ -47,11 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = Path(tempfile.mkdtemp(prefix="strandloom-")).as_uri()
-            spark.sparkContext.setCheckpointDir(base)
-        self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{base_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
     def keep(self, df: DataFrame, parts: int | None = None) -> tuple[DataFrame, str]:
