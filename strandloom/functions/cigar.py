@@ -123,10 +123,12 @@ def _chain(s1: pd.Series, c1: pd.Series, d1: pd.Series, s2: pd.Series, c2: pd.Se
     return pd.DataFrame([nothing if c is None else compose(int(s), c, d, int(t), e, f) for s, c, d, t, e, f in zip(s1, c1, d1, s2, c2, d2, strict=True)], columns=["start", "cigar", "strand"])
 
 
-def chain(s1: Column, c1: Column, d1: Column, s2: Column, c2: Column, d2: Column) -> Column:
-    """compose() for columns, in Arrow batches: struct<start,cigar,strand>."""
+def chain(s1: Column, c1: Column, d1: Column, s2: Column, c2: Column, d2: Column, once: bool = False) -> Column:
+    """compose() for columns, in Arrow batches: struct<start,cigar,strand>. once: the optimiser may not copy it into the expressions
+    that read it, which it does only with what is marked as deterministic."""
     ship()
-    return F.pandas_udf(_chain, "start bigint, cigar string, strand string")(s1, c1, d1, s2, c2, d2)
+    run = F.pandas_udf(_chain, "start bigint, cigar string, strand string")
+    return (run.asNondeterministic() if once else run)(s1, c1, d1, s2, c2, d2)
 
 
 def chain_matched(s1: Column, n: Column, d1: Column, s2: Column, matched: Column, length: Column, d2: Column) -> Column:
@@ -142,11 +144,12 @@ def chain_matched(s1: Column, n: Column, d1: Column, s2: Column, matched: Column
 
 def chain_run(s1: Column, n: Column, d1: Column, s2: Column, c2: Column, d2: Column) -> Column:
     """compose() for a query of n bases that all match. Where the other alignment is bases that match and then at most one clip, and some
-    of the query is aligned, it is arithmetic (chain_matched); only the rest goes through Python."""
+    of the query is aligned, it is arithmetic (chain_matched); only the rest goes through Python. Chains of chains stay one after
+    another: copied into each other they would grow with a power of the number of steps."""
     matched = F.regexp_extract(c2, "^([0-9]+)M([0-9]+S)?$", 1).try_cast("bigint")
     clip = F.coalesce(F.regexp_extract(c2, "^[0-9]+M([0-9]+)S$", 1).try_cast("bigint"), F.lit(0))
     low = F.when(d2 == "-", matched + clip - (s1 + n - 1) + 1).otherwise(s1)
     plain = F.coalesce(matched.isNotNull() & (matched - low + 1 > 0) & (n > 0) & (low > 0), F.lit(False))
     python = lambda c: F.when(~plain, c)
-    slow = chain(s1, python(F.concat(n.cast("string"), F.lit("M"))), d1, s2, c2, d2)
+    slow = chain(s1, python(F.concat(n.cast("string"), F.lit("M"))), d1, s2, c2, d2, once=True)
     return F.when(plain, chain_matched(s1, n, d1, s2, matched, matched + clip, d2)).otherwise(slow)

@@ -7,6 +7,7 @@ GC content, and all leaves behind it go; its errors are shared by all leaves beh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,6 @@ from strandloom.functions import rng
 from strandloom.functions.sequence import gc_content
 from strandloom.runtime import ship
 
-#: Up to so many leaves each is tested by an expression; beyond, gaps between kept leaves are drawn.
-EXPLICIT = 1024
-
-
 def success_rate(gc: Column, constant: float = 1.0, linear: float = 0.0, quadratic: float = -100.0) -> Column:
     """A parabola of the GC content around one half, within 0 and 1; an empty molecule (NaN) has 0."""
     d = F.nanvl(gc, F.lit(1e9)) - 0.5
@@ -31,19 +28,18 @@ def success_rate(gc: Column, constant: float = 1.0, linear: float = 0.0, quadrat
 
 
 def kept_leaves(seed: int, cycles: int, percentage: float) -> Column:
-    """The leaves that are kept, in order."""
+    """The leaves that are kept, in order. Gaps between them are geometric, each from one uniform number of the row's key and the gap's
+    place, so the work grows with the leaves that are kept and not with all, and SQL gives the same at any number of cycles."""
     p, n = percentage / 100.0, 1 << cycles
-    if n <= EXPLICIT:
-        return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: rng.uniform(seed, "pcr_leaf", F.col("row_key"), x) < p)
-
     ship()
+    none = math.log1p(-p) if p < 1 else -math.inf
 
     @F.pandas_udf("array<int>")
     def draw(key: pd.Series) -> pd.Series:
         out = []
         for k in key:
-            g, at, found = rng.generator(seed, "pcr_leaves", k), -1, []
-            while p > 0 and (at := at + int(g.geometric(p))) < n:
+            at, found = -1, []
+            while p > 0 and (at := at + 1 + int(math.log1p(-rng.uniform_py(seed, "pcr_gap", k, len(found))) / none)) < n:
                 found.append(at)
             out.append(np.array(found, np.int32))
         return pd.Series(out)

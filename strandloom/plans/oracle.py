@@ -26,7 +26,7 @@ MOL = f"""mol AS (
 
 
 def q(body: str, *ctes: str) -> str:
-    return "WITH " + ", ".join([MOL, *ctes]) + " " + body
+    return "WITH RECURSIVE " + ", ".join([MOL, *ctes]) + " " + body
 
 
 GC = "((length({0}) - length(replace({0}, 'C', '')) + length({0}) - length(replace({0}, 'G', '')))::DOUBLE / length({0}))"
@@ -70,7 +70,8 @@ SAMPLE = f"samples AS (SELECT * FROM (VALUES {SAMPLE_ROWS}) t(sample_id, pre_i5,
 
 RATE = f"greatest(0.0, least(1.0, {PCR_BIAS[0]} + {PCR_BIAS[1]} * (gc - 0.5) + ({PCR_BIAS[2]}) * (gc - 0.5) * (gc - 0.5)))"
 PCR = f"""pm AS (SELECT *, {GC.format('sequence')} AS gc FROM mol),
-leaves AS (SELECT row_key, molecule_id, leaf, {RATE} AS rate FROM (SELECT *, unnest(range({1 << PCR_CYCLES})) AS leaf FROM pm) WHERE {u('pcr_leaf', 'row_key', 'leaf')} < {PCR_PERCENT / 100.0!r}),
+gaps AS (SELECT row_key, 0 AS i, floor(ln(1 - {u('pcr_gap', 'row_key', '0')}) / ln(1 - {PCR_PERCENT / 100.0!r}::DOUBLE))::BIGINT AS leaf FROM pm UNION ALL SELECT row_key, i + 1, leaf + 1 + floor(ln(1 - {u('pcr_gap', 'row_key', 'i + 1')}) / ln(1 - {PCR_PERCENT / 100.0!r}::DOUBLE))::BIGINT FROM gaps WHERE leaf < {1 << PCR_CYCLES}),
+leaves AS (SELECT row_key, molecule_id, leaf, {RATE} AS rate FROM pm JOIN gaps USING (row_key) WHERE leaf < {1 << PCR_CYCLES}),
 events AS (SELECT row_key, leaf, rate, i, leaf % (1 << (i + 1)::INT) AS prefix FROM (SELECT *, unnest(range({PCR_CYCLES})) AS i FROM leaves)),
 lost AS (SELECT DISTINCT row_key, leaf FROM events WHERE prefix >= (1 << i::INT) AND {u('pcr_copy', 'row_key', 'i', 'prefix')} >= rate),
 kept AS (SELECT l.row_key || '.p' || l.leaf AS row_key, l.molecule_id || CASE WHEN l.leaf = 0 THEN '' ELSE '.' || l.leaf END AS molecule_id, l.molecule_id AS parent, l.leaf::INT AS leaf FROM leaves l ANTI JOIN lost USING (row_key, leaf))"""

@@ -105,7 +105,7 @@ def read_name() -> Column:
 
 
 def each_read(df: DataFrame) -> DataFrame:
-    return df.withColumn("_r", F.explode("reads"))
+    return df.withColumn("_r", F.explode_outer("reads")).filter("_r is not null")
 
 
 def fastq_records(df: DataFrame) -> DataFrame:
