@@ -50,11 +50,11 @@ frag AS (SELECT m.*, p.a, p.k, coalesce(p.b, m.len) AS b FROM pieces p JOIN {{0}
 WEIGHT = " * ".join(f"(CASE substr(w, {j + 1}, 1) " + " ".join(f"WHEN '{b}' THEN {PPM[b][j]!r}::DOUBLE" for b in "ACGT") + " ELSE 0.0 END)" for j in range(6))
 
 
-def primed(source: str, step: str, name: str) -> str:
+def primed(source: str, step: str, name: str, primes: str = "greatest(1.0, floor(length(sequence) * 50 / 1000.0 + 0.5))") -> str:
     """Site of the earliest prime, and the complement from there."""
     return f"""{name}_w AS (SELECT row_key, i, {WEIGHT} AS x FROM (SELECT row_key, i, substr(sequence, i::INT + 1, 6) AS w FROM (SELECT row_key, sequence, unnest(range(length(sequence) - 5)) AS i FROM {source} WHERE length(sequence) >= 6))),
 {name}_c AS (SELECT row_key, i, sum(x) OVER (PARTITION BY row_key ORDER BY i ROWS UNBOUNDED PRECEDING) AS c, sum(x) OVER (PARTITION BY row_key) AS total FROM {name}_w),
-{name}_g AS (SELECT row_key, 1 - pow(1 - {u(step, 'row_key')}, 1.0 / greatest(1.0, floor(length(sequence) * 50 / 1000.0 + 0.5))) AS goal FROM {source}),
+{name}_g AS (SELECT row_key, 1 - pow(1 - {u(step, 'row_key')}, 1.0 / {primes}) AS goal FROM {source}),
 {name}_s AS (SELECT row_key, min(i) AS site FROM {name}_c JOIN {name}_g USING (row_key) WHERE c >= goal * total GROUP BY 1),
 {name} AS (SELECT m.row_key || '.cdna' AS row_key, m.molecule_id || '.cdna' AS molecule_id, s.site + 1 AS start, {TURN.format('substr(m.sequence, s.site::INT + 1)')} AS sequence FROM {source} m JOIN {name}_s s USING (row_key))"""
 
@@ -161,6 +161,19 @@ ORACLE["distribution_molecules"] = q(f"""SELECT '1-d-' || i AS row_key, (i // 50
   FROM (SELECT i, (50 + floor({u('tail', 'i')} * 201))::INT AS add_, {u('distribution', 'i')} AS x FROM range(2000) r(i)) d
   JOIN (SELECT transcript_id, (c - w) / t AS low, c / t AS high FROM (SELECT transcript_id, w, sum(w) OVER (ORDER BY transcript_id)::DOUBLE AS c, sum(w) OVER ()::DOUBLE AS t FROM (SELECT transcript_id, count(*) AS w FROM mol GROUP BY 1))) c ON x >= low AND x < high
   JOIN (SELECT * FROM mol QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY ordinal) = 1) USING (transcript_id)""")
+ORACLE["fragment_beta_all_bonds"] = q("SELECT row_key || '.f' || i AS row_key, i + 1 AS start, substr(sequence, i::INT + 1, 1) AS sequence FROM (SELECT row_key, sequence, unnest(range(len)) AS i FROM mol)")
+ORACLE["first_strand_every_prime"] = q("SELECT row_key, start, sequence FROM fs", primed("mol", "first_strand", "fs", "length(sequence)"))
+ORACLE["pcr_substitutions"] = q("SELECT kept.row_key, len AS size, len || 'M' AS cigar FROM kept JOIN mol ON kept.parent = mol.molecule_id", PCR)
+ORACLE["bridge_substitution_totals"] = q("SELECT row_key, len AS places FROM mol")
+ORACLE["sbs_clean"] = q(f"SELECT row_key, d AS direction, i5 || i7 AS called_barcode, CASE WHEN d = 1 THEN substr(sequence, 1, 40) ELSE {TURN.format('substr(sequence, (len - 39)::INT, 40)')} END AS called_sequence FROM mol JOIN samples USING (sample_id), (SELECT unnest([1, 2]) AS d)", SAMPLE)
+PREP_P = "(CASE WHEN n < 20 OR n > 400 THEN 0.0 WHEN n BETWEEN 30 AND 300 THEN 1.0 WHEN n < 30 THEN (n - 20) / 10.0::DOUBLE ELSE (400 - n) / 100.0::DOUBLE END)"
+ORACLE["library_prep_exact"] = q(
+    "SELECT kept.row_key, kept.molecule_id, sequence FROM kept JOIN pm ON kept.parent = pm.molecule_id", SAMPLE,
+    f"tailed AS (SELECT * FROM mol WHERE {u('polya', 'row_key')} <= least(0.05::DOUBLE * {COUNTED}, 1.0))", CUTS.format("tailed"),
+    "strands AS (SELECT sample_id, row_key || '.f' || k || '.cdna.cdna' AS row_key, molecule_id || '.f' || k || '.cdna.cdna' AS molecule_id, b - a AS n, substr(sequence, a::INT + 1, (b - a)::INT) AS sequence FROM frag WHERE b - a >= 20)",
+    f"lig AS (SELECT row_key, molecule_id, pre_i5 || i5 || post_i5 || sequence || 'A' || pre_i7 || i7 || post_i7 AS sequence FROM strands JOIN samples USING (sample_id) WHERE {u('sizing', 'row_key')} < {PREP_P})",
+    PCR.replace("FROM mol)", "FROM lig)"),
+)
 SX, SY, ST = CELL.sizes()
 STEP, SHIFT = places(SEED, CELL)
 ORACLE["coords_distinct"] = q(f"""SELECT row_key, ({CELL.tile[0]} + at_ // {SX * SY})::INT AS tile, ({CELL.x[0]} + at_ % {SX})::INT AS x, ({CELL.y[0]} + at_ // {SX} % {SY})::INT AS y FROM (

@@ -7,8 +7,9 @@ so their results can be compared too.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
@@ -88,6 +89,20 @@ def library_prep(m: DataFrame, spark: SparkSession) -> DataFrame:
 M = from_documents
 
 
+def exact_prep(m: DataFrame, spark: SparkSession) -> DataFrame:
+    """The preparation without errors and with perfect priming, whose draws SQL can follow from end to end."""
+    m = synthesis.first_strand(fragments(selection.polya_select(m, SEED)), SEED, PPM, perfect=True)
+    m = synthesis.second_strand(m, SEED, PPM, perfect=True)
+    m = selection.size_select(m, SEED, 20, 400, 30, 300)
+    return amplified(adapters.ligate(m, samples(spark)))
+
+
+def places_whole(counts: Column, total: Column) -> Column:
+    """How many places have four counts that add up to the total."""
+    each = F.arrays_zip(*[counts[i].alias(b) for i, b in enumerate("acgt")])
+    return F.size(F.filter(each, lambda x: x["a"] + x["c"] + x["g"] + x["t"] == total))
+
+
 def _molecule_files(spark: SparkSession, d: str) -> DataFrame:
     """Packets of molecule files: written once, found by name, numbered in the order of their paths."""
     from strandloom.sources.scratch import folder
@@ -135,9 +150,11 @@ QUERIES: dict[str, Query] = {
     "fragment_uniform": lambda s, d: fragments(M(s, d)).select("row_key", "start", "sequence"),
     "fragment_min_size": lambda s, d: fragmentation.fragment_uniform(M(s, d), SEED, FRAGMENT[0], FRAGMENT[1], 60).groupBy("transcript_id").agg(F.count("*").alias("pieces"), F.sum(F.length("sequence")).alias("bases")),
     "fragment_beta": lambda s, d: fragmentation.fragment_beta(M(s, d), SEED, 0.005, 1.0, 20, 3, 3, 2).select("row_key", "start", "sequence"),
+    "fragment_beta_all_bonds": lambda s, d: fragmentation.fragment_beta(M(s, d), SEED, 1e12, 1.0, 1, 3, 3, 1).select("row_key", "start", "sequence"),
     "first_strand": lambda s, d: synthesis.first_strand(M(s, d), SEED, PPM, expected=True).select("row_key", "molecule_id", "start", "sequence"),
     "second_strand": lambda s, d: synthesis.second_strand(synthesis.first_strand(M(s, d), SEED, PPM, expected=True), SEED, PPM, expected=True).select("row_key", "start", "sequence"),
     "first_strand_binomial": lambda s, d: synthesis.first_strand(M(s, d), SEED, PPM).select("row_key", "start", "sequence", "source_start", "source_cigar", "source_strand"),
+    "first_strand_every_prime": lambda s, d: synthesis.first_strand(M(s, d), SEED, PPM, primes_per_kb=1000).select("row_key", "start", "sequence"),
     "perfect_priming": lambda s, d: synthesis.first_strand(M(s, d), SEED, PPM, perfect=True).select("row_key", "start", "strand", "sequence"),
     "ribozero_score": lambda s, d: M(s, d).select("row_key", F.posexplode(ribozero.alignment_scores(F.col("sequence"), OLIGOS)).alias("site", "score")),
     "ribozero_drop": lambda s, d: ribozero.deplete(M(s, d), SEED, OLIGOS, 0.99, 8, entire=True).select("row_key"),
@@ -152,12 +169,15 @@ QUERIES: dict[str, Query] = {
     "pcr_duplicate_histogram": lambda s, d: analytics.duplicate_histogram(amplified(M(s, d)), F.col("pcr_parent_id")),
     "pcr_parent_by_name": lambda s, d: analytics.duplicate_histogram(amplified(M(s, d)).filter("leaf > 0"), analytics.parent_id(F.col("molecule_id"))),
     "pcr_errors": lambda s, d: pcr.amplify(M(s, d), SEED, PCR_CYCLES, PCR_PERCENT, *PCR_BIAS, substitution=0.01, insertion=0.002, deletion=0.002).select("row_key", "sequence", "cigar", "source_start", "source_cigar"),
+    "pcr_substitutions": lambda s, d: pcr.amplify(M(s, d), SEED, PCR_CYCLES, PCR_PERCENT, *PCR_BIAS, substitution=0.01).select("row_key", F.length("sequence").alias("size"), "cigar"),
     "lane_assign": lambda s, d: flowcell.assign_lanes(M(s, d), (1, 3, 4)).select("row_key", "lane", "cluster_id"),
     "coords_random": lambda s, d: flowcell.random_coordinates(M(s, d), SEED, CELL).select("row_key", "coordinates.*"),
     "coords_distinct": lambda s, d: flowcell.distinct_coordinates(M(s, d), SEED, CELL).select("row_key", "coordinates.*"),
     "cluster_sort": lambda s, d: flowcell.sort_packets(loaded(s, d)).select("sample_id", "packet_id", "coordinates.*", "row_key"),
     "bridge_counts_exact": lambda s, d: sequencing.bridge(M(s, d), SEED, 10).select("row_key", "molecule_count", F.aggregate(F.col("base_counts")[0], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("a"), F.aggregate(F.col("base_counts")[1], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("c")),
     "bridge_substitutions": lambda s, d: sequencing.bridge(M(s, d), SEED, 10, 0.01).select("row_key", "molecule_count", "base_counts"),
+    "bridge_substitution_totals": lambda s, d: sequencing.bridge(M(s, d), SEED, 10, 0.01).select("row_key", places_whole(F.col("base_counts"), F.col("molecule_count")).alias("places")),
+    "sbs_clean": lambda s, d: sequencing.explode_reads(sequencing.sequence(sequencing.bridge(adapters.ligate(M(s, d), samples(s)), SEED, 10), SEED, replace(CHEMISTRY, skip_rate=0.0, drop_rate=0.0)), "row_key", "called_barcode").select("row_key", "direction", "called_barcode", "called_sequence"),
     "sbs_call": lambda s, d: sequencing.explode_reads(sequencing.sequence(sequencing.bridge(adapters.ligate(M(s, d), samples(s)), SEED, 10, 0.01), SEED, CHEMISTRY), "row_key", "called_barcode"),
     "demultiplex": lambda s, d: analytics.demultiplex(called(M(s, d)), samples(s)).select("row_key", "called_barcode", "status"),
     "unidentified_count": lambda s, d: analytics.demultiplex(called(M(s, d)), samples(s)).groupBy("sample_id", "status").agg(F.count("*").alias("n")),
@@ -171,6 +191,7 @@ QUERIES: dict[str, Query] = {
     "phred_codes": lambda s, d: M(s, d).select("row_key", sq.phred_char(F.col("ordinal") % 60).alias("code"), sq.phred_scores(sq.phred_char(F.col("ordinal") % 60))[0].alias("score")),
     "molecule_file_packets": _molecule_files,
     "library_prep": lambda s, d: library_prep(M(s, d), s).select("row_key", "sequence", "source_start", "source_cigar", "source_strand"),
+    "library_prep_exact": lambda s, d: exact_prep(M(s, d), s).select("row_key", "molecule_id", "sequence"),
     "molecules_from_distribution": lambda s, d: formats.draw_molecules(s, analytics.quantify(M(s, d)).groupBy("transcript_id").agg(F.sum("counts").alias("weight")), 5000, SEED).groupBy("transcript_id").agg(F.count("*").alias("n")),
     "lineitem_quant": lambda s, d: analytics.quantify(size_selected(from_lineitem(s, d))),
 }
