@@ -151,11 +151,63 @@ def check_flowcell(c: dict, f: Faults) -> None:
     f.say(any(not isinstance(x, int) or not g.get("min_lane", 0) <= x <= g.get("max_lane", 10_000) for x in lanes), "flowcell.lanes_to_use: a lane isn't there")
 
 
+#: The keys of a configuration in the plain layout.
+KEYS = {"seed", "output", "samples", "resources", "molecule_maker", "library_prep", "sequence", "flowcell", "input"}
+#: The keys of the nested layout: section, and under which plain key each of its entries goes.
+NESTED = {
+    "global_config": {"samples": "samples", "resources": "resources", "molecule_maker_parameters": "molecule_maker"},
+    "library_prep_pipeline": {"input": "input", "steps": "library_prep"},
+    "sequence_pipeline": {"steps": "sequence", "flowcell": "flowcell"},
+}
+SECTIONS = {
+    "output": {"output_fastq", "output_sam", "output_bam", "output_full_logs", "full_logs"},
+    "resources": {"pre_i5_adapter", "post_i5_adapter", "pre_i7_adapter", "post_i7_adapter", "reference_genome_fasta"},
+    "molecule_maker": {"min_polyA_tail_length", "max_polyA_tail_length"},
+    "flowcell": {"coordinate_strategy", "flowcell_geometry", "lanes_to_use"},
+    "input": {"directory_path", "from_distribution_data"},
+}
+
+
+def arranged(config: dict, f: Faults | None = None) -> dict:
+    """The configuration in the plain layout, whichever it came in; steps by the names of their classes without a module before them.
+    Keys that nothing reads are faults."""
+    f = f or Faults()
+    nested = any(k in config for k in NESTED)
+    known = {"seed", "output", *NESTED} if nested else KEYS
+    out = {k: v for k, v in config.items() if k in ({"seed", "output"} if nested else KEYS)}
+    f.found += [f"{k}: there is no such key" for k in config if k not in known]
+    for section, entries in NESTED.items() if nested else ():
+        for k, v in (config.get(section) or {}).items():
+            f.say(k not in entries, f"{section}.{k}: there is no such key")
+            out[entries.get(k, k)] = v
+    for section, entries in SECTIONS.items():
+        f.found += [f"{section}.{k}: there is no such key" for k in out.get(section) or {} if k not in entries]
+    for stage in ("library_prep", "sequence"):
+        steps = out.get(stage) or []
+        f.found += [f"{stage}[{i}].{k}: there is no such key" for i, step in enumerate(steps) for k in step if k not in ("step_name", "parameters")]
+        out[stage] = [{**step, "step_name": str(step.get("step_name")).rsplit(".", 1)[-1]} for step in steps]
+    if "full_logs" in (out.get("output") or {}):
+        out["output"] = {"output_full_logs": out["output"]["full_logs"], **{k: v for k, v in out["output"].items() if k != "full_logs"}}
+    return out
+
+
+def check_input(c: dict, f: Faults) -> None:
+    f.say(not isinstance(c.get("directory_path") or "", str), "input.directory_path isn't a path")
+    for k, d in (c.get("from_distribution_data") or {}).items():
+        where = f"input.from_distribution_data.{k}"
+        d = d or {}
+        f.found += [f"{where}.{x}: there is no such key" for x in d if x not in ("num_packets", "num_molecules_per_packet", "sample_data_directory")]
+        if f.number(d, "num_packets", where, 0, whole=True, default=0):
+            f.number(d, "num_molecules_per_packet", where, 1, whole=True)
+            f.say(not isinstance(d.get("sample_data_directory"), str), f"{where}.sample_data_directory isn't a path")
+
+
 def check(config: dict) -> list[str]:
     """Every fault of a whole configuration."""
     from strandloom.plans.steps import REGISTRY
 
     f = Faults()
+    config = arranged(config, f)
     f.say(not isinstance(config.get("seed"), int) or isinstance(config.get("seed"), bool), f"seed: {config.get('seed')!r} isn't a whole number")
     samples = config.get("samples") or {}
     check_samples(samples, f)
@@ -174,18 +226,21 @@ def check(config: dict) -> list[str]:
             if name not in REGISTRY or REGISTRY[name].stage != stage:
                 f.found.append(f"{stage}[{i}]: there is no step {name!r}")
             else:
+                known = REGISTRY[name].parameters
+                f.found += [f"{stage}[{i}] {name}.{k}: there is no such parameter" for k in step.get("parameters") or {} if known is not None and k not in known]
                 REGISTRY[name].check(step.get("parameters") or {}, f, f"{stage}[{i}] {name}")
     check_flowcell(config.get("flowcell") or {}, f)
+    check_input(config.get("input") or {}, f)
     named = set((config.get("input") or {}).get("from_distribution_data") or {})
     f.say(not named <= {str(k) for k in samples}, "input.from_distribution_data: a sample isn't among the samples")
     return f.found
 
 
 def load(config: dict) -> dict:
-    """The configuration, or a ConfigError with all its faults."""
+    """The configuration in the plain layout, or a ConfigError with all its faults."""
     if faults := check(config):
         raise ConfigError(faults)
-    return config
+    return arranged(config)
 
 
 def load_yaml(text: str) -> dict:

@@ -43,6 +43,22 @@ def read_molecules(spark: SparkSession, path: str, sample_id: str, pattern: str
     ).select(*COLUMNS)
 
 
+def count_files(spark: SparkSession, path: str, pattern: str = "*molecule_*.txt*") -> int:
+    """How many molecule files a folder holds; none if it isn't there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path)):
+        return 0
+    return len(spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path).inputFiles())
+
+
+def read_distribution(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What molecules are drawn from, in a layout of our own: transcripts.tsv (transcript_id, chrom, ref_start, ref_cigar, strand,
+    sequence) and weights.tsv (transcript_id, weight), both without a header."""
+    tsv = lambda name, schema: spark.read.schema(schema).option("sep", "\t").option("comment", "#").csv(f"{path.rstrip('/')}/{name}.tsv")
+    transcripts = tsv("transcripts", "transcript_id string, chrom string, ref_start bigint, ref_cigar string, strand string, sequence string")
+    return transcripts.withColumn("sequence", F.upper("sequence")), tsv("weights", "transcript_id string, weight double")
+
+
 def write_molecules(df: DataFrame, path: str, file: str = "packet_id") -> None:
     """Tab-separated files, one folder for each value of a column (molecule_... names keep the order when read again)."""
     cols = {"transcript_id": "transcript_id", "chrom": "source_chrom", "parental_start": "start", "parental_cigar": "cigar", "ref_start": "source_start", "ref_cigar": "source_cigar", "strand": "source_strand", "sequence": "sequence"}
@@ -108,29 +124,34 @@ def each_read(df: DataFrame) -> DataFrame:
     return df.withColumn("_r", F.explode_outer("reads")).filter("_r is not null")
 
 
-def fastq_records(df: DataFrame) -> DataFrame:
-    """sample_id, lane, direction, status, record of four lines."""
+def fastq_records(df: DataFrame, *extra: str) -> DataFrame:
+    """sample_id, lane, direction, status, record of four lines, and the columns asked for."""
     r = F.col("_r")
     head = F.concat(F.lit("@"), read_name(), F.lit("\t"), r["direction"].cast("string"), F.lit(":N:0:"), F.coalesce("called_barcode", F.lit("")))
-    return each_read(df).select("sample_id", "lane", r["direction"].alias("direction"), "status", F.concat_ws("\n", head, r["called_sequence"], F.lit("+"), r["quality"]).alias("record"))
+    return each_read(df).select("sample_id", "lane", r["direction"].alias("direction"), "status", F.concat_ws("\n", head, r["called_sequence"], F.lit("+"), r["quality"]).alias("record"), *extra)
+
+
+PLACE = ["coordinates.tile", "coordinates.x", "coordinates.y", "molecule_id"]
 
 
 def write_fastq(df: DataFrame, path: str, order: bool = False) -> None:
-    """Text files in folders by sample, lane, read and status; in the order of the records only if asked for."""
-    out = fastq_records(df)
-    out = out.sortWithinPartitions("sample_id", "lane", "direction", "status", "record") if order else out
-    out.withColumnRenamed("direction", "read").write.mode("overwrite").partitionBy("sample_id", "lane", "read", "status").text(path)
+    """Text files in folders by sample, lane, read and status. order: one file each, from the first place of the flowcell to the last,
+    which one task sorts (with spill); without it files are as many as the tasks that met the folder's reads."""
+    keys = ["sample_id", "lane", "direction", "status"]
+    out = fastq_records(df, *PLACE) if order else fastq_records(df)
+    out = out.repartition(*keys).sortWithinPartitions(*keys, *[c.split(".")[-1] for c in PLACE]) if order else out
+    out.select(*keys, "record").withColumnRenamed("direction", "read").write.mode("overwrite").partitionBy("sample_id", "lane", "read", "status").text(path)
 
 
-def sam_records(df: DataFrame, as_stored: bool = False) -> DataFrame:
-    """sample_id, lane, status and the eleven fields. Bases of reversed reads are turned, and so are their qualities, unless as_stored."""
+def sam_records(df: DataFrame, as_stored: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """sample_id, lane, status and the eleven fields, and the columns asked for. Bases of reversed reads are turned, and so are their qualities, unless as_stored."""
     r = F.col("_r")
     turned = r["strand"] == "-"
     seq = F.when(turned, reverse_complement(r["called_sequence"])).otherwise(r["called_sequence"])
     qual = r["quality"] if as_stored else F.when(turned, F.reverse(r["quality"])).otherwise(r["quality"])
     return each_read(df).select(
         "sample_id", "lane", "status", read_name().alias("qname"), sam_flag(r["direction"], r["strand"]).alias("flag"), F.col("source_chrom").alias("rname"), r["start"].alias("pos"),
-        F.lit(255).alias("mapq"), r["cigar"].alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), seq.alias("seq"), qual.alias("qual"),
+        F.lit(255).alias("mapq"), r["cigar"].alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), seq.alias("seq"), qual.alias("qual"), *extra,
     )
 
 
@@ -142,13 +163,18 @@ def sam_header(contigs: DataFrame) -> list[str]:
     return ["@HD\tVN:1.0", *[f"@SQ\tSN:{r['name']}\tLN:{r['length']}" for r in contigs.orderBy("ordinal").select("name", "length").toLocalIterator()]]
 
 
-def write_sam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False) -> None:
-    """Text files by sample, lane and status; the header is a file of its own in front."""
+def write_sam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False, parts: int | None = None) -> None:
+    """Text files by sample, lane and status, in so many parts each (as many as shuffles have, unless given), every one a whole SAM file
+    with its header. order: one part each, from the first place of the flowcell to the last."""
     spark = df.sparkSession
-    out = sam_records(df)
-    out = out.orderBy("sample_id", "lane", "status", "rname", "pos") if order else out
-    out.select("sample_id", "lane", "status", F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM_FIELDS]).alias("value")).write.mode("overwrite").partitionBy("sample_id", "lane", "status").text(path)
-    spark.createDataFrame([(x,) for x in sam_header(contigs)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_header")
+    parts = 1 if order else parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["sample_id", "lane", "status", "part"]
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM_FIELDS])
+    body = sam_records(df, extra=tuple(PLACE)).select(*keys[:3], F.pmod(F.hash("qname"), F.lit(parts)).alias("part"), F.lit(1).alias("_rank"), *[c.split(".")[-1] for c in PLACE], line.alias("value"))
+    blank = [F.lit(None).cast(t).alias(c.split(".")[-1]) for c, t in zip(PLACE, ("int", "int", "int", "string"), strict=True)]
+    head = body.select(*keys).distinct().select(*keys, F.lit(0).alias("_rank"), *blank, F.lit("\n".join(sam_header(contigs))).alias("value"))
+    rows = body.unionByName(head).repartition(*keys).sortWithinPartitions(*keys, "_rank", *[c.split(".")[-1] for c in PLACE] if order else [])
+    rows.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 NIBBLE = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}

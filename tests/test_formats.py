@@ -84,3 +84,19 @@ def test_quant_and_packets(spark, sf, tmp_path):
     assert sorted(map(tuple, formats.read_packets(spark, (tmp_path / "p").as_uri(), m.columns).collect())) == sorted(map(tuple, m.collect()))
     formats.write_log(m, (tmp_path / "log").as_uri(), "kept", full=True)
     assert spark.read.option("sep", "\t").option("header", "true").csv((tmp_path / "log").as_uri()).count() == m.count()
+
+
+def test_ordered_files(spark, sf, tmp_path):
+    reads = Q.identified(spark, sf)
+    formats.write_fastq(reads, (tmp_path / "fq").as_uri(), order=True)
+    formats.write_sam(reads, contigs(spark), (tmp_path / "sam").as_uri(), order=True)
+    place = lambda name: tuple(map(int, name.split("\t")[0].split(":")[3:6]))
+    seen = 0
+    for pattern, folder in (("@LOOM", "fq"), ("LOOM", "sam")):
+        folders = {f.parent for f in (tmp_path / folder).rglob("*.txt")}
+        for d in folders:
+            (file,) = d.glob("*.txt")
+            names = [place(x) for x in file.read_text().splitlines() if x.startswith(pattern)]
+            assert names == sorted(names)
+            seen += len(names)
+    assert seen == 4 * reads.count()

@@ -51,6 +51,8 @@ def test_good_config():
         (("library_prep", 4, "parameters", "max_length"), 10), (("library_prep", 4, "parameters", "select_all_end_length"), 500), (("library_prep", 6, "parameters", "number_cycles"), 17),
         (("library_prep", 6, "parameters", "retention_percentage"), 0), (("sequence", 0, "parameters", "cycles"), 0), (("sequence", 1, "parameters", "paired_ends"), False), (("sequence", 1, "parameters", "read_length"), True),
         (("flowcell", "coordinate_strategy"), "grid"), (("flowcell", "lanes_to_use"), [9]), (("flowcell", "flowcell_geometry", "min_x"), 100), (("library_prep", 0, "step_name"), "NoStep"),
+        (("colour",), 1), (("library_prep", 0, "parameters", "min_retention"), 0.5), (("output", "output_cram"), True), (("flowcell", "lanes"), [1]),
+        (("input",), {"from_distribution_data": {"1": {"num_packets": 1, "sample_data_directory": "x"}}}), (("input",), {"from_distribution_data": {"1": {"num_packets": -1}}}), (("input",), {"directory_path": 3}),
         (("input",), {"from_distribution_data": {"7": {}}}), (("molecule_maker",), {"min_polyA_tail_length": 300}),
     ],
 )
@@ -69,7 +71,43 @@ def test_whole_run(spark, sf, tmp_path):
     assert n > 20
     assert spark.read.text((tmp_path / "fastq").as_uri()).count() == 8 * n
     assert run.sequenced.filter("status = 'identified'").count() > 0.9 * n
-    assert {x.name for x in tmp_path.iterdir()} >= {"fastq", "sam", "input_quant", "output_quant", "logs"}
+    assert {x.name for x in tmp_path.iterdir()} >= {"fastq", "sam", "input_quant", "output_quant", "logs", "summary"}
+    assert sorted(x.name for x in (tmp_path / "logs").iterdir()) == [f"{i:02d}_{s['step_name']}" for i, s in enumerate(GOOD["library_prep"])]
+    lazy = steps.plan(m, GOOD)
+    assert sorted(r.row_key for r in lazy.prepared.collect()) == sorted(r.row_key for r in run.prepared.collect())
+
+
+def nested(c):
+    """The same configuration in the nested layout."""
+    named = lambda steps: [{**s, "step_name": f"some_module.{s['step_name']}"} for s in steps]
+    return {
+        "seed": c["seed"], "output": {"output_fastq": True, "output_sam": True, "output_bam": False, "full_logs": False},
+        "global_config": {"samples": c["samples"], "resources": c["resources"], "molecule_maker_parameters": {"min_polyA_tail_length": 5, "max_polyA_tail_length": 9}},
+        "library_prep_pipeline": {"input": c["input"], "steps": named(c["library_prep"])}, "sequence_pipeline": {"steps": named(c["sequence"]), "flowcell": c["flowcell"]},
+    }
+
+
+def test_run_from_configuration(spark, sf, tmp_path):
+    """Molecules of files and of a distribution, with the reference's contigs, in both layouts."""
+    m = queries.from_documents(spark, sf).filter("ordinal < 60").withColumn("file", queries.F.lit("molecule_1"))
+    queries.formats.write_molecules(m, (tmp_path / "in" / "sample1").as_uri(), "file")
+    (tmp_path / "dist").mkdir()
+    (tmp_path / "dist" / "transcripts.tsv").write_text("a\tchr1\t11\t60M\t+\t" + "ACGTTGCAAC" * 6 + "\nb\tchr1\t101\t80M\t-\t" + "GGCATTACGT" * 8 + "\n")
+    (tmp_path / "dist" / "weights.tsv").write_text("a\t1\nb\t3\n")
+    (tmp_path / "g.fa").write_text(">chr1\n" + "ACGT" * 100 + "\n")
+    given = {"directory_path": "in", "from_distribution_data": {"2": {"num_packets": 2, "num_molecules_per_packet": 30, "sample_data_directory": "dist"}}}
+    plain = copy.deepcopy(GOOD) | {"input": given, "resources": GOOD["resources"] | {"reference_genome_fasta": "g.fa"}, "molecule_maker": {"min_polyA_tail_length": 5, "max_polyA_tail_length": 9}}
+    assert config.arranged(nested(plain)) | {"output": 0} == plain | {"output": 0}
+    got = steps.read_input(spark, config.load(nested(plain)), tmp_path.as_uri())
+    assert sorted(map(tuple, got.groupBy("sample_id", "packet_id").count().collect())) == [("1", 0, 60), ("2", 0, 30), ("2", 1, 30)]
+    steps.run(spark, nested(plain), (tmp_path / "out").as_uri(), tmp_path.as_uri())
+    n = spark.read.parquet((tmp_path / "out" / "sequenced").as_uri()).count()
+    assert n > 5
+    files = list((tmp_path / "out" / "sam").rglob("*.txt"))
+    assert files and all(f.read_text().startswith("@HD\tVN:1.0\n@SQ\tSN:chr1\tLN:400\n") for f in files)
+    assert sum(not x.startswith("@") for f in files for x in f.read_text().splitlines()) == 2 * n
+    with pytest.raises(config.ConfigError):
+        steps.run(spark, plain | {"input": {}}, (tmp_path / "none").as_uri())
 
 
 def test_own_step(spark, sf):
