@@ -15,13 +15,14 @@ from strandloom.runtime import ship
 def alignment_scores(sequence: Column, oligos: list[str]) -> Column:
     """For each place of the molecule the most bases that match the reverse complement of an oligo, without gaps.
 
-    Oligos have one length; bases other than ACGT match nothing; molecules shorter than the oligos have no places. The
-    windows of a molecule times all oligos at once is one matrix product, in Arrow batches.
+    Shorter oligos are taken as long as the longest, with places at their end that every base of ACGT matches. Other letters of a
+    molecule match nothing; molecules shorter than the longest oligo have no places. The windows of a molecule times all oligos at
+    once is one matrix product, in Arrow batches.
     """
     ship()
-    size = len(oligos[0]) if oligos else 1
+    size = max(map(len, oligos), default=1)
     turned = [o[::-1].translate(str.maketrans("ACGT", "TGCA")) for o in oligos]
-    hot = np.array([[[c == b for b in "ACGT"] for c in o] for o in turned], np.float32).reshape(len(oligos), -1).T
+    hot = np.array([[[c in (b, "*") for b in "ACGT"] for c in o.ljust(size, "*")] for o in turned], np.float32).reshape(len(oligos), -1).T
 
     @F.pandas_udf("array<int>")
     def scores(column: pd.Series) -> pd.Series:
@@ -48,7 +49,7 @@ def fired_sites(seed: int, scores: Column, size: int, max_chance: float, exponen
 
 def deplete(df: DataFrame, seed: int, oligos: list[str], max_chance: float = 0.99, exponent: float = 8, entire: bool = False, skip_first: bool = False) -> DataFrame:
     """Drops molecules with a degraded place (entire), or cuts the oligos' stretches out and keeps the pieces between."""
-    size = len(oligos[0])
+    size = max(map(len, oligos))
     df = df.withColumn("_scores", alignment_scores(F.col("sequence"), oligos))
     df = df.withColumn("_sites", fired_sites(seed, F.col("_scores"), size, max_chance, exponent, skip_first)).drop("_scores")
     if entire:

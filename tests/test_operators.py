@@ -108,6 +108,14 @@ def test_ribozero(spark):
     assert [s for _, s in sorted(parts["k4"])] == [seqs[4]]
 
 
+def test_oligos_of_several_lengths(spark):
+    oligos = ["ACGTTGCAAC", "GGATCC", "TTTTACGGCATT"]
+    seqs = [*random_seqs(8, 60, 5), "ACGTNACGTNACGTN", "ACGTACGTACG", ""]
+    for r in molecules(spark, seqs).select("sequence", ribozero.alignment_scores(F.col("sequence"), oligos).alias("s")).collect():
+        want = [max(sum(i >= len(o) and c in "ACGT" or i < len(o) and c == turned(o)[i] for i, c in enumerate(r.sequence[j : j + 12])) for o in oligos) for j in range(len(r.sequence) - 11)]
+        assert r.s == want
+
+
 def samples(spark):
     return spark.createDataFrame([("1", "AA", "CCCC", "GG", "TT", "GGGG", "AC"), ("2", "AA", "CACA", "GG", "TT", "GTGT", "AC")], "sample_id string, pre_i5 string, i5 string, post_i5 string, pre_i7 string, i7 string, post_i7 string")
 
