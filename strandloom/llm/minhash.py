@@ -176,9 +176,10 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float, weighting: str) -> DataFrame:
-    """The pairs (u, v) whose exact similarity reaches the bound."""
-    texts = texts_of(docs, pairs)
+def verified(pairs: DataFrame, docs: DataFrame, similar: float, weighting: str, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose exact similarity reaches the bound. Texts are written before they are joined: a join that shares its
+    shuffle with their aggregation couldn't be split where one centre has very many pairs."""
+    texts, _ = scratch.keep(texts_of(docs, pairs))
     left = texts.select(F.col("rep").alias("u"), F.col("text").alias("s"))
     right = texts.select(F.col("rep").alias("v"), F.col("text").alias("t"))
 
@@ -326,7 +327,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str =
     centres, _ = scratch.keep(keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.rep").alias("centre")))
     full, _ = scratch.keep(keys.join(centres, "band").select("band", "rep", "n", "centre"))
     pairs, _ = scratch.keep(full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct())
-    links = verified(pairs, plain, similar, weighting).select("u", "v")
+    links = verified(pairs, plain, similar, weighting, scratch).select("u", "v")
     edges, _ = scratch.keep(components(links, scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     roots = full.select("band", "rep").join(edges.select(F.col("u").alias("rep"), F.col("v").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
     states, _ = scratch.keep(roots.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size"))
