@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import decontaminate, embeddings, langid, minhash, packing, pii, quality, secrets, substrings, toxicity
+from strandloom.llm import collocations, decontaminate, embeddings, langid, minhash, mixing, packing, pii, quality, secrets, spelling, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_secrets": secrets.op9_secrets,
         "op10_quality": quality.op10_quality,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_mixing": mixing.op13_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_decontamination": decontaminate.OP8_SQL,
+        "op12_collocations": collocations.OP12_SQL,
     }
