@@ -51,8 +51,8 @@ def derived(d: DataFrame, key: Column, number: Column, transcript: str, chrom: s
 def piece(df: DataFrame, first: Column, size: Column, suffix: Column | None = None, reverse: bool = False) -> DataFrame:
     """Each molecule becomes ``size`` of its bases from ``first`` (1-based), as its reverse complement if asked for.
 
-    start, cigar and strand place it on the molecule it came from; the source alignment is chained. The chaining is arithmetic for
-    plain alignments, runs in Arrow batches for the others, and not at all if later steps don't read it.
+    start, cigar and strand place it on the molecule it came from; the source alignment is chained, in expressions, and not at all if
+    later steps don't read it.
     """
     from strandloom.functions.sequence import reverse_complement
 

@@ -183,3 +183,15 @@ ORACLE["lineitem_quant"] = f"""SELECT sample_id, packet_id, transcript_id, count
   SELECT (o % 2 + 1)::VARCHAR AS sample_id, (o % 4)::INT AS packet_id, 'T' || s AS transcript_id, k AS row_key, len FROM (
     SELECT l_orderkey * 8 + l_linenumber AS o, l_suppkey % 50 AS s, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS k, 40 + l_partkey % 217 + l_orderkey % 120 AS len FROM lineitem))
   WHERE {u('sizing', 'row_key')} < {SIZE_P} GROUP BY ALL"""
+# base by base: places of a read's bases on the molecule, of the molecule's on the reference, and runs of both
+SPLICED = """spliced AS (SELECT *, n // 4 AS p, n // 5 AS k, 6 + 3 * (n // 5) AS size, source_strand = '-' AS back, CASE WHEN ordinal % 2 = 0 THEN '+' ELSE '-' END AS own_strand FROM mol),
+own AS (SELECT row_key, q0 + i AS q, b0 + i AS b FROM (SELECT row_key, unnest([5, 7 + k, 7 + 2 * k]) AS q0, unnest([3, 3 + k, 6 + 2 * k]) AS b0, k FROM spliced), (SELECT unnest(range(60)) AS i) WHERE i < k),
+other AS (SELECT row_key, m0 + i AS m, r0 + i AS r FROM (SELECT row_key, unnest([1, 1 + p, 4 + 2 * p, 4 + 3 * p]) AS m0, unnest([0, p + 30, 2 * p + 30, 3 * p + 35]) + source_start AS r0, unnest([p, p, p, n - 3 * p - 3]) AS size FROM spliced), (SELECT unnest(range(260)) AS i) WHERE i < size),
+aligned AS (SELECT row_key, CASE WHEN back THEN size + 1 - q ELSE q END AS q, r FROM spliced JOIN own USING (row_key) JOIN other USING (row_key) WHERE m = CASE WHEN back THEN len + 1 - b ELSE b END),
+gaps AS (SELECT row_key, q, r, q - lag(q) OVER w AS dq, r - lag(r) OVER w AS dr, lag(r) OVER w AS r0 FROM aligned WINDOW w AS (PARTITION BY row_key ORDER BY q)),
+runs AS (SELECT *, sum(CASE WHEN dq = 1 AND dr = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY row_key ORDER BY q) AS run FROM gaps),
+parts AS (SELECT row_key, run, min(q) AS q, max(q) AS last, min(r) AS r, count(*) AS n, arg_min(dq, runs.q) AS dq, arg_min(dr, runs.q) AS dr, arg_min(r0, runs.q) AS r0 FROM runs GROUP BY ALL),
+texts AS (SELECT row_key, min(parts.r) AS start, min(q) - 1 AS before, max(last) AS last, string_agg(CASE WHEN dq > 1 THEN (dq - 1) || 'I' ELSE '' END
+  || CASE WHEN dr > 1 THEN (dr - 1) || CASE WHEN source_start + p > r0 AND source_start + p < parts.r THEN 'N' ELSE 'D' END ELSE '' END || parts.n || 'M', '' ORDER BY q) AS middle FROM parts JOIN spliced USING (row_key) GROUP BY row_key)"""
+ORACLE["cigar_chain_spliced"] = q("""SELECT row_key, coalesce(start, source_start) AS start, CASE WHEN start IS NULL THEN size || 'S' ELSE CASE WHEN before > 0 THEN before || 'S' ELSE '' END || middle || CASE WHEN last < size THEN (size - last) || 'S' ELSE '' END END AS cigar,
+  CASE WHEN own_strand = source_strand THEN '+' ELSE '-' END AS strand FROM spliced LEFT JOIN texts USING (row_key)""", SPLICED)

@@ -103,6 +103,16 @@ def places_whole(counts: Column, total: Column) -> Column:
     return F.size(F.filter(each, lambda x: x["a"] + x["c"] + x["g"] + x["t"] == total))
 
 
+def spliced(m: DataFrame) -> DataFrame:
+    """Molecules whose source alignment holds a skipped stretch, an insertion and a deletion, and a read of them (own_cigar, from place 3 on) with the same."""
+    n = F.regexp_extract("source_cigar", "^([0-9]+)M", 1).cast("bigint")
+    part, tail, read = F.floor(n / 4), F.regexp_extract("source_cigar", "([0-9]+S)$", 1), F.floor(n / 5)
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") if y is not tail else y for y in x])
+    source = text(part, "M30N", part, "M3I", part, "M5D", n - part * 3 - 3, "M", tail)
+    own = text("4S", read, "M2I", read, "M3D", read, "M")
+    return m.withColumns({"source_cigar": source, "own_cigar": own, "own_strand": F.when(F.col("ordinal") % 2 == 0, "+").otherwise("-")})
+
+
 def _molecule_files(spark: SparkSession, d: str) -> DataFrame:
     """Packets of molecule files: written once, found by name, numbered in the order of their paths."""
     from strandloom.sources.scratch import folder
@@ -163,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "adapter_pairs": lambda s, d: adapters.adapter_pairs(kit(s)),
     "cigar_parse": lambda s, d: M(s, d).select("row_key", F.posexplode(cg.spans("source_cigar", "source_start")).alias("part", "x")).select("row_key", "part", "x.op", "x.n", "x.q", "x.r"),
     "cigar_chain": lambda s, d: M(s, d).select("row_key", cg.chain(F.lit(11), F.lit("30M"), F.lit("+"), F.col("source_start"), F.col("source_cigar"), F.lit("+")).alias("c")).select("row_key", "c.*"),
+    "cigar_chain_spliced": lambda s, d: spliced(M(s, d)).select("row_key", cg.chain(F.lit(3), F.col("own_cigar"), F.col("own_strand"), F.col("source_start"), F.col("source_cigar"), F.col("source_strand")).alias("c")).select("row_key", "c.*"),
     "cigar_chain_matched": lambda s, d: M(s, d).withColumn("matched", F.expr("cast(regexp_extract(source_cigar, '^([0-9]+)M', 1) as bigint)")).select("row_key", cg.chain_matched(F.lit(11), F.lit(30), F.lit("+"), F.col("source_start"), F.col("matched"), F.length("sequence"), F.lit("+")).alias("c")).select("row_key", "c.*"),
     "pcr_gc_success": lambda s, d: M(s, d).select("row_key", F.round(pcr.success_rate(sq.gc_content("sequence"), *PCR_BIAS), 9).alias("rate")),
     "pcr_amplify": lambda s, d: amplified(M(s, d)).select("row_key", "molecule_id", "leaf"),

@@ -111,3 +111,39 @@ def test_chain_run_equals_chain(spark):
     col = F.col
     got = df.select(*df.columns, cg.chain_run(col("s1"), col("n"), col("d1"), col("s2"), col("c2"), col("d2")).alias("x")).collect()
     assert all(tuple(g.x) == cg.compose(g.s1, f"{g.n}M", g.d1, g.s2, g.c2, g.d2) for g in got)
+
+
+def random_cigar(r, ops="MIDNS=X"):
+    """Parts in any order; clips only at the ends."""
+    inner = [f"{r.randint(1, 9)}{r.choice(ops.replace('S', ''))}" for _ in range(r.randint(0, 6))]
+    return ("" if r.random() < 0.6 else f"{r.randint(1, 5)}S") + "".join(inner) + ("" if r.random() < 0.6 else f"{r.randint(1, 5)}S")
+
+
+def test_chain_equals_compose_on_random_alignments(spark):
+    import random
+
+    r = random.Random(11)
+    rows = [(r.randint(1, 20), random_cigar(r), r.choice("+-"), r.randint(1, 10**10), random_cigar(r, "MMMIDN=X"), r.choice("+-")) for _ in range(3000)]
+    rows += [(1, "", "+", 5, "", "-"), (1, "4M", "-", 5, "", "+"), (3, "2S", "+", 9, "5M", "+"), (1, "20M", "+", 7, "5M3N2I4D6M", "-"), (2, "3M2D4M1I3M", "-", 2**31 + 5, "2S5M100000N9M1S", "+")]
+    df = spark.createDataFrame(rows, "s1 long, c1 string, d1 string, s2 long, c2 string, d2 string").repartition(4)
+    col = F.col
+    got = df.select("*", cg.chain(*[col(c) for c in df.columns]).alias("x"), cg.used(col("c1")).alias("used")).collect()
+    assert len(got) == len(rows)
+    wrong = [(tuple(g)[:6], tuple(g.x), cg.compose(*tuple(g)[:6])) for g in got if tuple(g.x) != cg.compose(*tuple(g)[:6])]
+    assert not wrong, (len(wrong), wrong[:3])
+    assert all(g.used == cg.query_length(g.c1) for g in got)
+    assert all(sum(op in g.x.cigar for g in got) > 50 for op in "MIDNS")  # the generator meets every kind
+
+
+def test_chain_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, "+", 5, "5M", "+"), (1, "5M", "+", 5, None, "+")], "s1 long, c1 string, d1 string, s2 long, c2 string, d2 string")
+    assert [r.x for r in df.select(cg.chain(*[F.col(c) for c in df.columns]).alias("x")).collect()] == [None, None]
+
+
+def test_chains_need_no_python(spark, sf):
+    from strandloom.operators import adapters, molecules
+    from strandloom.plans import queries as Q
+
+    m = adapters.ligate(molecules.piece(molecules.piece(Q.M(spark, sf), F.lit(3), F.lit(30)), F.lit(2), F.lit(20), reverse=True), Q.samples(spark))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
