@@ -195,3 +195,8 @@ texts AS (SELECT row_key, min(parts.r) AS start, min(q) - 1 AS before, max(last)
   || CASE WHEN dr > 1 THEN (dr - 1) || CASE WHEN source_start + p > r0 AND source_start + p < parts.r THEN 'N' ELSE 'D' END ELSE '' END || parts.n || 'M', '' ORDER BY q) AS middle FROM parts JOIN spliced USING (row_key) GROUP BY row_key)"""
 ORACLE["cigar_chain_spliced"] = q("""SELECT row_key, coalesce(start, source_start) AS start, CASE WHEN start IS NULL THEN size || 'S' ELSE CASE WHEN before > 0 THEN before || 'S' ELSE '' END || middle || CASE WHEN last < size THEN (size - last) || 'S' ELSE '' END END AS cigar,
   CASE WHEN own_strand = source_strand THEN '+' ELSE '-' END AS strand FROM spliced LEFT JOIN texts USING (row_key)""", SPLICED)
+ORACLE["fastq_in_order"] = ORACLE["fastq_records"].replace("direction, status, '@'", "direction AS read, status, row_number() OVER (PARTITION BY sample_id, lane, direction, status ORDER BY tile, x, y, molecule_id) AS number, '@'")
+ORACLE["bam_round_trip"] = ORACLE["sam_records"].replace("SELECT sample_id, lane, status, name", "SELECT name")
+# a read is 40 bases on the strand of its molecule
+ORACLE["bam_coverage"] = q("""SELECT source_chrom, source_strand, pos, sum(d) OVER (PARTITION BY source_chrom, source_strand ORDER BY pos)::BIGINT AS depth
+  FROM (SELECT source_chrom, source_strand, p AS pos, sum(d) AS d FROM (SELECT source_chrom, source_strand, pos AS p, 1 AS d FROM reads UNION ALL SELECT source_chrom, source_strand, pos + 40, -1 FROM reads) GROUP BY ALL HAVING sum(d) <> 0)""", PLACED)

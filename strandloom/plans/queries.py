@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
@@ -17,7 +17,8 @@ from strandloom.functions import rng
 from strandloom.functions import sequence as sq
 from strandloom.operators import adapters, analytics, flowcell, fragmentation, pcr, ribozero, selection, sequencing, synthesis
 from strandloom.operators.molecules import from_documents, from_lineitem
-from strandloom.sources import formats
+from strandloom.sources import bam, formats
+from strandloom.sources.scratch import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 100
@@ -115,8 +116,6 @@ def spliced(m: DataFrame) -> DataFrame:
 
 def _molecule_files(spark: SparkSession, d: str) -> DataFrame:
     """Packets of molecule files: written once, found by name, numbered in the order of their paths."""
-    from strandloom.sources.scratch import folder
-
     base = folder(spark, "molecule_files")
     m = M(spark, d).withColumn("file", F.concat(F.lit("molecule_"), (F.col("ordinal") % 3).cast("string")))
     formats.write_molecules(m, base, "file")
@@ -124,6 +123,26 @@ def _molecule_files(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("packet_id").agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bases"), F.countDistinct("transcript_id").alias("transcripts"))
 
 
+def contigs(m: DataFrame) -> DataFrame:
+    """A reference with a contig for each chromosome that occurs."""
+    names = m.select(F.col("source_chrom").alias("name")).distinct().withColumn("length", F.lit(1 << 30))
+    return names.withColumn("ordinal", F.row_number().over(Window.orderBy("name")) - 1)
+
+
+def _bam(spark: SparkSession, d: str) -> str:
+    """BAM files of all reads, in the order of places."""
+    base = folder(spark, "bam")
+    bam.write_bam(identified(spark, d), contigs(M(spark, d)), base, order=True)
+    return base
+
+
+def _fastq(spark: SparkSession, d: str) -> DataFrame:
+    """Records of FASTQ files in the order of places, numbered as they stand in the files."""
+    base = folder(spark, "fastq")
+    formats.write_fastq(identified(spark, d), base, order=True)
+    return formats.read_fastq(spark, base)
+
+
 def transcripts(m: DataFrame) -> DataFrame:
     """The first molecule of each transcript as its sequence."""
     one = F.min_by(F.struct("sequence", F.col("source_chrom").alias("chrom"), F.col("source_start").alias("ref_start"), F.concat(F.length("sequence").cast("string"), F.lit("M")).alias("ref_cigar"), F.col("source_strand").alias("strand")), "ordinal")
@@ -194,6 +213,9 @@ QUERIES: dict[str, Query] = {
     "unidentified_count": lambda s, d: analytics.demultiplex(called(M(s, d)), samples(s)).groupBy("sample_id", "status").agg(F.count("*").alias("n")),
     "fastq_records": lambda s, d: formats.fastq_records(identified(s, d)),
     "sam_records": lambda s, d: formats.sam_records(identified(s, d)),
+    "fastq_in_order": _fastq,
+    "bam_round_trip": lambda s, d: bam.read_records(s, _bam(s, d), "*.bam"),
+    "bam_coverage": lambda s, d: analytics.coverage(bam.read_bam(s, _bam(s, d), "*.bam")),
     "pileup_coverage": lambda s, d: analytics.coverage(M(s, d)),
     "step_summary": lambda s, d: analytics.step_summary(size_selected(M(s, d)), M(s, d)),
     "occurring_ids": lambda s, d: M(s, d).select("row_key").join(fragments(size_selected(M(s, d))).select(F.split_part("row_key", F.lit("."), F.lit(1)).alias("row_key")).distinct(), "row_key", "left_semi"),

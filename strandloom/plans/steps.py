@@ -155,7 +155,7 @@ def logged(molecules: DataFrame, c: dict, path: str) -> DataFrame:
 def execute(molecules: DataFrame, c: dict, contigs: DataFrame, path: str) -> Run:
     """Writes the outputs that the configuration asks for under path. The sequenced clusters are written once as packets,
     which all sinks read again. Full logs hold each step of the preparation, with a summary."""
-    from strandloom.sources import formats
+    from strandloom.sources import bam, formats
 
     c = cf.load(c)
     out = c.get("output") or {}
@@ -169,7 +169,7 @@ def execute(molecules: DataFrame, c: dict, contigs: DataFrame, path: str) -> Run
     if out.get("output_sam", True):
         formats.write_sam(reads, contigs, f"{path}/sam")
     if out.get("output_bam", False):
-        formats.write_bam(reads, contigs, f"{path}/bam")
+        bam.write_bam(reads, contigs, f"{path}/bam")
     return run
 
 

@@ -1,21 +1,15 @@
-"""Readers and writers: molecule tables, FASTA, SAM, adapter kits; FASTQ, SAM, BAM, counts, packets, step logs."""
+"""Readers and writers: molecule tables, FASTA, FASTQ, SAM, adapter kits; FASTQ, SAM, counts, packets, step logs."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import rng
-from strandloom.functions.cigar import PART, REFERENCE
 from strandloom.functions.sequence import reverse_complement, sam_flag
 from strandloom.operators.molecules import COLUMNS
-from strandloom.runtime import ship
 
 #: Name of the instrument in read names.
 INSTRUMENT = "LOOM"
@@ -134,13 +128,40 @@ def fastq_records(df: DataFrame, *extra: str) -> DataFrame:
 PLACE = ["coordinates.tile", "coordinates.x", "coordinates.y", "molecule_id"]
 
 
+def in_order(df: DataFrame, keys: list[str], *place: str) -> DataFrame:
+    """Rows from key to key and from place to place over numbered partitions: ranges between sampled splitters, each sorted by one task.
+
+    A range is a part of a key's rows or many keys', so no task holds a lane. Files that are written of it carry the number of their
+    partition: those of a folder, read by name, are in order.
+    """
+    return df.repartitionByRange(*keys, *place).sortWithinPartitions(*keys, *place)
+
+
 def write_fastq(df: DataFrame, path: str, order: bool = False) -> None:
-    """Text files in folders by sample, lane, read and status. order: one file each, from the first place of the flowcell to the last,
-    which one task sorts (with spill); without it files are as many as the tasks that met the folder's reads."""
-    keys = ["sample_id", "lane", "direction", "status"]
+    """Text files in folders by sample, lane, read and status. order: the files of a folder, one after another by name, go from the first
+    place of the flowcell to the last."""
+    keys = ["sample_id", "lane", "read", "status"]
     out = fastq_records(df, *PLACE) if order else fastq_records(df)
-    out = out.repartition(*keys).sortWithinPartitions(*keys, *[c.split(".")[-1] for c in PLACE]) if order else out
-    out.select(*keys, "record").withColumnRenamed("direction", "read").write.mode("overwrite").partitionBy("sample_id", "lane", "read", "status").text(path)
+    out = out.withColumnRenamed("direction", "read")
+    out = in_order(out, keys, *[c.split(".")[-1] for c in PLACE]) if order else out
+    out.select(*keys, "record").write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the FASTQ files that write_fastq left in a folder, their folders' columns, and number: the place (from 1) in the folder's files by name.
+
+    Records are split at their headers by Spark's reader. Numbers are places within a split after the counts of the splits before, so no record moves.
+    """
+    head = f"@{INSTRUMENT}:"
+    raw = spark.read.option("lineSep", f"\n{head}").text(path).filter("value <> ''")
+    raw = raw.withColumns({"_file": F.col("_metadata.file_name"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()})
+    keys = ["sample_id", "lane", "read", "status"]
+    parts = raw.groupBy(*keys, "_file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_before", before).drop("_n")
+    record = F.concat(F.lit(head), F.regexp_replace(F.regexp_replace("value", f"^{head}", ""), "\n$", ""))
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return raw.join(parts, [*keys, "_file", "_block"]).select(F.col("sample_id").cast("string").alias("sample_id"), "lane", "read", "status", number.alias("number"), record.alias("record"))
 
 
 def sam_records(df: DataFrame, as_stored: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -165,97 +186,20 @@ def sam_header(contigs: DataFrame) -> list[str]:
 
 def write_sam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False, parts: int | None = None) -> None:
     """Text files by sample, lane and status, in so many parts each (as many as shuffles have, unless given), every one a whole SAM file
-    with its header. order: one part each, from the first place of the flowcell to the last."""
+    with its header. order: the files of a folder, one after another by name, are one SAM file from the first place of the flowcell to the last."""
     spark = df.sparkSession
     parts = 1 if order else parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["sample_id", "lane", "status", "part"]
+    place = [c.split(".")[-1] for c in PLACE]
     line = F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM_FIELDS])
-    body = sam_records(df, extra=tuple(PLACE)).select(*keys[:3], F.pmod(F.hash("qname"), F.lit(parts)).alias("part"), F.lit(1).alias("_rank"), *[c.split(".")[-1] for c in PLACE], line.alias("value"))
-    blank = [F.lit(None).cast(t).alias(c.split(".")[-1]) for c, t in zip(PLACE, ("int", "int", "int", "string"), strict=True)]
+    body = sam_records(df, extra=tuple(PLACE)).select(*keys[:3], F.pmod(F.hash("qname"), F.lit(parts)).alias("part"), F.lit(1).alias("_rank"), *place, line.alias("value"))
+    blank = [F.lit(None).cast(t).alias(c) for c, t in zip(place, ("int", "int", "int", "string"), strict=True)]
     head = body.select(*keys).distinct().select(*keys, F.lit(0).alias("_rank"), *blank, F.lit("\n".join(sam_header(contigs))).alias("value"))
-    rows = body.unionByName(head).repartition(*keys).sortWithinPartitions(*keys, "_rank", *[c.split(".")[-1] for c in PLACE] if order else [])
+    rows = body.unionByName(head)
+    rows = in_order(rows, keys, "_rank", *place) if order else rows.repartition(*keys).sortWithinPartitions(*keys, "_rank")
     rows.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
-NIBBLE = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
-OPS = {c: i for i, c in enumerate("MIDNSHP=X")}
-#: The empty block that ends a BAM file (fixed value of the SAM specification).
-BAM_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-
-
-def bgzf(data: bytes) -> bytes:
-    """Blocks of at most 64 KB, each a gzip member that tells its size."""
-    out = []
-    for i in range(0, len(data), 60_000):
-        part = data[i : i + 60_000]
-        c = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = c.compress(part) + c.flush()
-        out.append(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out)
-
-
-def region_bin(begin: int, end: int) -> int:
-    """The smallest bin of the binning index that holds [begin, end)."""
-    end -= 1
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >> shift == end >> shift:
-            return first + (begin >> shift)
-    return 0
-
-
-def bam_record(row: object, ids: dict[str, int]) -> bytes:
-    """One alignment in BAM form."""
-    ops = [(int(n), op) for n, op in PART.findall(row.cigar or "")]
-    pos, name, seq = int(row.pos) - 1, row.qname.encode() + b"\0", row.seq
-    end = pos + max(1, sum(n for n, op in ops if op in REFERENCE))
-    codes = [NIBBLE.get(c, 15) for c in seq] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-    body = struct.pack("<iiBBHHHiiii", ids.get(row.rname, -1), pos, len(name), int(row.mapq), region_bin(max(0, pos), max(1, end)), len(ops), int(row.flag), len(seq), -1, -1, 0)
-    body += name + b"".join(struct.pack("<I", n << 4 | OPS[op]) for n, op in ops) + packed + bytes(max(0, ord(c) - 33) for c in row.qual)
-    return struct.pack("<i", len(body)) + body
-
-
-def bam_header(names: list[tuple[str, int]], text: str) -> bytes:
-    out = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(names))
-    return out + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in names)
-
-
-def bam_parts(df: DataFrame, contigs: DataFrame) -> DataFrame:
-    """sample_id, lane, status, part, data: compressed blocks of BAM records. A file is header, its parts in any order, and the end mark."""
-    ship(df.sparkSession)
-    ids = {r["name"]: i for i, r in enumerate(contigs.orderBy("ordinal").select("name").collect())}  # contigs are a bounded table
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(*key, bgzf(b"".join(bam_record(r, ids) for r in part.itertuples(index=False)))) for key, part in pdf.groupby(["sample_id", "lane", "status"], sort=True)]
-            yield pd.DataFrame(rows, columns=["sample_id", "lane", "status", "data"])
-
-    return sam_records(df).mapInPandas(run, "sample_id string, lane int, status string, data binary")
-
-
-def write_bam(df: DataFrame, contigs: DataFrame, path: str) -> list[str]:
-    """One file for each sample, lane and status. Parts are written as they come and joined by the file system's streams."""
-    spark = df.sparkSession
-    names = [(r["name"], int(r["length"])) for r in contigs.orderBy("ordinal").select("name", "length").collect()]
-    head = bgzf(bam_header(names, "".join(f"{x}\n" for x in sam_header(contigs))))
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = bam_parts(df, contigs)
-    parts.write.mode("overwrite").parquet(f"{path}/_parts")
-    parts = spark.read.parquet(f"{path}/_parts")
-    out = []
-    for key in parts.select("sample_id", "lane", "status").distinct().orderBy("sample_id", "lane", "status").collect():
-        target = f"{path}/S{key[0]}_L{key[1]}_{key[2]}.bam"
-        stream = fs.create(hadoop(target), True)
-        for piece in [head, *(bytes(r[0]) for r in parts.filter((F.col("sample_id") == key[0]) & (F.col("lane") == key[1]) & (F.col("status") == key[2])).select("data").toLocalIterator()), BAM_END]:
-            stream.write(bytearray(piece))
-        stream.close()
-        out.append(target)
-    fs.delete(hadoop(f"{path}/_parts"), True)
-    return out
-
-
 def write_quant(quant: DataFrame, path: str) -> None:
     """Tab-separated transcript_id and counts, in folders by sample and packet."""
     quant.select("sample_id", "packet_id", "transcript_id", "counts").write.mode("overwrite").partitionBy("sample_id", "packet_id").option("sep", "\t").csv(path)
