@@ -7,9 +7,10 @@ setting is absent and all is one process (tests) a temporary folder of this mach
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import runtime
@@ -101,10 +102,13 @@ def ranges(counts: np.ndarray) -> np.ndarray:
 BROADCAST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs whose doc_id isn't among the ids (doc_id)."""
-    ids, _ = scratch.keep(ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch, digest: Column | None = None) -> DataFrame:
+    """docs whose doc_id isn't among the ids (doc_id), or, with a digest of their text, whose doc_id and digest aren't (doc_id, digest). Rows without an id stay."""
+    keys = ["doc_id"] if digest is None else ["doc_id", "digest"]
+    ids, _ = scratch.keep(ids.select(*keys).distinct().toDF(*[f"_{k}" for k in keys]))
+    own = [F.col("doc_id"), digest][: len(keys)]
+    same = reduce(Column.__and__, [a == F.col(f"_{k}") for a, k in zip(own, keys, strict=True)])
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, same, "left_anti").select(*docs.columns)
 
 
 #: Edges in one part of a written table.

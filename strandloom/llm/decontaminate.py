@@ -141,10 +141,11 @@ def item_windows(items: DataFrame) -> DataFrame:
     return hashed(items, "item_id").select("item_id", F.posexplode(at).alias("ipos", "x")).select("item_id", "ipos", "x.h", "x.g", "x.literal")
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, apart: bool = False) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, n_matched, contaminated: every pair with a consistent window.
 
     n_windows counts canonical windows, n_matched those that match either way, n_slots the item's slots that consistent windows cover.
+    apart: a row for each text of a doc_id, with its digest (xxhash64) as a further column. Rows without a doc_id or a text match nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -173,12 +174,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     sound = slots.filter((kinds("here") == kinds("here", "there")) & (kinds("there") == kinds("here", "there"))).select("doc", "item_id", "ipos", F.lit(True).alias("canonical"), F.transform("s", lambda x: x["place"]).alias("places"))
     lines = sound.unionByName(hits.filter("not canonical").select("doc", "item_id", "ipos", F.lit(False).alias("canonical"), F.array().cast("array<int>").alias("places")))
     # an item has a bounded number of windows, so the sets of places met are small
-    pairs = lines.groupBy(F.col("doc.doc_id").alias("doc_id"), "item_id").agg(
+    keys = [F.col("doc.doc_id").alias("doc_id"), *([F.col("doc.digest").alias("digest")] if apart else []), "item_id"]
+    pairs = lines.groupBy(*keys).agg(
         F.size(F.collect_set(F.when(F.col("canonical"), F.col("ipos")))).cast("long").alias("n_windows"), F.size(F.collect_set("ipos")).cast("long").alias("n_matched"),
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_slots"),
     )
     out = pairs.join(mine.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
-    return out.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_matched", ((F.col("n_matched") >= ENOUGH) | (2 * F.col("n_matched") >= F.col("item_windows"))).alias("contaminated"))
+    return out.select(*pairs.columns[: len(keys)], "n_windows", "item_windows", "n_slots", "n_matched", ((F.col("n_matched") >= ENOUGH) | (2 * F.col("n_matched") >= F.col("item_windows"))).alias("contaminated"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

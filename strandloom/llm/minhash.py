@@ -13,8 +13,8 @@ spanning forest of its links. So every pair of a bucket is compared or joined al
 pairs are listed, however large a group is. Comparisons are exact, on the shingle sets.
 
 Edge cases: null texts and texts without a word are like nothing and form classes of their own; texts of fewer than WORDS
-words are one shingle; rows that repeat a doc_id are one node, compared by one of its texts, and each gives one row; ties go to the smaller doc_id; extra columns don't
-take part; an empty table gives no rows.
+words are one shingle; a doc_id may come with several texts, each of which is compared and has a class of its own; every row gives one row, and of the
+rows of a class those with its smallest doc_id, and there its smallest digest, are kept; extra columns don't take part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -168,19 +168,27 @@ def signed(docs: DataFrame, weighting: str) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), "text").mapInArrow(run, SIGNED)
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """rep and text of the documents in pairs."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+def texts_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and text of the nodes in wanted (node). reps: node, rep (the doc_id it is read from), digest, rows (so many rows hold it).
+
+    What a join then meets is a shuffle of rows as they were read, which can be split at a hot node: only texts of repeated rows are aggregated.
+    """
+    ids, _ = scratch.keep(wanted.distinct().join(reps, "node"))
+    small = (lambda x: F.broadcast(x)) if ids.count() <= BROADCAST_IDS else (lambda x: x)
+
+    def read(ids: DataFrame) -> DataFrame:
+        found = docs.join(small(ids.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.sha2("text", 256).alias("digest"), "text")
+        return found.join(small(ids.select("rep", "digest", "node")), ["rep", "digest"]).select("node", "text")
+
+    texts, twice = read(ids.filter("rows = 1")), ids.filter("rows > 1")
+    return texts if twice.isEmpty() else texts.unionByName(read(twice).dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float, weighting: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similar: float, weighting: str, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose exact similarity reaches the bound."""
-    texts = texts_of(docs, pairs)
-    left = texts.select(F.col("rep").alias("u"), F.col("text").alias("s"))
-    right = texts.select(F.col("rep").alias("v"), F.col("text").alias("t"))
+    texts = texts_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), reps, scratch)
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("s"))
+    right = texts.select(F.col("node").alias("v"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -203,8 +211,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: float, weighting: str)
     return joined.mapInArrow(run, "u long, v long, similarity double")
 
 
-BLOCK = 1024
-GROUP_BYTES = 6_000_000
+#: Members of a block and bytes of their sets, and bytes of the blocks that meet in one group.
+BLOCK, BLOCK_BYTES, GROUP_BYTES = 1024, 24_000_000, 6_000_000
 
 
 def blob(h: np.ndarray) -> bytes:
@@ -267,31 +275,34 @@ def alike(sets: list[np.ndarray], weights: list[np.ndarray] | None, similar: flo
     return out
 
 
-def compared(members: DataFrame, docs: DataFrame, similar: float, weighting: str, scratch: Scratch) -> DataFrame:
-    """Links (u, v) that join what is alike among the members (band, rep, own, size) of open buckets.
+def compared(members: DataFrame, docs: DataFrame, reps: DataFrame, similar: float, weighting: str, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that join what is alike among the members (band, node, own) of open buckets.
 
-    Each member takes its set along; a bucket of more than BLOCK members becomes pairs of blocks. All pairs of a block are
+    Each member takes its set along; a bucket of more than BLOCK members, or of more than BLOCK_BYTES, becomes pairs of blocks. All pairs of a block are
     compared where they are, by matrix products, and only a spanning forest of the links is returned, never the pairs.
     """
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_hashes(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blob(h) for h, _ in found], pa.binary()), pa.array([b"" if weighting == "one" else c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["rep", "shingles", "counts"])
-
-    texts = texts_of(docs, members.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
-    known, _ = scratch.keep(texts.mapInArrow(sets, "rep long, shingles binary, counts binary"))
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([blob(h) for h, _ in found], pa.binary()), pa.array([b"" if weighting == "one" else c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["node", "shingles", "counts"])
+
+    texts = texts_of(docs, members.select("node"), reps, scratch)
+    known, _ = scratch.keep(texts.mapInArrow(sets, "node long, shingles binary, counts binary"))
+    sizes = known.select("node", (F.length("shingles") + F.length("counts")).alias("bytes"))
+    sized, _ = scratch.keep(members.join(sizes, "node"))
+    buckets, _ = scratch.keep(sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK // 2), F.sum("bytes") / F.lit(BLOCK_BYTES // 2))).cast("int").alias("blocks")))
+    blocks = sized.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "own", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = dealt.join(known, "rep")
-    sizes = known.select("rep", (F.length("shingles") + F.length("counts")).alias("bytes"))
-    total = dealt.join(sizes, "rep").agg(F.sum("bytes")).first()[0] or 0
+    dealt = dealt.select("node", "own", "band", "bytes", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = dealt.join(known, "node")
+    total = dealt.agg(F.sum("bytes")).first()[0] or 0
     groups = max(1, int(total) // GROUP_BYTES)
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        rep, own, band, i, j = (t.column(c).to_numpy() for c in ("rep", "own", "band", "i", "j"))
+        node, own, band, i, j = (t.column(c).to_numpy() for c in ("node", "own", "band", "i", "j"))
         data, counts = t.column("shingles").to_pylist(), t.column("counts").to_pylist()
-        order = np.lexsort((rep, j, i, band))
+        order = np.lexsort((node, j, i, band))
         parts = np.flatnonzero(np.concatenate(([True], (np.diff(band[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)))) if len(order) else []
         u, v = [], []
         for part in np.split(order, parts[1:]) if len(order) else []:
@@ -302,42 +313,50 @@ def compared(members: DataFrame, docs: DataFrame, similar: float, weighting: str
             if w is not None:
                 hashes, w = zip(*[(h[o], x[o]) for h, x in zip(hashes, w, strict=True) for o in [np.argsort(h)]], strict=True)
             moved, root = forest(alike(list(hashes), w if w is None else list(w), similar))
-            u += rep[part[moved]].tolist()
-            v += rep[part[root]].tolist()
+            u += node[part[moved]].tolist()
+            v += node[part[root]].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return rows.withColumn("g", F.pmod(F.xxhash64("band", "i", "j"), F.lit(groups))).groupBy("g").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weighting: str = "one") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its group), copy_of (smallest doc_id with the very same text), kept, digest of the text: one row for each of docs."""
+    """doc_id, class_id (smallest doc_id of its group), copy_of (smallest doc_id with the very same text), kept, digest of the text: one row for each of docs.
+
+    What is compared is texts, each a node with a number of its own; ids only name them.
+    """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "minhash")
     plain = doc_columns(docs)
     every, _ = scratch.keep(signed(plain, weighting))
-    copies, _ = scratch.keep(every.groupBy("digest").agg(F.min("doc_id").alias("rep")))  # written, so that joins by a hot digest can be split
-    reps = copies.select("rep", "digest")
-    keys = every.join(reps, (every["digest"] == reps["digest"]) & (every["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    keys, _ = scratch.keep(keys.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("band")))
+    # written, so that joins by a hot digest can be split
+    rows = every.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    reps, _ = scratch.keep(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "rows")).alias("x")).select(F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("rep"), "digest", F.col("x.rows").alias("rows")))
+    own = every.join(reps.select("node", "digest", F.col("rep").alias("doc_id"), "rows"), ["digest", "doc_id"])
+    keys = own.filter("rows = 1").select("node", "bands").unionByName(own.filter("rows > 1").select("node", "bands").dropDuplicates(["node"]))
+    keys, _ = scratch.keep(keys.select("node", F.explode("bands").alias("band")))
     # the same order everywhere, so that the buckets of a large group mostly have the same centre
-    lead = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))).alias("c")
+    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("c")
     # the aggregates of bands are written before they are joined: a join that doesn't share its shuffle with them can be split at hot bands
-    centres, _ = scratch.keep(keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.rep").alias("centre")))
-    full, _ = scratch.keep(keys.join(centres, "band").select("band", "rep", "n", "centre"))
-    pairs, _ = scratch.keep(full.filter("rep <> centre").select(F.greatest("rep", "centre").alias("u"), F.least("rep", "centre").alias("v")).distinct())
-    links = verified(pairs, plain, similar, weighting).select("u", "v")
+    centres, _ = scratch.keep(keys.groupBy("band").agg(lead, F.count("*").alias("size")).filter("size > 1").select("band", F.col("c.node").alias("centre")))
+    full, _ = scratch.keep(keys.join(centres, "band").select("band", "node", "centre"))
+    pairs, _ = scratch.keep(full.filter("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
+    links = verified(pairs, plain, reps, similar, weighting, scratch).select("u", "v")
     edges, _ = scratch.keep(components(links, scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    roots = full.select("band", "rep").join(edges.select(F.col("u").alias("rep"), F.col("v").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-    states, _ = scratch.keep(roots.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size")).filter("low <> high").select("band", "size"))
+    roots = full.select("band", "node").join(edges.select(F.col("u").alias("node"), F.col("v").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    states, _ = scratch.keep(roots.groupBy("band").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("band"))
     still, _ = scratch.keep(roots.join(states, "band"))
-    more, _ = scratch.keep(compared(still, plain, similar, weighting, scratch))
-    edges, _ = scratch.keep(components(edges.unionByName(more), scratch).filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    joined = edges.select(F.col("u").alias("rep"), F.col("v").alias("root"))
-    classes, _ = scratch.keep(copies.join(joined, "rep", "left").select("digest", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id")))
+    more, _ = scratch.keep(compared(still, plain, reps, similar, weighting, scratch))
+    joined, _ = scratch.keep(components(edges.unionByName(more), scratch))
+    # a class is named by the smallest doc_id in it, and stands for itself by that one's text
+    grouped, _ = scratch.keep(reps.join(joined, "node"))
+    heads, _ = scratch.keep(grouped.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("class_id"), F.col("digest").alias("head"))).alias("x")).select("root", "x.*"))
+    several = grouped.join(heads, "root").select("node", "class_id", (F.col("digest") == F.col("head")).alias("first"))
+    classes, _ = scratch.keep(reps.join(several, "node", "left").select("digest", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("first", F.lit(True)).alias("first")))
     out = plain.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.sha2("text", 256)).alias("digest")).join(classes, "digest", "left")
-    own = ~F.coalesce(F.col("class_id") != F.col("copy_of"), F.lit(False)) & F.coalesce(F.col("doc_id") == F.col("copy_of"), F.lit(True))
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), own.alias("kept"), "digest")
+    kept = F.coalesce(F.col("first") & (F.col("doc_id") == F.col("copy_of")), F.lit(True))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), kept.alias("kept"), "digest")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,35 @@ def test_near_duplicates_edge_cases(spark, odd, docs_of):
     assert minhash.near_duplicates(docs_of([(1, "a b c")])).collect()[0].kept
 
 
+def test_texts_of_one_id_are_compared_each(spark, docs_of):
+    """Ids only name texts: every text is compared, whichever rows come first, and has a class of its own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    got = minhash.near_duplicates(docs_of([(3, a), (5, a + " more"), (5, c), (7, c + " x"), (8, b), (9, b), (9, b), (2, c + " x y"), (2, "none of it")])).collect()
+    by = {(r.doc_id, r.digest): (r.class_id, r.copy_of, r.kept) for r in got}
+    one = lambda i, t: by[i, hashlib.sha256(t.encode()).hexdigest()]
+    assert len(got) == 9
+    assert one(3, a) == (3, 3, True) and one(5, a + " more") == (3, 5, False)
+    assert one(2, c + " x y") == (2, 2, True) and one(5, c) == (2, 5, False) and one(7, c + " x") == (2, 7, False)
+    assert one(2, "none of it") == (2, 2, True) and one(8, b) == (8, 8, True) and one(9, b) == (8, 8, False)
+    # two texts of one id in one class: one stays
+    two = minhash.near_duplicates(docs_of([(5, a), (5, a + " more"), (6, a)])).collect()
+    assert [r.class_id for r in two] == [5, 5, 5] and sum(r.kept for r in two) == 1
+
+
+def test_blocks_by_bytes(spark, docs_of, monkeypatch):
+    r = random.Random(4)
+    base, rows = words(r, 100), []
+    for n in range(40):
+        w = list(base)
+        for k in r.sample(range(100), 2):
+            w[k] = f"y{r.randrange(9999)}"
+        rows.append((n, " ".join(w)))
+    rows += [(100 + n, t) for n, t in rows[:5]] + [(3, rows[3][1])] * 2
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute_classes(list(dict(rows).items()))
+
+
 @pytest.mark.parametrize("weighting", ["count", "log"])
 def test_weighted_near_duplicates(spark, docs_of, weighting):
     r = random.Random(5)

@@ -176,6 +176,19 @@ def test_stages_against_plain_python(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+def test_an_id_with_several_texts_loses_only_what_is_alike(spark, docs_of, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = docs_of([(3, a), (5, a + " more"), (5, c), (8, b), (9, c + " x"), (9, c + " x"), (9, "alone"), (9, "alone"), (None, a), (6, None), (6, None)]).drop("score")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(3, a), (5, c), (8, b), (9, "alone"), (None, a), (6, None), (6, None)], key=str)
+    both = docs_of([(5, c), (5, b)]).drop("score")
+    assert corpus_pipeline.one_of_each_group(spark, both, "").count() == 2
+    bench(spark).write.parquet((tmp_path / "benchmark.parquet").as_uri())
+    leaks = docs_of([(1, ITEMS[0][1]), (1, a), (2, b), (None, ITEMS[0][1]), (4, None)]).drop("score")
+    clean = sorted(((r.doc_id, r.text) for r in corpus_pipeline.without_benchmark(spark, leaks, tmp_path.as_uri()).collect()), key=str)
+    assert clean == sorted([(1, a), (2, b), (None, ITEMS[0][1]), (4, None)], key=str)
+
+
 def test_pipeline_edge_cases(spark, odd, tmp_path):
     plain = odd.drop("score").union(odd.drop("score").filter("doc_id = 4"))
     plain.write.parquet((tmp_path / "documents.parquet").as_uri())
