@@ -28,22 +28,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id. Rows that repeat an id stay once."""
-    scratch = Scratch(spark, "near_duplicates")
-    copies = minhash.near_duplicates(docs).filter("not kept")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    alone = without(docs, copies.select("doc_id").unionByName(repeated.select("doc_id")), scratch)
-    # of rows that repeat an id which stays, one
-    again, _ = scratch.keep(repeated.select("doc_id").join(copies.select("doc_id"), "doc_id", "left_anti"))
+    """One document of each group of near duplicates, that with the smallest id; of rows with the same id and text, one. An id's other texts are judged for themselves."""
+    scratch, digest = Scratch(spark, "near_duplicates"), F.sha2("text", 256)
+    copies, _ = scratch.keep(minhash.near_duplicates(docs).filter("not kept").select("doc_id", "digest").distinct())
+    rows = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", digest.alias("digest")).agg(F.count("*").alias("n"))
+    repeated, _ = scratch.keep(rows.filter("n > 1").select("doc_id", "digest"))
+    alone = without(docs, copies.unionByName(repeated), scratch, digest)
+    again, _ = scratch.keep(repeated.join(copies, ["doc_id", "digest"], "left_anti"))
     if again.isEmpty():
         return documents(alone)
-    return documents(alone.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    same = docs.withColumn("digest", digest).join(again, ["doc_id", "digest"], "left_semi")
+    others = [c for c in COLUMNS if c != "doc_id"]
+    one = same.groupBy("doc_id", "digest").agg(F.min(F.struct(*[c for c in others if c != "text"], "text")).alias("x"))
+    return documents(alone).unionByName(documents(one.select("doc_id", "x.*")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, whatever its numbers and names."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    return documents(without(docs, found, Scratch(spark, "decontaminated")))
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), apart=True).filter("contaminated")
+    return documents(without(docs, found, Scratch(spark, "decontaminated"), F.xxhash64("text")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
