@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are private key blocks, whole values that are assigned to a key word (of any length and any signs up to the quote or
+Candidates are private key blocks (header lines in them too), whole values that are assigned to a key word (of any length and any signs up to the quote or
 space), passwords in addresses, runs after Bearer or with a known prefix, and other runs of ten or more key-like characters
 that hold a digit or follow an assignment. The forest
 looks at a candidate's length, its character transitions (under models of words and of random strings), how much of it a
@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,11 @@ TREES, DEPTH, LEAF = 30, 9, 3
 LINE = 80
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "SG.", "glpat-", "npm_", "eyJ")
 KEY_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "key", "apikey", "api_key", "access", "auth", "bearer", "credential", "private", "client_secret")
-#: The alternatives in order: key block, value assigned to a key word (quoted or not), password in an address, run after Bearer, with a known prefix, and of key-like characters.
+#: The alternatives in order: key block (with or without header lines), value assigned to a key word (quoted or not), password in an address, run after Bearer, with a known prefix, and of key-like characters.
 CANDIDATE = re.compile(
-    r"(?P<block>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}?-----END [A-Z ]*PRIVATE KEY-----)"
-    r"|(?i:(?:password|passwd|pwd|passphrase|secret|token|key|credential)s?\d?[\"']?\s?(?::=|=>|[=:])\s?)(?:\"(?P<double>[^\"\s]{4,200})\"|'(?P<single>[^'\s]{4,200})'|(?P<bare>[^\s\"'<>,;(){}\[\]]{4,200}))"
-    r"|(?<=://)[^\s:/@]{1,64}:(?P<address>[^\s/@]{3,200})(?=@)"
+    r"(?P<block>-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z-]+: [^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s\\]{16,}?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)"
+    r"|(?i:(?:password|passwd|pwd|passphrase|secret|token|key|credential)s?\d?[\"']?\s?(?::=|=>|[=:])\s?)(?:\"(?P<double>[^\"\s]{4,}+)\"|'(?P<single>[^'\s]{4,}+)'|(?P<bare>[^\s\"'<>,;(){}\[\]]{4,}+))"
+    r"|(?<=://)[^\s:/@]++:(?P<address>[^\s/@]{3,}+)(?=@)"
     r"|(?i:(?<![a-z])bearer )(?P<bearer>[A-Za-z0-9+/_.~-]{10,}=*)"
     r"|(?P<run>(?<![A-Za-z0-9+/_.~-])(?:" + "|".join(re.escape(x) for x in PREFIXES) + r")[A-Za-z0-9+/_.~-]{10,}=*|(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{10,}+={0,2})"
 )
@@ -272,13 +272,33 @@ def train(findings: DataFrame | None = None, sample: int = SAMPLE) -> Forest:
     return Forest().fit(np.array([features(*r[:3]) for r in rows]), np.array([r[3] for r in rows]))
 
 
+#: Candidates that are scored at once.
+SCORED = 20_000
+
+
+def findings_in(texts: Iterable[str | None], forest: Forest) -> Iterator[tuple[str | None, list[tuple[int, int, float]]]]:
+    """Each text with (start, end, score) of all its candidates; those of many texts are scored together."""
+    waiting: list[tuple[str | None, list[tuple[int, int]]]] = []
+    rows: list[list[float]] = []
+
+    def scored() -> Iterator[tuple[str | None, list[tuple[int, int, float]]]]:
+        scores = iter(forest.score(np.array(rows)).tolist() if rows else [])
+        for text, spans in waiting:
+            yield text, [(a, b, next(scores)) for a, b in spans]
+
+    for text in texts:
+        spans = list(candidates(text or ""))
+        waiting.append((text, spans))
+        rows.extend([features(*context(text, a, b)) for a, b in spans])
+        if len(rows) >= SCORED:
+            yield from scored()
+            waiting, rows = [], []
+    yield from scored()
+
+
 def findings_of(text: str | None, forest: Forest) -> list[tuple[int, int, float]]:
     """(start, end, score) of every candidate of a text."""
-    spans = list(candidates(text or ""))
-    if not spans:
-        return []
-    scores = forest.score(np.array([features(*context(text, a, b)) for a, b in spans]))
-    return [(a, b, float(s)) for (a, b), s in zip(spans, scores, strict=True)]
+    return next(findings_in([text], forest))[1]
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
@@ -292,8 +312,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, with_tex
         f = shared.value
         for b in batches:
             total, spans, clean = [], [], []
-            for text in b.column(1).to_pylist():
-                every = findings_of(text, f)
+            for text, every in findings_in(b.column(1).to_pylist(), f):
                 found = [x for x in every if x[2] >= threshold]
                 total.append(len(every))
                 spans.append([{"start": s, "end": e, "score": p} for s, e, p in found])
@@ -326,10 +345,7 @@ def redact(docs: DataFrame, forest: Forest, columns: tuple[str, ...], threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = []
-            for t in b.column(at):
-                text = t.as_py()
-                clean.append(redacted(text, [x for x in findings_of(text, shared.value) if x[2] >= threshold]))
+            clean = [redacted(text, [x for x in every if x[2] >= threshold]) for text, every in findings_in(b.column(at).to_pylist(), shared.value)]
             cols = list(b.columns)
             if "n_chars" in columns:
                 k = columns.index("n_chars")
