@@ -51,7 +51,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a placeholder; n_chars follows where a text changed."""
-    return documents(secrets.redact(docs, secrets.train(), COLUMNS))
+    return documents(secrets.redact(docs, secrets.train(secrets.labelled_findings(spark, sf_dir)), COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
