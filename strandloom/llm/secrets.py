@@ -39,7 +39,7 @@ KEY_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "key"
 #: The alternatives in order: key block (with or without header lines), value assigned to a key word (quoted or not), password in an address, run after Bearer, with a known prefix, and of key-like characters.
 CANDIDATE = re.compile(
     r"(?P<block>-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z-]+: [^\r\n]*[\r\n]+)*[A-Za-z0-9+/=\s\\]{16,}?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)"
-    r"|(?i:(?:password|passwd|pwd|passphrase|secret|token|key|credential)s?\d?[\"']?\s?(?::=|=>|[=:])\s?)(?:\"(?P<double>[^\"\s]{4,}+)\"|'(?P<single>[^'\s]{4,}+)'|(?P<bare>[^\s\"'<>,;(){}\[\]]{4,}+))"
+    r"|(?i:(?:password|passwd|pwd|passphrase|secret|token|key|credential)s?\d?[\"']?\s?(?::=|=>|[=:])\s?)(?:\"(?P<double>[^\"\s]{4,}+)\"|'(?P<single>[^'\s]{4,}+)'|(?P<bare>(?!-----BEGIN )[^\s\"'<>,;(){}\[\]]{4,}+))"
     r"|(?<=://)[^\s:/@]++:(?P<address>[^\s/@]{3,}+)(?=@)"
     r"|(?i:(?<![a-z])bearer )(?P<bearer>[A-Za-z0-9+/_.~-]{10,}=*)"
     r"|(?P<run>(?<![A-Za-z0-9+/_.~-])(?:" + "|".join(re.escape(x) for x in PREFIXES) + r")[A-Za-z0-9+/_.~-]{10,}=*|(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{10,}+={0,2})"
