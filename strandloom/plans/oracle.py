@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandloom.operators.flowcell import places
 from strandloom.operators.fragmentation import break_probability
-from strandloom.plans.queries import CELL, FRAGMENT, OLIGOS, PCR_BIAS, PCR_CYCLES, PCR_PERCENT, PPM, SAMPLES, SEED
+from strandloom.plans.queries import CELL, FRAGMENT, LEAST, MIXED, OLIGOS, PCR_BIAS, PCR_CYCLES, PCR_PERCENT, PPM, SAMPLES, SEED
 
 TURN = "translate(reverse({0}), 'ACGT', 'TGCA')"
 
@@ -200,3 +200,19 @@ ORACLE["bam_round_trip"] = ORACLE["sam_records"].replace("SELECT sample_id, lane
 # a read is 40 bases on the strand of its molecule
 ORACLE["bam_coverage"] = q("""SELECT source_chrom, source_strand, pos, sum(d) OVER (PARTITION BY source_chrom, source_strand ORDER BY pos)::BIGINT AS depth
   FROM (SELECT source_chrom, source_strand, p AS pos, sum(d) AS d FROM (SELECT source_chrom, source_strand, pos AS p, 1 AS d FROM reads UNION ALL SELECT source_chrom, source_strand, pos + 40, -1 FROM reads) GROUP BY ALL HAVING sum(d) <> 0)""", PLACED)
+LONG = max(map(len, MIXED))
+MIXED_SCORES = ", ".join(f"{LONG} - hamming(substr(w, 1, {len(o)}), '{o[::-1].translate(str.maketrans('ACGT', 'TGCA'))}')" for o in MIXED)
+ORACLE["ribozero_sites_above"] = q(f"SELECT row_key, site, score FROM (SELECT row_key, site, greatest({MIXED_SCORES}) AS score FROM (SELECT row_key, site, substr(sequence, site::INT + 1, {LONG}) AS w FROM (SELECT row_key, sequence, unnest(range(len - {LONG - 1})) AS site FROM mol))) WHERE score >= {LEAST}")
+CODES = """codes AS (SELECT c_custkey AS sample_id, translate(substr(md5(c_custkey::VARCHAR), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS code FROM customer),
+clean AS (SELECT o_orderkey, translate(substr(md5(o_custkey::VARCHAR), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS c, (o_orderkey % 8)::INT AS at_, o_orderkey // 8 % 5 AS kind FROM orders),
+wrong AS (SELECT *, CASE WHEN kind = 0 THEN c ELSE substr(c, 1, at_) || CASE WHEN kind = 4 THEN 'N' ELSE translate(substr(c, at_ + 1, 1), 'ACGT', 'CGTA') END || substr(c, at_ + 2) END AS w FROM clean),
+twice AS (SELECT *, CASE WHEN kind = 3 THEN substr(w, 1, (at_ + 3) % 8) || 'A' || substr(w, (at_ + 3) % 8 + 2) ELSE w END AS v FROM wrong),
+reads AS (SELECT o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN substr(v, 1, 7) ELSE v END AS called_barcode FROM twice),
+each AS (SELECT DISTINCT called_barcode FROM reads WHERE length(called_barcode) = 8),
+near AS (SELECT called_barcode, sample_id, hamming(called_barcode, code) AS mismatches FROM each, codes WHERE hamming(called_barcode, code) <= 2)"""
+ORACLE["barcode_matches"] = f"WITH {CODES} SELECT called_barcode, sample_id, mismatches FROM near"
+ORACLE["demultiplex_all_samples"] = f"""WITH {CODES}, n AS (SELECT called_barcode, count(*) AS k, min(sample_id) AS one FROM near WHERE mismatches <= 1 GROUP BY 1)
+SELECT o_orderkey, called_barcode, CASE WHEN k = 1 THEN one END AS found_sample, coalesce(k, 0) AS n_matches, CASE WHEN k = 1 THEN 'identified' WHEN k > 1 THEN 'ambiguous' ELSE 'unidentified' END AS status FROM reads LEFT JOIN n USING (called_barcode)"""
+ORACLE["occurring_ids_bitmaps"] = ORACLE["occurring_ids"]
+ORACLE["missing_ids_bitmaps"] = ORACLE["occurring_ids"].replace("SEMI JOIN", "ANTI JOIN")
+ORACLE["step_summary_bitmaps"] = ORACLE["step_summary"]

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions import rng
 from strandloom.functions import sequence as sq
-from strandloom.operators import adapters, analytics, flowcell, fragmentation, pcr, ribozero, selection, sequencing, synthesis
+from strandloom.operators import adapters, analytics, barcodes, flowcell, fragmentation, idmaps, oligos, pcr, ribozero, selection, sequencing, synthesis
 from strandloom.operators.molecules import from_documents, from_lineitem
 from strandloom.sources import bam, formats
 from strandloom.sources.scratch import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEED = 100
+#: Oligos of several lengths, and the least score of a site by the index of their pieces.
+MIXED, LEAST = ["ACGTTGCAACGT", "GGATCCTTAA", "TTTTACGGCAT", "CCCAAATTTGGG"], 9
 OLIGOS = ["ACGTTGCAAC", "GGATCCTTAA", "TTTTACGGCA"]
 PPM = {"A": [0.4, 0.3, 0.2, 0.25, 0.25, 0.1], "C": [0.2, 0.3, 0.3, 0.25, 0.25, 0.3], "G": [0.2, 0.2, 0.3, 0.25, 0.25, 0.4], "T": [0.2, 0.2, 0.2, 0.25, 0.25, 0.2]}
 SAMPLES = [("1", "AATG", "ACGTACGT", "ACAC", "GATC", "TTGCAAGC", "ATCT"), ("2", "AATG", "TGCATGCA", "ACAC", "GATC", "CCGATTAG", "ATCT")]
@@ -123,6 +125,23 @@ def _molecule_files(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("packet_id").agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bases"), F.countDistinct("transcript_id").alias("transcripts"))
 
 
+def customer_codes(spark: SparkSession, d: str) -> DataFrame:
+    """A sample for each customer, with a barcode of eight bases; with so many some are near each other, and a few the same."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    code = F.translate(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return c.select(F.col("c_custkey").alias("sample_id"), F.substring(code, 1, 4).alias("i5"), F.substring(code, 5, 4).alias("i7"))
+
+
+def order_reads(spark: SparkSession, d: str) -> DataFrame:
+    """A read for each order with its customer's barcode as called: no, one or two wrong bases, some an N, some cut short."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    code = F.translate(F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT")
+    at, kind = (F.col("o_orderkey") % 8).cast("int"), F.floor(F.col("o_orderkey") / 8) % 5
+    wrong = F.when(kind == 0, code).otherwise(F.overlay(code, F.when(kind == 4, "N").otherwise(F.translate(F.substring(code, at + 1, F.lit(1)), "ACGT", "CGTA")), at + 1, F.lit(1)))
+    wrong = F.when(kind == 3, F.overlay(wrong, F.lit("A"), (at + 3) % 8 + 1, F.lit(1))).otherwise(wrong)
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 31 == 0, F.substring(wrong, 1, 7)).otherwise(wrong).alias("called_barcode"))
+
+
 def contigs(m: DataFrame) -> DataFrame:
     """A reference with a contig for each chromosome that occurs."""
     names = m.select(F.col("source_chrom").alias("name")).distinct().withColumn("length", F.lit(1 << 30))
@@ -186,6 +205,7 @@ QUERIES: dict[str, Query] = {
     "first_strand_every_prime": lambda s, d: synthesis.first_strand(M(s, d), SEED, PPM, primes_per_kb=1000).select("row_key", "start", "sequence"),
     "perfect_priming": lambda s, d: synthesis.first_strand(M(s, d), SEED, PPM, perfect=True).select("row_key", "start", "strand", "sequence"),
     "ribozero_score": lambda s, d: M(s, d).select("row_key", F.posexplode(ribozero.alignment_scores(F.col("sequence"), OLIGOS)).alias("site", "score")),
+    "ribozero_sites_above": lambda s, d: oligos.sites_above(M(s, d), MIXED, LEAST),
     "ribozero_drop": lambda s, d: ribozero.deplete(M(s, d), SEED, OLIGOS, 0.99, 8, entire=True).select("row_key"),
     "ribozero_split": lambda s, d: ribozero.deplete(M(s, d), SEED, OLIGOS, 0.99, 8).select("row_key", "start", "sequence"),
     "adapter_ligate": lambda s, d: adapters.ligate(M(s, d), samples(s)).select("row_key", "sequence", "cigar"),
@@ -211,6 +231,8 @@ QUERIES: dict[str, Query] = {
     "sbs_call": lambda s, d: sequencing.explode_reads(sequencing.sequence(sequencing.bridge(adapters.ligate(M(s, d), samples(s)), SEED, 10, 0.01), SEED, CHEMISTRY), "row_key", "called_barcode"),
     "demultiplex": lambda s, d: analytics.demultiplex(called(M(s, d)), samples(s)).select("row_key", "called_barcode", "status"),
     "unidentified_count": lambda s, d: analytics.demultiplex(called(M(s, d)), samples(s)).groupBy("sample_id", "status").agg(F.count("*").alias("n")),
+    "demultiplex_all_samples": lambda s, d: barcodes.identify(order_reads(s, d), customer_codes(s, d)),
+    "barcode_matches": lambda s, d: barcodes.matches(order_reads(s, d), customer_codes(s, d).select("sample_id", F.concat("i5", "i7").alias("code")), 2),
     "fastq_records": lambda s, d: formats.fastq_records(identified(s, d)),
     "sam_records": lambda s, d: formats.sam_records(identified(s, d)),
     "fastq_in_order": _fastq,
@@ -219,6 +241,9 @@ QUERIES: dict[str, Query] = {
     "pileup_coverage": lambda s, d: analytics.coverage(M(s, d)),
     "step_summary": lambda s, d: analytics.step_summary(size_selected(M(s, d)), M(s, d)),
     "occurring_ids": lambda s, d: M(s, d).select("row_key").join(fragments(size_selected(M(s, d))).select(F.split_part("row_key", F.lit("."), F.lit(1)).alias("row_key")).distinct(), "row_key", "left_semi"),
+    "occurring_ids_bitmaps": lambda s, d: idmaps.occurring(M(s, d), idmaps.ordinals(fragments(size_selected(M(s, d))))).select("row_key"),
+    "missing_ids_bitmaps": lambda s, d: idmaps.occurring(M(s, d), idmaps.ordinals(fragments(size_selected(M(s, d)))), there=False).select("row_key"),
+    "step_summary_bitmaps": lambda s, d: idmaps.step_summary(size_selected(M(s, d)), M(s, d)),
     "packet_union": lambda s, d: M(s, d).filter("packet_id < 2").unionByName(M(s, d).filter("packet_id >= 2").withColumn("packet_id", F.col("packet_id") + 10)).groupBy("packet_id").agg(F.count("*").alias("n")),
     "missing_samples": lambda s, d: M(s, d).select("sample_id").distinct().exceptAll(samples(s).filter("sample_id = '1'").select("sample_id")),
     "phred_codes": lambda s, d: M(s, d).select("row_key", sq.phred_char(F.col("ordinal") % 60).alias("code"), sq.phred_scores(sq.phred_char(F.col("ordinal") % 60))[0].alias("score")),
