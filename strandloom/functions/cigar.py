@@ -136,7 +136,7 @@ def skips(cigar: Column, start: Column) -> Column:
     return F.transform(F.filter(spans(cigar, start), lambda p: p["op"] == "N"), lambda p: p["r"])
 
 
-def _written(joined: Column, skip: Column, size: Column) -> tuple[Column, Column]:
+def from_stretches(joined: Column, skip: Column, size: Column) -> tuple[Column, Column]:
     """(start, cigar) of aligned stretches (q, r, n), in order on both sides; of a gap on both, the inserted bases come first. Without any: null, all clipped."""
     clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
 
@@ -203,7 +203,7 @@ def chain(s1: Column, c1: Column, d1: Column, s2: Column, c2: Column, d2: Column
 
     def result(y: Column) -> Column:
         x = y["x"]
-        start, cigar = _written(y["joined"], x["skip"], x["size"])
+        start, cigar = from_stretches(y["joined"], x["skip"], x["size"])
         out = F.struct(F.coalesce(start, nearest(x)).alias("start"), cigar.alias("cigar"), F.when(x["same"], "+").otherwise("-").alias("strand"))
         return F.when(~x["none"], out)
 

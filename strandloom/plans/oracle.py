@@ -216,3 +216,22 @@ SELECT o_orderkey, called_barcode, CASE WHEN k = 1 THEN one END AS found_sample,
 ORACLE["occurring_ids_bitmaps"] = ORACLE["occurring_ids"]
 ORACLE["missing_ids_bitmaps"] = ORACLE["occurring_ids"].replace("SEMI JOIN", "ANTI JOIN")
 ORACLE["step_summary_bitmaps"] = ORACLE["step_summary"]
+INTERVALS = """lines AS (SELECT *, start + 20 + l_partkey % 180 AS end_ FROM (SELECT l_orderkey, l_linenumber, l_partkey, 'c' || l_suppkey % 5 AS chrom, (l_orderkey * 37 + l_linenumber * 101) % 1000000 + 1 AS start FROM lineitem)),
+parts AS (SELECT *, start + 50 + p_size * 20 AS end_ FROM (SELECT p_partkey, p_size, 'c' || p_partkey % 5 AS chrom, p_partkey * 7919 % 1000000 + 1 AS start FROM part))"""
+ORACLE["interval_overlaps"] = f"""WITH {INTERVALS} SELECT l_orderkey, l_linenumber, p_partkey, chrom, greatest(l.start, p.start) AS first, least(l.end_, p.end_) AS last
+FROM lines l JOIN parts p USING (chrom) WHERE l.start <= p.end_ AND p.start <= l.end_"""
+BLOCKS = """indels AS (SELECT chrom, pos, sum(ins)::BIGINT AS ins, sum(del)::BIGINT AS del FROM (SELECT 'c' || o_custkey % 5 AS chrom, o_orderkey * 60 AS pos, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 4 + 1 ELSE 0 END AS ins, CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey % 7 + 1 ELSE 0 END AS del FROM orders) GROUP BY ALL),
+whole AS (SELECT DISTINCT chrom, (SELECT max(o_orderkey) * 60 + 100 FROM orders) AS length FROM indels),
+edges AS (SELECT chrom, pos + del + 1 AS ref_start, sum(ins - del) OVER w AS shift, coalesce(lead(pos) OVER w, length) AS ref_end FROM indels JOIN whole USING (chrom) WINDOW w AS (PARTITION BY chrom ORDER BY pos)
+  UNION ALL SELECT chrom, 1, 0, min(pos) FROM indels GROUP BY chrom),
+blocks AS (SELECT chrom, (ref_start + shift)::BIGINT AS own_start, ref_start::BIGINT AS ref_start, (ref_end - ref_start + 1)::BIGINT AS n FROM edges WHERE ref_start <= ref_end)"""
+ORACLE["genome_blocks"] = f"WITH {BLOCKS} SELECT chrom, own_start, ref_start, n FROM blocks"
+ORACLE["transcript_alignments"] = f"""WITH {BLOCKS}, exons AS (SELECT *, start + 20 + p % 300 AS end_ FROM (SELECT l_orderkey AS t, 'c' || l_orderkey % 5 AS chrom, l_orderkey * 55 + l_linenumber * 400 AS start, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+placed AS (SELECT *, coalesce(sum(end_ - start + 1) OVER (PARTITION BY t ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off_ FROM exons),
+met AS (SELECT t, start AS exon, off_ + greatest(start, own_start) - start + 1 AS q, ref_start + greatest(start, own_start) - own_start AS r, least(end_, own_start + n - 1) - greatest(start, own_start) + 1 AS n FROM placed JOIN blocks USING (chrom) WHERE start <= own_start + n - 1 AND own_start <= end_),
+gaps AS (SELECT *, q - lag(q + n) OVER w AS dq, r - lag(r + n) OVER w AS dr, exon <> lag(exon) OVER w AS other FROM met WINDOW w AS (PARTITION BY t ORDER BY q)),
+texts AS (SELECT t, min(r)::BIGINT AS ref_start, min(q) - 1 AS before, max(q + n) AS past, string_agg(CASE WHEN dq > 0 THEN dq::BIGINT || 'I' ELSE '' END || CASE WHEN dr > 0 THEN dr::BIGINT || CASE WHEN other THEN 'N' ELSE 'D' END ELSE '' END || n::BIGINT || 'M', '' ORDER BY q) AS middle FROM gaps GROUP BY t),
+sizes AS (SELECT t, chrom, sum(end_ - start + 1)::BIGINT AS size FROM exons GROUP BY ALL)
+SELECT t AS transcript_id, chrom, CASE WHEN t % 2 = 0 THEN '+' ELSE '-' END AS strand, size, ref_start,
+  CASE WHEN ref_start IS NULL THEN size || 'S' ELSE CASE WHEN before > 0 THEN before::BIGINT || 'S' ELSE '' END || middle || CASE WHEN past <= size THEN (size - past + 1)::BIGINT || 'S' ELSE '' END END AS ref_cigar
+FROM sizes LEFT JOIN texts USING (t)"""

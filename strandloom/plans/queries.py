@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import cigar as cg
 from strandloom.functions import rng
 from strandloom.functions import sequence as sq
-from strandloom.operators import adapters, analytics, barcodes, flowcell, fragmentation, idmaps, oligos, pcr, ribozero, selection, sequencing, synthesis
+from strandloom.operators import adapters, analytics, barcodes, flowcell, fragmentation, genomes, idmaps, oligos, pcr, ribozero, selection, sequencing, synthesis
 from strandloom.operators.molecules import from_documents, from_lineitem
 from strandloom.sources import bam, formats
 from strandloom.sources.scratch import folder
@@ -142,6 +142,35 @@ def order_reads(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.when(F.col("o_orderkey") % 31 == 0, F.substring(wrong, 1, 7)).otherwise(wrong).alias("called_barcode"))
 
 
+def line_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """An interval for each line item."""
+    start = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101) % 1_000_000 + 1
+    found = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("start", start)
+    return found.select("l_orderkey", "l_linenumber", F.concat(F.lit("c"), F.col("l_suppkey") % 5).alias("chrom"), "start", (F.col("start") + 20 + F.col("l_partkey") % 180).alias("end"))
+
+
+def part_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """An interval for each part."""
+    found = spark.read.parquet(f"{d}/part.parquet").withColumn("start", F.col("p_partkey") * 7919 % 1_000_000 + 1)
+    return found.select("p_partkey", F.concat(F.lit("c"), F.col("p_partkey") % 5).alias("chrom"), "start", (F.col("start") + 50 + F.col("p_size") * 20).alias("end"))
+
+
+def order_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of a genome that has a change for each order."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    chrom, kind = F.concat(F.lit("c"), F.col("o_custkey") % 5), F.col("o_orderkey") % 3
+    indels = o.select(chrom.alias("chrom"), (F.col("o_orderkey") * 60).alias("pos"), F.when(kind != 0, F.col("o_custkey") % 4 + 1).otherwise(0).alias("inserted"), F.when(kind != 1, F.col("o_custkey") % 7 + 1).otherwise(0).alias("deleted"))
+    ends = indels.select(F.col("chrom").alias("name")).distinct().crossJoin(F.broadcast(o.agg((F.max("o_orderkey") * 60 + 100).alias("length"))))  # five contigs, one length
+    return genomes.genome_blocks(indels, ends)
+
+
+def line_exons(spark: SparkSession, d: str) -> DataFrame:
+    """A transcript for each order, an exon for each of its lines."""
+    found = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    found = found.withColumn("start", F.col("l_orderkey") * 55 + F.col("l_linenumber") * 400)
+    return found.select(F.col("l_orderkey").alias("transcript_id"), F.concat(F.lit("c"), F.col("l_orderkey") % 5).alias("chrom"), F.when(F.col("l_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"), "start", (F.col("start") + 20 + F.col("p") % 300).alias("end"))
+
+
 def contigs(m: DataFrame) -> DataFrame:
     """A reference with a contig for each chromosome that occurs."""
     names = m.select(F.col("source_chrom").alias("name")).distinct().withColumn("length", F.lit(1 << 30))
@@ -244,6 +273,9 @@ QUERIES: dict[str, Query] = {
     "occurring_ids_bitmaps": lambda s, d: idmaps.occurring(M(s, d), idmaps.ordinals(fragments(size_selected(M(s, d))))).select("row_key"),
     "missing_ids_bitmaps": lambda s, d: idmaps.occurring(M(s, d), idmaps.ordinals(fragments(size_selected(M(s, d)))), there=False).select("row_key"),
     "step_summary_bitmaps": lambda s, d: idmaps.step_summary(size_selected(M(s, d)), M(s, d)),
+    "interval_overlaps": lambda s, d: genomes.overlaps(line_intervals(s, d), part_intervals(s, d)).select("l_orderkey", "l_linenumber", "p_partkey", "chrom", "first", "last"),
+    "genome_blocks": order_blocks,
+    "transcript_alignments": lambda s, d: genomes.transcript_alignments(line_exons(s, d), order_blocks(s, d)),
     "packet_union": lambda s, d: M(s, d).filter("packet_id < 2").unionByName(M(s, d).filter("packet_id >= 2").withColumn("packet_id", F.col("packet_id") + 10)).groupBy("packet_id").agg(F.count("*").alias("n")),
     "missing_samples": lambda s, d: M(s, d).select("sample_id").distinct().exceptAll(samples(s).filter("sample_id = '1'").select("sample_id")),
     "phred_codes": lambda s, d: M(s, d).select("row_key", sq.phred_char(F.col("ordinal") % 60).alias("code"), sq.phred_scores(sq.phred_char(F.col("ordinal") % 60))[0].alias("score")),
