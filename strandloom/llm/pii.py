@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,32 +48,37 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "señor", "señora")
 STREETS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "drive", "boulevard", "blvd", "court", "square", "way", "rue", "calle", "plaza", "via", "platz", "weg", "allee", "gasse")
 STREET_ENDS = ("strasse", "straße", "str", "weg", "gasse", "platz", "allee")
-PARTICLES = ("de", "la", "del", "du", "des", "von", "van", "der", "den", "di", "da", "le", "el")
+PARTICLES = ("de", "la", "del", "du", "des", "von", "van", "der", "den", "di", "da", "le", "el", "al", "bin", "bint", "ibn", "dos", "das", "do", "ter", "zu", "af", "av")
 CUES = {
     "phone": ("call", "phone", "tel", "telephone", "mobile", "fax", "cell", "dial", "text"),
     "id": ("ssn", "passport", "social", "security", "licence", "license", "taxpayer", "identity"),
     "account": ("account", "iban", "bank", "transfer", "konto", "cuenta", "compte"),
-    "name": ("name", "called", "named", "contact", "by", "dear", "with", "from", "signed", "author", "patient", "regards"),
+    "name": ("by", "with", "from", "and", "to", "for", "von", "por", "par"),
+    "person": ("name", "names", "called", "named", "contact", "dear", "signed", "author", "patient", "regards", "sincerely", "ask", "surname", "employee", "colleague", "nurse", "doctor", "attn", "cc", "hello", "hi", "told", "met", "nombre", "nom", "heißt", "heiße", "llamo", "appelle"),
     "place": ("at", "address", "lives", "live", "in", "visit", "ship", "wohnt", "home"),
     "secret": ("password", "passwd", "pwd", "token", "secret", "key", "pin", "passphrase", "apikey", "auth", "credential"),
     "other": ("version", "release", "isbn", "commit", "sha256", "sha1", "md5", "checksum", "digest", "hash", "uuid", "order", "invoice", "page", "chapter", "section", "figure", "table", "revision", "build", "serial", "model", "room", "the", "of"),
 }
 CUE_OF = {w: k for k, words in CUES.items() for w in words}
-#: Given names that are a feature of names; a name needs none of them.
-GIVEN = frozenset("james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew peter george edward brian kevin henry simon adam alan oscar martin mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra emily emma olivia laura alice julia anna clara eva rosa maria carmen lucia elena sofia pablo pedro juan carlos luis miguel jorge diego marta ana pierre jean jacques louis michel claire sophie camille julien antoine marie hans klaus jürgen wolfgang stefan andreas thomas sabine petra ursula greta heidi ingrid lena jonas felix max otto karl".split())
+#: Given names (without accents) that are a feature of names; a name needs none of them.
+GIVEN = frozenset("james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew peter george edward brian kevin henry simon adam alan oscar martin mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra emily emma olivia laura alice julia anna clara eva rosa maria carmen lucia elena sofia pablo pedro juan carlos luis miguel jorge diego marta ana pierre jean jacques louis michel claire sophie camille julien antoine marie hans klaus jurgen wolfgang stefan andreas thomas sabine petra ursula greta heidi ingrid lena jonas felix max otto karl".split())
 UPPER = r"[^\W\d_a-zß-öø-ÿ]"
 WORD = UPPER + r"[^\W\d_]*(?:['’-]" + UPPER + r"[^\W\d_]*)?"
 PART = "(?:" + "|".join(PARTICLES) + ")"
 #: Where a candidate of some type can lie: digits or capitalised words in a row, with what may stand between them.
 REGION = re.compile(
-    rf"(?:(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]{{0,64}}[0-9])[A-Za-z0-9+/_.=-]{{8,}}|(?<![^\W_])(?:\(?[0-9][^\W_]*|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]*|[^\W_]*[0-9][^\W_]*|{WORD}(?=\.? (?:{PART} )*[^\W_a-zß-öø-ÿ])|(?<=[ '\":=]){WORD}))"
+    rf"(?:(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{{8,}}|(?<![^\W_])(?:\(?[0-9][^\W_]*|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]*|[^\W_]*[0-9][^\W_]*|{WORD}(?=\.? (?:{PART} )*[^\W_a-zß-öø-ÿ])|(?<=[ '\":=]){WORD}))"
     rf"(?:[ .,()/'’_:+=&-]{{1,3}}(?:{PART} )*(?:[0-9][^\W_]*|{WORD}\.?|[^\W_]*[0-9][^\W_]*))*+"
 )
 DIGITS = re.compile(r"\(?[0-9]+(?:[ ()./-]{1,2}[0-9]+)+|[0-9]{6,15}")
 ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}")
 NAMES = re.compile(rf"{WORD}(?:(?:\.? {PART}){{0,2}}\.? {WORD}){{0,3}}")
 ADDRESS = re.compile(rf"[0-9]{{1,5}}[A-Za-z]?,? (?:{PART} )*{WORD}(?: (?:{PART} )*{WORD}){{0,6}}|{WORD}(?: (?:{PART} )*{WORD}){{0,5}} [0-9]{{1,5}}[A-Za-z]?")
-CREDENTIAL = re.compile(r"(?=[A-Za-z+/_.=-]{0,64}[0-9])[A-Za-z0-9+/_.=-]{8,200}")
+CREDENTIAL = re.compile(r"(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{8,}+")
+IDENTITY = re.compile(r"(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{7,12}")
+NUMERALS = str.maketrans("0123456789", "9999999999")
+#: Forms and features of spans of digits alone, by what they follow from; emptied when full.
+SHAPES: dict[tuple, tuple] = {}
 
 
 def luhn(digits: str) -> bool:
@@ -127,9 +134,27 @@ def forms(s: str) -> tuple[int, ...]:
         out.append(5)
     if CREDENTIAL.fullmatch(s):
         out.append(6)
+    if IDENTITY.fullmatch(s):
+        out.insert(0, 3)
     return tuple(out)
 
 
+def kept(key: tuple, make: Callable[[], tuple]) -> tuple:
+    """make(), once for each key as long as there is room."""
+    found = SHAPES.get(key)
+    if found is None:
+        if len(SHAPES) > 50_000:
+            SHAPES.clear()
+        SHAPES[key] = found = make()
+    return found
+
+
+def plain_name(w: str) -> str:
+    """A word in lower case without accents."""
+    low = w.lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
+
+
 def mod97(s: str) -> bool:
     """Whether the check digits of an account number hold."""
     s = s.replace(" ", "")
@@ -154,7 +179,7 @@ class Tokens:
 
 def introduced(before: list[str]) -> bool:
     """Whether a title or an introduction comes right before; a name of one word needs it."""
-    return bool(before) and (before[-1] in TITLES or (before[-1] == "." and len(before) > 1 and before[-2] in TITLES) or any(w in ("name", "named", "called") for w in before))
+    return bool(before) and (before[-1] in TITLES or (before[-1] == "." and len(before) > 1 and before[-2] in TITLES) or any(w in ("name", "named", "called", "nombre", "nom", "llamo", "appelle", "heißt", "heiße") for w in before))
 
 
 def before_of(text: str, at: int) -> list[str]:
@@ -162,16 +187,15 @@ def before_of(text: str, at: int) -> list[str]:
     return [w.lower() for w in TOKEN.findall(text, max(0, at - 60), at)[-3:]]
 
 
-def span_features(text: str, start: int, end: int) -> list[str]:
-    """Features of a whole candidate span."""
+def span_features(text: str, start: int, end: int, before: list[str]) -> list[str]:
+    """Features of a whole candidate span; before: the tokens before it."""
     s = text[start:end]
     words = TOKEN.findall(s)
     low = [w.lower() for w in words]
-    before = before_of(text, start)
     letters = [w for w in words if w[0].isalpha()]
     groups = "-".join(str(len(g)) for g in re.findall("[0-9]+", s))
     digits = sum("0" <= c <= "9" for c in s)
-    out = ["one", f"n{min(len(letters), 6)}", f"d{digits}" if digits else "no digit", "shape " + re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"\d+", "9", s)))[:40]]
+    out = ["one", f"n{min(len(letters), 6)}", f"d{digits}" if digits else "no digit", "shape " + re.sub(r"[A-Z]+", "A", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"\d+", "9", s)))]
     cues = {CUE_OF[w] for w in before if w in CUE_OF}
     out += [f"cue {c}" for c in sorted(cues)] or ["no cue"]
     sign = "".join(sorted({c for c in s if not c.isalnum()}))
@@ -190,7 +214,11 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     if letters and not digits or ADDRESS.fullmatch(s):
         title = bool(before) and (before[-1] in TITLES or (before[-1] == "." and len(before) > 1 and before[-2] in TITLES))
         out.append("title" if title else "no title")
-        out.append("given" if low[0] in GIVEN else "given later" if any(w in GIVEN for w in low) else "none given")
+        given = [plain_name(w) in GIVEN for w in words]
+        out.append("given" if given[0] else "given later" if any(given) else "none given")
+        if letters and not digits:
+            # a pair of names and who or what stands before it say more together than the names themselves
+            out += [f"{min(len(letters), 4)} names {c}{':' if before and before[-1] == ':' else ''}" for c in sorted(cues & {"name", "person"})] or [f"{min(len(letters), 4)} names"]
         if low[0] in TITLES:
             out.append("starts with title")
         if any(w in CUE_OF for w in low):
@@ -229,26 +257,51 @@ class Field:
         """For each end (token count) the spans that may end there: first token, types, numbers of features; shorter ones first."""
         text, out = t.text, [[] for _ in range(len(t) + 1)]
         for i in range(len(t)):
-            c = t.words[i][0]
-            if closed[i] or not (c.isalnum() and not c.islower() or c == "(" or DIGIT.search(t.words[i]) or CREDENTIAL.match(text, t.start[i])):
+            c, start = t.words[i][0], t.start[i]
+            if closed[i] or not (c.isalnum() and not c.islower() or c == "(" or DIGIT.search(t.words[i]) or CREDENTIAL.match(text, start)):
                 continue
+            # words before it, from the tokens at hand if they are all there
+            before = [w.lower() for w in t.words[i - 3 : i]] if i > 2 and t.start[i - 3] >= start - 60 else before_of(text, start)
+            digits, numeral = 0, True
             for j in range(i + 1, min(len(t), i + LONGEST) + 1):
-                if closed[j - 1] or t.end[j - 1] - t.start[i] > 200 or (j > i + 1 and "\n" in text[t.end[j - 2] : t.start[j - 1]]):
+                word = t.words[j - 1]
+                if closed[j - 1] or (j > i + 1 and "\n" in text[t.end[j - 2] : t.start[j - 1]]):
                     break
-                if not t.words[j - 1][-1].isalnum() and t.words[j - 1] != "=":
+                numeral = numeral and (word.isdecimal() and word.isascii() or not word[0].isalnum())
+                digits += len(word) if numeral and word[0].isalnum() else 0
+                if numeral and digits > 15 and j > i + 1:
+                    break  # no form is so many digits with signs between
+                if not word[-1].isalnum() and word != "=":
                     continue
-                kinds = forms(text[t.start[i] : t.end[j - 1]])
-                if not kinds or (j == i + 1 and kinds == (4,) and not introduced(before_of(text, t.start[i]))):
+                s = text[start : t.end[j - 1]]
+                if numeral:
+                    shape = s.translate(NUMERALS)
+                    kinds = kept((shape,), lambda s=s: forms(s))
+                else:
+                    kinds = forms(s)
+                if not kinds or (j == i + 1 and kinds == (4,) and not introduced(before)):
                     continue
-                names = span_features(text, t.start[i], t.end[j - 1])
-                if grow:
-                    for f in names:
-                        self.index.setdefault(f, len(self.index))
-                out[j].append((i, kinds, [self.index[f] for f in names if f in self.index]))
+                make = lambda e=t.end[j - 1], before=before: self.numbers(span_features(text, start, e, before), grow)  # noqa: E731, B023
+                if numeral and not grow:
+                    # all that the features of digits look at: groups, signs, dates, the words before and the signs around
+                    around = (text[start - 1 : start], text[t.end[j - 1] : t.end[j - 1] + 2] if text[t.end[j - 1] : t.end[j - 1] + 1] in ("-", "/", ":", "_", "+", "=", "%", "€", "@", ".") else "")
+                    cues = tuple(CUE_OF.get(w, "") for w in before)
+                    years = tuple(g[:2] in ("19", "20") for g in (s[:2], s[3:5], s[5:7], s[6:8], s[7:9])) if "date" in self.index else ()
+                    row = kept((id(self), shape, around, cues, years), make)
+                else:
+                    row = make()
+                out[j].append((i, kinds, row))
         for spans in out:
             spans.sort(key=lambda x: -x[0])
         return out
 
+    def numbers(self, names: list[str], grow: bool) -> list[int]:
+        """Numbers of features; those that the fit didn't meet have none."""
+        if grow:
+            for f in names:
+                self.index.setdefault(f, len(self.index))
+        return [self.index[f] for f in names if f in self.index]
+
     def sums(self, n: int, spans: list, score: list) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward sums over all segmentations."""
         k = len(self.TYPES)
@@ -287,7 +340,7 @@ class Field:
             was = y
         return moves, gn
 
-    def fit(self, sentences: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5, rate: float = 0.3) -> None:
+    def fit(self, sentences: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 4, rate: float = 0.3) -> None:
         """Adaptive gradient steps on the log-likelihood, with a little weight decay."""
         data = []
         for text, spans in sentences:
@@ -335,15 +388,15 @@ class Field:
             v, back = self.paths(n, self.candidates(t, shut), first)
             whole = n < most
             ends = [(n, int(np.argmax(v[n])))] if whole else [(j, y) for j in range(max(0, n - LONGEST + 1), n + 1) for y in range(k) if v[j][y] > -np.inf]
-            lines = []
-            for j, y in ends:
-                line = [(j, y)]
-                while j:
-                    j, y = back[j][y]
-                    line.append((j, y))
-                lines.append(line)
-            common = set(lines[0]).intersection(*lines[1:])
-            stop, y = max(common) if common else (0, 0)
+            # back from all ends, the furthest first, until they are one place
+            open_ = set(ends)
+            while len(open_) > 1:
+                far = max(open_)
+                if far[0] == 0:
+                    break
+                open_.remove(far)
+                open_.add(back[far[0]][far[1]])
+            stop, y = max(open_) if len(open_) == 1 else (0, 0)
             if not whole and stop == 0:
                 most *= 2
                 continue
@@ -367,23 +420,25 @@ class Field:
         k, move = len(self.TYPES), self.next.tolist()
         v, back = [first], [[(0, 0)] * k]
         rows = range(k)
+        plain = [first[0] > -np.inf and max(first[1:]) == -np.inf]  # places that no entity can end at: what was before is type 0
         for j in range(1, n + 1):
             now, came = [-np.inf] * k, [(0, 0)] * k
-            was = max(rows, key=lambda x, p=v[j - 1]: p[x] + move[x][0])
+            was = 0 if plain[j - 1] else max(rows, key=lambda x, p=v[j - 1]: p[x] + move[x][0])
             now[0], came[0] = v[j - 1][was] + move[was][0], (j - 1, was)
             for i, kinds, r in spans[j]:
                 s = self.weight[r].sum(0)
                 for y in kinds:
-                    was = max(rows, key=lambda x, p=v[i], y=y: p[x] + move[x][y])
+                    was = 0 if plain[i] else max(rows, key=lambda x, p=v[i], y=y: p[x] + move[x][y])
                     total = v[i][was] + move[was][y] + float(s[y])
                     if total > now[y]:
                         now[y], came[y] = total, (i, was)
             v.append(now)
             back.append(came)
+            plain.append(not spans[j])
         return v, back
 
 
-def sentences(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def sentences(n: int = 2000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Generated sentences with their spans, and as many that look alike without any."""
     r = random.Random(seed)
     syllables = ("ka", "ro", "mi", "ten", "sal", "dor", "vin", "el", "ha", "ber", "nu", "ost", "ri", "gan")
@@ -411,6 +466,8 @@ def sentences(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int,
         if kind == "iban":
             return r.choice((cue("account") + " ", "", "to ")), account()
         if kind == "id_number":
+            if r.random() < 0.3:  # letters and digits, as passports and licences have them
+                return cue("id") + r.choice((" ", ": ", " no. ", " number ")), r.choice((of(upper, 1) + digits(8), of(upper, 2) + digits(7), of(upper, 1) + digits(2) + of(upper, 1) + digits(2) + of(upper, 1) + digits(2), digits(2) + of(upper, 2) + digits(5), of(upper + "0123456789" * 2, 8) + "7"))
             s = r.choice((f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}", digits(9)))
             return (cue("id") + r.choice((" ", ": ", " no. "))) if s.count("-") != 2 or r.random() < 0.7 else "", s
         if kind == "name":
@@ -419,8 +476,12 @@ def sentences(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int,
                 return r.choice(TITLES).capitalize() + r.choice((" ", ". ")), " ".join(cap() for _ in range(r.randint(1, 2)))
             first = r.choice(given).capitalize()
             full = r.choice((f"{first} {cap()}", f"{first} {cap()}", f"{first} {r.choice(upper)}. {cap()}", f"{first} {r.choice(PARTICLES)} {cap()}", f"{first} {cap()}-{cap()}", f"{first} {cap()} {cap()}"))
-            if shape < 0.5:
-                return r.choice(("name is ", "my name is ", "is called ", "name: ")), r.choice((full, f"{cap()} {cap()}", first))
+            if shape < 0.45:
+                return r.choice(("name is ", "my name is ", "is called ", "name: ", "mi nombre es ", "ich heiße ")), r.choice((full, f"{cap()} {cap()}", f"{cap()} {cap()} {cap()}", first))
+            if shape < 0.55:  # heads of letters
+                return r.choice(("From: ", "To: ", "Cc: ", "from: ", "by: ", "Author: ", "Signed: ")), r.choice((f"{cap()} {cap()}", f"{cap()} {cap()} {cap()}", f"{cap()} {r.choice(PARTICLES)} {cap()}", full))
+            if shape < 0.8:  # someone is spoken to or of, by names of any language
+                return r.choice((cue("person") + " ", cue("person").capitalize() + " ", "the " + cue("person") + " ", cue("person") + ": ", cue("person") + ", ")), r.choice((f"{cap()} {cap()}", f"{cap()} {cap()}", f"{cap()} {cap()} {cap()}", f"{cap()} {r.choice(PARTICLES)} {cap()}", f"{cap()}-{cap()} {cap()}", full))
             return r.choice((cue("name") + " ", "", "and ", word() + " ")), full
         if kind == "credential":
             s = of(r.choice((hexes, alnum, alnum + "+/")), r.choice((12, 16, 20, 24, 32, 40, 64)))[:-1] + "7"
@@ -438,7 +499,8 @@ def sentences(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int,
             f"by {c()} {d(1)}.{d(1)}", f"under the {c()} {c()}, {r.choice(('Version', 'version'))} {d(1)}", f"{word()} the {of(upper, 2)}U {c()} {c()} {c()}, version {d(1)}", f"{c()} {c()}", f"{c()} {c()} {c()}", f"the {c()} {c()} {word()}", d(16), f"{d(2)} . {d(2)}",
             f"( {d(3)} )", f"{d(12)}-{d(2)}", f"isbn {d(3)}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"order {d(r.randint(6, 10))}", f"invoice {d(3)}-{d(4)}", f"{d(3)}-{d(2)}", f"{d(1)}-{d(1)}-{d(1)}", f"{d(3)} {d(3)} {d(3)} {word()}", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}.{d(4)}, {d(2)}.{d(4)}",
             f"chapter {d(2)} {c()}", f"{c()} {d(2)}", f"{d(2)} {c()}", f"in {d(2)} {c()} {c()}", f"{c()} {d(4)}", f"{word()}{d(2)}_{word()}{d(3)}", f"src/{word()}/{word()}{d(2)}.py", f"{of(alnum, 20)}7", f"{cue('other')} {of(alnum, 24)}7", f"token {word()}", f"the password {word()}", f"serial {d(4)}-{d(4)}-{d(4)}",
-            f"{c()}. {c()} {word()}", f"{word().upper()} {word().upper()}", f"{word().upper()}!! {word().upper()}!!", " ".join([c()] * r.randint(2, 5)), f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(4)} {d(4)}", f"{d(3)}.{d(3)}", f"{d(6)}", f"{d(9)}", f"{d(10)}", f"section {d(1)}.{d(1)} {c()} {c()}", f"{cue('name').capitalize()} {c()}", f"{cue('name').capitalize()} {c()} {c()}", f"call {word()} {d(2)}", f"{r.choice(given).capitalize()} {word()}", f"#{d(7)}",
+            f"{c()}. {c()} {word()}", f"{word().upper()} {word().upper()}", f"{word().upper()}!! {word().upper()}!!", " ".join([c()] * r.randint(2, 5)), f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(4)} {d(4)}", f"{d(3)}.{d(3)}", f"{d(6)}", f"{d(9)}", f"{d(10)}", f"section {d(1)}.{d(1)} {c()} {c()}", f"{cue('name').capitalize()} {c()}", f"{cue('name').capitalize()} {c()} {c()}", f"{cue('person').capitalize()} {c()}", f"call {word()} {d(2)}", f"{r.choice(given).capitalize()} {word()}", f"#{d(7)}", f"{cue('other')} {of(upper, 2)}{d(6)}", f"{of(upper, 1)}{d(7)}", f"{cue('name').capitalize()} the {c()} {c()}", f"{cue('name')} {c()} {c()}", f"{word()} {c()} {c()}", f"{c()} {c()}: {word()}",
+            *(" ".join(d(r.randint(1, 9)) for _ in range(r.randint(2, 9))) for _ in range(3)), f"{d(3)} {d(2)} {d(4)} {d(3)}", f"{d(4)} {d(3)} {d(3)} {d(4)}", f"{d(2)} {d(9)} {d(1)}",
         )
         return r.choice(kinds)
 
@@ -447,7 +509,7 @@ def sentences(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int,
         text, spans = " ".join(word() for _ in range(r.randint(0, 4))).capitalize() if r.random() < 0.5 else " ".join(word() for _ in range(r.randint(1, 4))), []
         text += r.choice((" ", ". ", ", ")) if text else ""
         if i % 2:
-            lead, s = piece(kind := ADDED[i // 2 % len(ADDED)])
+            lead, s = piece(kind := (ADDED + ("name", "name"))[i // 2 % (len(ADDED) + 2)])  # names have the most settings
             text += lead
             spans.append((len(text), len(text) + len(s), kind))
             text += s + ('"' if lead.endswith('"') else "'" if lead.endswith("'") else "")
@@ -457,7 +519,9 @@ def sentences(n: int = 1600, seed: int = 11) -> list[tuple[str, list[tuple[int,
     return out
 
 
+@cache
 def train() -> Field:
+    """The field, fitted once in a process: the sentences are always the same."""
     field = Field()
     field.fit(sentences())
     return field

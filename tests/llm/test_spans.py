@@ -183,6 +183,51 @@ def test_planted_secrets_are_found():
     assert sum(caught) >= 9 and sum(bool(found(t)) for t in HARMLESS) <= 1
 
 
+#: Names of many languages, with given names that neither the list nor the generator holds.
+NAMES = [
+    "Zhang Wei", "Emeka Okonkwo", "Priya Natarajan", "Oluwaseun Adeyemi", "Siddharth Venkataraman", "Nguyen Thi Hoa", "Björk Guðmundsdóttir", "Xóchitl Hernández", "Tadashi Yamamoto", "Ivana Petrović", "Aroha Ngata", "Chukwuemeka Obi",
+    "Wanjiku Kamau", "Yusuf Demir", "Agnieszka Wójcik", "Dmitri Volkov", "Leilani Kealoha", "Rashida Begum", "Gwenllian Prys", "Zoltán Szabó",
+]
+PLACES = ["My name is {} and I live here.", "Please ask {} about it.", "Dear {}, thank you for all", "we saw the patient {} on monday", "you may contact {} for more", "the form was signed {} and sent", "the author {} wrote it", "a colleague, {}, was there"]
+
+
+def test_names_that_no_list_holds():
+    field = pii.train()
+    assert not {pii.plain_name(w) for n in NAMES for w in n.split()} & pii.GIVEN
+    found = total = 0
+    for n in NAMES:
+        for p in PLACES:
+            text = p.format(n)
+            found += ("name", n) in [(k, text[a:b]) for a, b, k in pii.added_spans(text, pii.base_spans(text), field)]
+            total += 1
+    assert found >= 0.9 * total, (found, total)
+    for text in ("New York is a big city", "The Old Town Hall opened in 1999", "See the MIT License, Version 2.0", "In Bad Homburg the Grand Hotel is open", "Our Annual General Meeting is on Monday", "It was sold by the United Nations", "the Red Cross came with the Blue Shield"):
+        assert pii.added_spans(text, [], field) == [], text
+
+
+def test_numbers_with_letters():
+    field = pii.train()
+    found = lambda t: [(k, t[a:b]) for a, b, k in pii.added_spans(t, pii.base_spans(t), field)]
+    assert found("my passport C01X00T47 is valid") == [("id_number", "C01X00T47")]
+    assert found("driver licence: AB1234567 expires") == [("id_number", "AB1234567")]
+    assert found("order AB1234567 was sent") == [] and found("the model X1234567 is new") == []
+
+
+def test_streams_of_digits_take_time_in_proportion():
+    """Digits have few forms: what a span of them looks like is worked out once for each shape."""
+    import time
+
+    r, field = random.Random(1), pii.train()
+    text = " ".join("".join(r.choice("0123456789") for _ in range(r.randint(1, 8))) for _ in range(40_000))
+    begun = time.time()
+    spans = pii.added_spans(text, [], field)
+    took = time.time() - begun
+    assert took < 40 and len(spans) < 200  # some 180,000 characters
+    part = text[: text.index(" ", 20_000)]
+    pii.SHAPES.clear()
+    assert pii.added_spans(part, [], field)[:-1] == [x for x in spans if x[1] <= len(part)][: len(pii.added_spans(part, [], field)[:-1])]
+
+
 def test_secrets_of_any_length_leave_nothing():
     """Values, runs, user names and key blocks have no longest length; header lines belong to a block."""
     r = random.Random(1)
