@@ -42,10 +42,6 @@ def geometric(u: Column, p: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.log(1 - u) / F.lit(float(np.log1p(-p))))).cast("bigint")
 
 
-def exponential(u: Column, rate: float) -> Column:
-    return -F.log(1 - u) / rate
-
-
 def integer(u: Column, low: int, high: int) -> Column:
     """A whole number from low to high, both included."""
     return (F.lit(low) + F.floor(u * (high - low + 1))).cast("bigint")

@@ -66,8 +66,3 @@ def first_strand(df: DataFrame, seed: int, ppm: dict[str, list[float]], **option
 
 def second_strand(df: DataFrame, seed: int, ppm: dict[str, list[float]], **options) -> DataFrame:
     return synthesize(df, seed, "second_strand", ppm, **options)
-
-
-def flat_ppm(k: int = 6) -> dict[str, list[float]]:
-    """All bases alike at each of k places."""
-    return {b: np.full(k, 0.25).tolist() for b in "ACGT"}

@@ -29,7 +29,7 @@ class Faults:
     def number(self, d: dict, key: str, where: str, low: float = -math.inf, high: float = math.inf, whole: bool = False, above: bool = False, default: Any = None) -> Any:
         """A number within bounds; above leaves the lower bound itself out."""
         x = d.get(key, default)
-        ok = isinstance(x, int | float) and not isinstance(x, bool) and not (whole and x != int(x)) and (x > low if above else x >= low) and x <= high
+        ok = isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x) and not (whole and x != int(x)) and (x > low if above else x >= low) and x <= high
         if not ok:
             self.found.append(f"{where}.{key}: {x!r} isn't {'a whole number' if whole else 'a number'} {'above' if above else 'from'} {low} to {high}")
             return None
@@ -45,6 +45,18 @@ class Faults:
             self.found.append(f"{where}: {x!r} isn't a sequence of A, C, G, T")
         return s
 
+    def table(self, x: Any, where: str) -> dict:
+        """A mapping, empty where there is none or something else stands."""
+        if x is not None and not isinstance(x, dict):
+            self.found.append(f"{where}: {x!r} isn't a mapping")
+        return x if isinstance(x, dict) else {}
+
+    def items(self, x: Any, where: str) -> list:
+        """A list, empty where there is none or something else stands."""
+        if x is not None and not isinstance(x, list | tuple):
+            self.found.append(f"{where}: {x!r} isn't a list")
+        return [*x] if isinstance(x, list | tuple) else []
+
     def say(self, wrong: bool, message: str) -> None:
         if wrong:
             self.found.append(message)
@@ -63,7 +75,7 @@ def check_ribozero(p: dict, f: Faults, where: str) -> None:
     f.number(p, "max_degrade_chance", where, 0, 1)
     f.number(p, "degrade_exponent", where, 0, above=True)
     f.flag(p, "degrade_entire_molecule", where, False)
-    oligos = p.get("oligos") or []
+    oligos = f.items(p.get("oligos"), f"{where}.oligos")
     f.say(not oligos, f"{where}.oligos: none are given")
     for o in oligos:
         f.oligo(o, f"{where}.oligos")
@@ -84,7 +96,7 @@ def check_fragment(p: dict, f: Faults, where: str) -> None:
 def check_strand(p: dict, f: Faults, where: str) -> None:
     f.flag(p, "perfect_priming", where, False)
     f.number(p, "primes_per_kb", where, 0, 1000, above=True)
-    m = p.get("position_probability_matrix") or {}
+    m = f.table(p.get("position_probability_matrix"), f"{where}.position_probability_matrix")
     if set(m) != set(BASES) or not all(isinstance(v, list) and v for v in m.values()) or len({len(v) for v in m.values()}) != 1:
         f.found.append(f"{where}.position_probability_matrix: it needs A, C, G and T with as many places each")
         return
@@ -99,8 +111,9 @@ def check_sizing(p: dict, f: Faults, where: str) -> None:
     if None in (low, high):
         return
     f.say(low >= high, f"{where}: min_length isn't below max_length")
-    a, b = p.get("select_all_start_length") or low, p.get("select_all_end_length") or high
-    f.say(not low <= a <= b <= high, f"{where}: the plateau isn't within the limits")
+    a = f.number(p, "select_all_start_length", where, 0) if p.get("select_all_start_length") else low
+    b = f.number(p, "select_all_end_length", where, 0) if p.get("select_all_end_length") else high
+    f.say(None not in (a, b) and not low <= a <= b <= high, f"{where}: the plateau isn't within the limits")
 
 
 def check_adapter(p: dict, f: Faults, where: str) -> None:
@@ -135,21 +148,23 @@ def check_samples(samples: dict, f: Faults) -> None:
     lengths = {"i5": set(), "i7": set()}
     for k, s in samples.items():
         f.say(not re.fullmatch("[0-9]+", str(k)), f"samples: {k!r} isn't a number")
+        codes = f.table(f.table(s, f"samples.{k}").get("barcodes"), f"samples.{k}.barcodes")
         for end in lengths:
-            lengths[end].add(len(f.oligo((s.get("barcodes") or {}).get(end), f"samples.{k}.barcodes.{end}")))
+            lengths[end].add(len(f.oligo(codes.get(end), f"samples.{k}.barcodes.{end}")))
     for end, found in lengths.items():
         f.say(len(found) > 1, f"samples: barcodes {end} differ in length")
 
 
 def check_flowcell(c: dict, f: Faults) -> None:
     f.say(c.get("coordinate_strategy", "random") not in ("random", "distinct"), f"flowcell.coordinate_strategy: {c.get('coordinate_strategy')!r} isn't random or distinct")
-    g = c.get("flowcell_geometry") or {}
+    g = f.table(c.get("flowcell_geometry"), "flowcell.flowcell_geometry")
     for axis in ("lane", "tile", "x", "y"):
         low = f.number(g, f"min_{axis}", "flowcell.geometry", 0, whole=True, default=0)
         high = f.number(g, f"max_{axis}", "flowcell.geometry", 0, whole=True, default=10_000)
         f.say(None not in (low, high) and low > high, f"flowcell.geometry: min_{axis} is above max_{axis}")
-    lanes = c.get("lanes_to_use") or []
-    f.say(any(not isinstance(x, int) or not g.get("min_lane", 0) <= x <= g.get("max_lane", 10_000) for x in lanes), "flowcell.lanes_to_use: a lane isn't there")
+    lanes = f.items(c.get("lanes_to_use"), "flowcell.lanes_to_use")
+    low, high = (x if isinstance(x, int) else d for x, d in ((g.get("min_lane"), 0), (g.get("max_lane"), 10_000)))
+    f.say(any(not isinstance(x, int) or isinstance(x, bool) or not low <= x <= high for x in lanes), "flowcell.lanes_to_use: a lane isn't there")
 
 
 #: The keys of a configuration in the plain layout.
@@ -173,20 +188,24 @@ def arranged(config: dict, f: Faults | None = None) -> dict:
     """The configuration in the plain layout, whichever it came in; steps by the names of their classes without a module before them.
     Keys that nothing reads are faults."""
     f = f or Faults()
+    config = f.table(config, "configuration")
     nested = any(k in config for k in NESTED)
     known = {"seed", "output", *NESTED} if nested else KEYS
     out = {k: v for k, v in config.items() if k in ({"seed", "output"} if nested else KEYS)}
     f.found += [f"{k}: there is no such key" for k in config if k not in known]
     for section, entries in NESTED.items() if nested else ():
-        for k, v in (config.get(section) or {}).items():
+        for k, v in f.table(config.get(section), section).items():
             f.say(k not in entries, f"{section}.{k}: there is no such key")
             out[entries.get(k, k)] = v
+    for section in ("samples", *SECTIONS):
+        if section in out:
+            out[section] = f.table(out[section], section)
     for section, entries in SECTIONS.items():
         f.found += [f"{section}.{k}: there is no such key" for k in out.get(section) or {} if k not in entries]
     for stage in ("library_prep", "sequence"):
-        steps = out.get(stage) or []
+        steps = [f.table({} if step is None else step, f"{stage}[{i}]") for i, step in enumerate(f.items(out.get(stage), stage))]
         f.found += [f"{stage}[{i}].{k}: there is no such key" for i, step in enumerate(steps) for k in step if k not in ("step_name", "parameters")]
-        out[stage] = [{**step, "step_name": str(step.get("step_name")).rsplit(".", 1)[-1]} for step in steps]
+        out[stage] = [{**step, "step_name": str(step.get("step_name")).rsplit(".", 1)[-1], "parameters": f.table(step.get("parameters"), f"{stage}[{i}].parameters")} for i, step in enumerate(steps)]
     if "full_logs" in (out.get("output") or {}):
         out["output"] = {"output_full_logs": out["output"]["full_logs"], **{k: v for k, v in out["output"].items() if k != "full_logs"}}
     return out
@@ -194,9 +213,9 @@ def arranged(config: dict, f: Faults | None = None) -> dict:
 
 def check_input(c: dict, f: Faults) -> None:
     f.say(not isinstance(c.get("directory_path") or "", str), "input.directory_path isn't a path")
-    for k, d in (c.get("from_distribution_data") or {}).items():
+    for k, d in f.table(c.get("from_distribution_data"), "input.from_distribution_data").items():
         where = f"input.from_distribution_data.{k}"
-        d = d or {}
+        d = f.table(d, where)
         f.found += [f"{where}.{x}: there is no such key" for x in d if x not in ("num_packets", "num_molecules_per_packet", "sample_data_directory")]
         if f.number(d, "num_packets", where, 0, whole=True, default=0):
             f.number(d, "num_molecules_per_packet", where, 1, whole=True)
@@ -232,7 +251,8 @@ def check(config: dict) -> list[str]:
                 REGISTRY[name].check(step.get("parameters") or {}, f, f"{stage}[{i}] {name}")
     check_flowcell(config.get("flowcell") or {}, f)
     check_input(config.get("input") or {}, f)
-    named = set((config.get("input") or {}).get("from_distribution_data") or {})
+    given = (config.get("input") or {}).get("from_distribution_data")
+    named = {str(k) for k in given} if isinstance(given, dict) else set()
     f.say(not named <= {str(k) for k in samples}, "input.from_distribution_data: a sample isn't among the samples")
     return f.found
 

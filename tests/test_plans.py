@@ -63,6 +63,45 @@ def test_bad_config(path, value):
         config.load(put(path, value))
 
 
+def places(x, path=()):
+    """Every place of a nested configuration."""
+    yield path
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+        yield from places(v, (*path, k))
+
+
+def test_any_value_anywhere_is_told():
+    """Whatever stands where something else should: all faults come in one list, nothing is raised."""
+    good = GOOD | {"input": {"directory_path": "x", "from_distribution_data": {"1": {"num_packets": 1, "num_molecules_per_packet": 5, "sample_data_directory": "d"}}}, "molecule_maker": {"min_polyA_tail_length": 1}}
+    good = copy.deepcopy(good)
+    good["library_prep"].append({"step_name": "RiboZeroStep", "parameters": {"oligos": ["ACGT"], "max_degrade_chance": 0.5, "degrade_exponent": 2}})
+    assert config.check(good) == []
+    told = 0
+    for path in list(places(good))[1:]:
+        for value in (None, 5, -1, "x", [], {}, [1], [None], {"a": 1}, True, float("nan"), float("inf"), [[]], [{}]):
+            c = copy.deepcopy(good)
+            d = c
+            for k in path[:-1]:
+                d = d[k]
+            d[path[-1]] = value
+            faults = config.check(c)
+            assert all(isinstance(f, str) for f in faults)
+            told += bool(faults)
+    assert told > 1000
+    for value in (None, 5, "x", [], [1]):
+        assert config.check(value)
+    for path, value in ((("samples",), {"1": None}), (("samples",), ["a"]), (("library_prep", 0), "PolyAStep"), (("library_prep", 7, "parameters", "oligos"), 5), (("flowcell", "lanes_to_use"), 3), (("library_prep",), {"a": 1})):
+        c = copy.deepcopy(good)
+        d = c
+        for k in path[:-1]:
+            d = d[k]
+        d[path[-1]] = value
+        assert config.check(c)
+    both = copy.deepcopy(good)
+    both["samples"], both["flowcell"], both["seed"] = ["a"], 4, None
+    assert len(config.check(both)) >= 3
+
+
 def test_whole_run(spark, sf, tmp_path):
     m = queries.from_documents(spark, sf)
     contigs = spark.createDataFrame([("en", 10**9, 0), ("de", 10**9, 1), ("es", 10**9, 2), ("fr", 10**9, 3)], "name string, length long, ordinal int")
