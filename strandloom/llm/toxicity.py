@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +40,23 @@ DRIFT = 0.4
 STEMS = (4, 5, 6)
 
 
-def segments(at: list[int], left: list[float], right: list[float]) -> list[tuple[int, int, float]]:
+def segments(at: list[int], left: list[float], right: list[float], last: list[int] | None = None) -> list[tuple[int, int, float]]:
     """Every maximal-scoring segment as (first token, last token, score), in linear time.
 
-    at holds the tokens with positive scores in order, left and right the sums of all scores before and up to each of them.
+    at holds the tokens with positive scores in order, left and right the sums of all scores before and up to each of them; or the first tokens
+    of runs of such tokens, with their last tokens beside them, as the tokens of a run always belong together.
     Segments on a stack are kept with the running total before and after them; a new one joins the nearest earlier
     one that starts lower and ends no higher.
     """
     stack: list[tuple[int, int, float, float, int]] = []
-    for i, low, high in zip(at, left, right, strict=True):
+    for i, low, high, end in zip(at, left, right, at if last is None else last, strict=True):
         first = i
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= low:
                 j = stack[j][4]
             if j < 0 or stack[j][3] >= high:
-                stack.append((first, i, low, high, j))
+                stack.append((first, end, low, high, j))
                 break
             first, low = stack[j][0], stack[j][2]
             del stack[j:]
@@ -79,17 +81,26 @@ class Scores(dict):
         self.keys_, self.values_ = keys, values
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 60_000:
+        self.learn({word})
+        return self[word]
+
+    def learn(self, words: set[str]) -> None:
+        """Looks up those of the words that aren't known, all at once: a word has the score of its longest name that the model has."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > 60_000:
             self.clear()
-        out = 0.0
-        for name in names(word.lower()):
-            h = np.uint64(hash_of(name))
-            k = int(np.searchsorted(self.keys_, h))
-            if k < len(self.keys_) and self.keys_[k] == h:
-                out = float(self.values_[k])
-                break
-        self[word] = out - DRIFT
-        return out - DRIFT
+            new = list(words)
+        if not new:
+            return
+        hashes = [[hash_of(name) for name in names(w.lower())] for w in new]
+        flat = np.fromiter(chain.from_iterable(hashes), np.uint64)
+        word = np.repeat(np.arange(len(new)), list(map(len, hashes)))
+        at = np.minimum(np.searchsorted(self.keys_, flat), len(self.keys_) - 1)
+        hit = np.flatnonzero(self.keys_[at] == flat)
+        of, first = np.unique(word[hit], return_index=True)
+        score = np.zeros(len(new))
+        score[of] = self.values_[at[hit[first]]]
+        self.update(zip(new, (score - DRIFT).tolist(), strict=True))
 
 
 class Model:
@@ -118,20 +129,25 @@ class Model:
         """Segments as (first token, last token, score, score with repetition damped)."""
         if not len(self.keys) or not words:
             return []
+        self.met.learn(set(words))
         x = np.fromiter(map(self.met.__getitem__, words), np.float64, len(words))
         at = np.flatnonzero(x > 0)
         if not len(at):
             return []
         total = np.concatenate(([0.0], np.cumsum(x)))
-        out, before = [], Counter()
-        for a, b, s in segments(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
-            damped = s
-            for i in at[np.searchsorted(at, a) : np.searchsorted(at, b, "right")].tolist():
-                w = words[i].lower()
-                damped -= x[i] * (1 - 0.5 ** min(60, before[w]))
-                before[w] += 1
-            out.append((a, b, s, float(damped)))
-        return out
+        begins = np.concatenate(([True], np.diff(at) > 1))
+        first, last = at[begins], at[np.concatenate((begins[1:], [True]))]
+        found = segments(first.tolist(), total[first].tolist(), total[last + 1].tolist(), last.tolist())
+        # every positive token lies in a segment; each earlier one of the same word halves what it counts
+        known: dict[str, int] = {}
+        word = np.array([known.setdefault(words[i].lower(), len(known)) for i in at.tolist()])
+        order = np.argsort(word, kind="stable")
+        start = np.concatenate(([True], np.diff(word[order]) > 0))
+        earlier = np.empty(len(at), np.int64)
+        earlier[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+        lost = np.concatenate(([0.0], np.cumsum(x[at] * (1 - 0.5 ** np.minimum(60, earlier)))))
+        low, high = np.searchsorted(at, [f[0] for f in found]), np.searchsorted(at, [f[1] for f in found], "right")
+        return [(a, b, s, s - d) for (a, b, s), d in zip(found, (lost[high] - lost[low]).tolist(), strict=True)]
 
     def chance(self, score: float, tokens: int) -> float:
         """Log of the expected number of segments of at least this score in so many clean tokens."""

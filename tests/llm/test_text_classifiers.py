@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -270,3 +271,68 @@ def test_passages_have_offsets(spark, docs_of):
     model.slope, model.shift = 4.0, -3.0
     r = toxicity.passages(docs_of([(1, "so nice. VILE vile things " + "calm " * 50 + "\u0130 vile")]), model).collect()[0]
     assert [(p.text, p.start, p.end) for p in r.passages] == [("VILE vile", 9, 18), ("vile", 278, 282)]
+
+
+def test_whole_scores_against_plain_python(spark, docs_of):
+    """Counts, priors, drift, segments, damping, the law and the calibration, each done the plain way for every document."""
+    rng = np.random.default_rng(7)
+    clean, bad = [f"plain{i}" for i in range(60)], [f"awful{i}" for i in range(12)]
+    rows, labels = [], []
+    for i in range(400):
+        w = list(rng.choice(clean, int(rng.integers(5, 60))))
+        y = int(i % 3 == 0)
+        if y:
+            at = int(rng.integers(0, len(w)))
+            w[at:at] = list(rng.choice(bad, int(rng.integers(3, 9)))) * int(rng.integers(1, 3))
+        rows.append((i, " ".join(x.upper() if rng.random() < 0.1 else x for x in w) if i % 40 else None))
+        labels.append((i, y))
+    docs = docs_of(rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    shown = {r.doc_id: (r.y, r.aside) for r in spark.createDataFrame(labels, "doc_id long, y int").selectExpr("doc_id", "y", "pmod(xxhash64(doc_id), 4) = 0 aside", "pmod(crc32(cast(doc_id as string)), 4) r").filter("r <> 2").collect()}
+    tokens = {i: re.findall(toxicity.WORD.pattern, t or "") for i, t in rows}
+    names = lambda w: [w] + [w[:n] + "~" for n in sorted(toxicity.STEMS, reverse=True) if len(w) > n]
+    counts = {}
+    for i, (y, aside) in shown.items():
+        for w in [] if aside else tokens[i]:
+            for n in names(w.lower()):
+                counts.setdefault(n, [0, 0])[1 - y] += 1
+    whole = [c for n, c in counts.items() if "~" not in n]
+    base = sum(c[0] for c in whole) / sum(map(sum, whole))
+
+    def share(n):
+        """The share of toxic tokens, drawn to that of the next shorter stem."""
+        shorter = [x for x in names(n.removesuffix("~"))[1:] if x != n and len(x) <= len(n) and x in counts]
+        prior = share(shorter[0]) if shorter else base
+        return (counts[n][0] + toxicity.PRIOR * prior) / (sum(counts[n]) + toxicity.PRIOR)
+
+    odds = lambda p: np.log(p / (1 - p))
+    gains = {n: np.float32(odds(share(n)) - odds(base)) for n in counts}
+    gain = lambda w: next((float(gains[n]) for n in names(w.lower()) if n in gains), 0.0) - toxicity.DRIFT
+
+    def segments(x):
+        """Maximal segments by their definition: the best one, then those to its left and right."""
+        best = max(((sum(x[a:b]), a - b, -a, a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1)), default=(0,), key=lambda z: (round(z[0], 9), *z[1:]))
+        if best[0] <= 1e-9:
+            return []
+        *_, a, b = best
+        return [(p, q) for p, q in segments(x[:a])] + [(a, b)] + [(p + b, q + b) for p, q in segments(x[b:])]
+
+    def evidence(words):
+        x, seen, out = [gain(w) for w in words], {}, 0.0
+        for a, b in segments(x):
+            s = 0.0
+            for k in range(a, b):
+                if x[k] > 0:
+                    s += x[k] * 0.5 ** min(60, seen.get(words[k].lower(), 0))
+                    seen[words[k].lower()] = seen.get(words[k].lower(), 0) + 1
+                else:
+                    s += x[k]
+            out += max(0.0, model.scale * s - np.log(model.size * max(1, len(words))))
+        return out
+
+    got = {r.doc_id: r.score for r in toxicity.passages(docs, model).collect()}
+    for i in range(0, 400, 3):
+        want = 1 / (1 + np.exp(-np.clip(model.slope * np.log1p(evidence(tokens[i])) + model.shift, -30, 30)))
+        assert abs(got[i] - want) < 1e-4, (i, got[i], want)
+    scores = [sum(x[a:b]) for i, (y, aside) in shown.items() if aside and not y for x in [[gain(w) for w in tokens[i]]] for a, b in segments(x)]
+    assert np.allclose(toxicity.law(np.array(scores), sum(len(tokens[i]) for i, (y, aside) in shown.items() if aside and not y)), (model.scale, model.size), rtol=1e-3)
