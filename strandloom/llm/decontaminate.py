@@ -17,8 +17,7 @@ that aren't placeholders match by plain words only; repeated rows of a document
 each held against the items on their own (the id has what any of them has); extra columns don't take part; ties don't
 arise, as all items that match are given.
 
-The registered SQL knows canonical windows only. n_windows and n_slots are of these, as there; pairs that only plain words bring over
-the bound are rows that the SQL lacks.
+n_windows and n_slots are of canonical windows; windows of either kind bring a pair over the bound.
 """
 
 from __future__ import annotations
@@ -196,11 +195,11 @@ def _sql_words(source: str, key: str) -> str:
     t = f"trim(regexp_replace({t}, '{OUTSIDE}', ' ', 'g'))"
     c = f"lower(regexp_replace(regexp_replace(' ' || t, '{NUMBER}', ' #', 'g'), '{NAME}', ' @', 'g'))"
     c = f"replace(regexp_replace(replace({c}, ' ', '  ') || ' ', '{UNIT}', ' % ', 'g'), '{START}', '')"
-    return f"SELECT {key}, string_split(t, ' ') AS r, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split_regex(trim({c}), ' +') END AS c FROM (SELECT {key}, {t} AS t FROM {source} WHERE {key} IS NOT NULL AND text IS NOT NULL)"
+    return f"SELECT {key}, string_split(t, ' ') AS r, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split_regex(trim({c}), ' +') END AS c, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(lower(replace(t, '{START}', '')), ' ') END AS v FROM (SELECT {key}, {t} AS t FROM {source} WHERE {key} IS NOT NULL AND text IS NOT NULL)"
 
 
 def _sql_windows(name: str, key: str, pos: str) -> str:
-    return f"SELECT {key}, {pos}, array_to_string(c[{pos} + 1:{pos} + {WINDOW}], ' ') AS w, len(list_filter(c[{pos} + 1:{pos} + {WINDOW}], lambda x: x NOT IN ('#', '@', '%'))) AS literal FROM (SELECT {key}, c, unnest(range(len(c) - {WINDOW - 1})) AS {pos} FROM {name} WHERE len(c) >= {WINDOW})"
+    return f"SELECT {key}, {pos}, array_to_string(c[{pos} + 1:{pos} + {WINDOW}], ' ') AS w, array_to_string(v[{pos} + 1:{pos} + {WINDOW}], ' ') AS x, len(list_filter(c[{pos} + 1:{pos} + {WINDOW}], lambda x: x NOT IN ('#', '@', '%'))) AS literal FROM (SELECT {key}, c, v, unnest(range(len(c) - {WINDOW - 1})) AS {pos} FROM {name} WHERE len(c) >= {WINDOW})"
 
 
 OP8_SQL = f"""
@@ -214,7 +213,11 @@ lines AS (SELECT doc_id, item_id, ipos, s FROM filled
           WHERE len(list_distinct(list_transform(s, lambda x: [x.kind, x.here]))) = len(list_distinct(list_transform(s, lambda x: [x.kind, x.here, x.there])))
             AND len(list_distinct(list_transform(s, lambda x: [x.kind, x.there]))) = len(list_distinct(list_transform(s, lambda x: [x.kind, x.here, x.there])))),
 found AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows, len(list_distinct(flatten(list(list_transform(s, lambda x: x.place)))))::BIGINT AS n_slots FROM lines GROUP BY ALL),
-sizes AS (SELECT item_id, count(*) AS item_windows FROM ix GROUP BY ALL)
-SELECT doc_id, item_id, n_windows, item_windows, n_slots FROM found JOIN sizes USING (item_id)
-WHERE n_windows >= {ENOUGH} OR 2 * n_windows >= item_windows
+sizes AS (SELECT item_id, count(*) AS item_windows FROM ix GROUP BY ALL),
+keys AS (SELECT item_id, ipos, w AS k FROM ix WHERE literal >= {LITERAL} UNION SELECT item_id, ipos, x FROM ix WHERE x <> w),
+either AS (SELECT doc_id, pos, w AS k FROM dx UNION SELECT doc_id, pos, x FROM dx),
+plain AS (SELECT DISTINCT doc_id, item_id, pos, ipos FROM either JOIN keys USING (k) EXCEPT SELECT doc_id, item_id, pos, ipos FROM hits),
+matched AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_matched FROM (SELECT doc_id, item_id, ipos FROM lines UNION SELECT doc_id, item_id, ipos FROM plain) GROUP BY ALL)
+SELECT doc_id, item_id, coalesce(n_windows, 0) AS n_windows, item_windows, coalesce(n_slots, 0) AS n_slots FROM matched JOIN sizes USING (item_id) LEFT JOIN found USING (doc_id, item_id)
+WHERE n_matched >= {ENOUGH} OR 2 * n_matched >= item_windows
 """

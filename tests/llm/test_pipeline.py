@@ -145,6 +145,21 @@ def test_sql(spark, name):
     assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want.select(*cols).fetchall())
 
 
+def test_sql_of_decontamination_knows_plain_words(spark, docs_of, tmp_path):
+    """Items in capitals, in lower case, with other numbers, in parts and twice, in both languages."""
+    import duckdb
+
+    texts = [ITEMS[0][1].upper(), ITEMS[0][1].lower(), ITEMS[3][1].upper() + " and on", ITEMS[0][1].replace("12", "9"), ITEMS[0][1].replace("12 red", "77 red"), "so " + " ".join(ITEMS[3][1].split()[3:15]).lower(), ITEMS[0][1] + ". " + ITEMS[3][1].upper(), "a quite other text that goes on for more than eight words", "", None]
+    docs_of([*enumerate(texts), (3, ITEMS[3][1]), (None, ITEMS[0][1])]).drop("score").write.parquet((tmp_path / "documents.parquet").as_uri())
+    bench(spark).write.parquet((tmp_path / "benchmark.parquet").as_uri())
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = decontaminate.op8_decontamination(spark, tmp_path.as_uri())
+    want = c.sql(decontaminate.OP8_SQL).select(*got.columns).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[2] == 0 for r in want) and len(want) >= 7
+
+
 def test_stages_against_plain_python(spark):
     SF = "/root/testdata/sf0.01"  # noqa: N806
     docs = table(spark, SF, "documents")
