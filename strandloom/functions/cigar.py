@@ -131,6 +131,11 @@ def used(cigar: Column) -> Column:
     return F.aggregate(parse(cigar), F.lit(0).cast("bigint"), lambda n, p: n + F.when(p["op"].isin(*QUERY), p["n"]).otherwise(0))
 
 
+def reference_length(cigar: Column) -> Column:
+    """The length on the reference."""
+    return F.aggregate(parse(cigar), F.lit(0).cast("bigint"), lambda n, p: n + F.when(p["op"].isin(*REFERENCE), p["n"]).otherwise(0))
+
+
 def skips(cigar: Column, start: Column) -> Column:
     """First reference places of skipped stretches."""
     return F.transform(F.filter(spans(cigar, start), lambda p: p["op"] == "N"), lambda p: p["r"])

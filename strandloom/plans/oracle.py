@@ -235,3 +235,6 @@ sizes AS (SELECT t, chrom, sum(end_ - start + 1)::BIGINT AS size FROM exons GROU
 SELECT t AS transcript_id, chrom, CASE WHEN t % 2 = 0 THEN '+' ELSE '-' END AS strand, size, ref_start,
   CASE WHEN ref_start IS NULL THEN size || 'S' ELSE CASE WHEN before > 0 THEN before::BIGINT || 'S' ELSE '' END || middle || CASE WHEN past <= size THEN (size - past + 1)::BIGINT || 'S' ELSE '' END END AS ref_cigar
 FROM sizes LEFT JOIN texts USING (t)"""
+# the first read begins at the source's start, the second 40 bases before the molecule's end
+ORACLE["sam_mates"] = q("""SELECT name AS qname, 3 + CASE WHEN direction = 1 THEN 64 ELSE 128 END + CASE WHEN strand = '-' THEN 16 ELSE 32 END AS flag, pos, '=' AS rnext, CASE WHEN direction = 1 THEN source_start + len - 40 ELSE source_start END AS pnext,
+  CASE WHEN (direction = 1) = (len >= 40) THEN 1 ELSE -1 END * (CASE WHEN len >= 40 THEN len ELSE 80 - len END) AS tlen FROM reads""", PLACED)

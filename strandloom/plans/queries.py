@@ -264,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "barcode_matches": lambda s, d: barcodes.matches(order_reads(s, d), customer_codes(s, d).select("sample_id", F.concat("i5", "i7").alias("code")), 2),
     "fastq_records": lambda s, d: formats.fastq_records(identified(s, d)),
     "sam_records": lambda s, d: formats.sam_records(identified(s, d)),
+    "sam_mates": lambda s, d: formats.sam_records(identified(s, d), mates=True).select("qname", "flag", "pos", "rnext", "pnext", "tlen"),
     "fastq_in_order": _fastq,
     "bam_round_trip": lambda s, d: bam.read_records(s, _bam(s, d), "*.bam"),
     "bam_coverage": lambda s, d: analytics.coverage(bam.read_bam(s, _bam(s, d), "*.bam")),

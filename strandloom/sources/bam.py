@@ -130,7 +130,7 @@ def parsed_header(data: bytes) -> tuple[list[str], int] | None:
 # writing
 
 
-def encoded(df: DataFrame, contigs: DataFrame, order: bool) -> DataFrame:
+def encoded(df: DataFrame, contigs: DataFrame, order: bool, mates: bool = False) -> DataFrame:
     """sample_id, lane, status, at, data: blocks of records. at keeps their order: from place to place of the flowcell if order is asked for."""
     ship(df.sparkSession)
     ids = {r["name"]: i for i, r in enumerate(contigs.orderBy("ordinal").select("name").collect())}  # contigs are a bounded table
@@ -169,14 +169,14 @@ def encoded(df: DataFrame, contigs: DataFrame, order: bool) -> DataFrame:
             close()
             yield row()
 
-    rows = sam_records(df, extra=tuple(PLACE) if order else ()).withColumn("lane", F.col("lane").cast("int"))
+    rows = sam_records(df, extra=tuple(PLACE) if order else (), mates=mates).withColumn("lane", F.col("lane").cast("int"))
     place = [c.split(".")[-1] for c in PLACE]
     rows = rows.repartitionByRange(*KEYS, *place).sortWithinPartitions(*KEYS, *place) if order else rows.sortWithinPartitions(*KEYS)
     rows = rows.select(*KEYS, *SAM_FIELDS).mapInArrow(run, "sample_id string, lane int, status string, data binary")
     return rows.withColumn("at", F.monotonically_increasing_id())
 
 
-def write_bam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False, whole: bool = True) -> list[str]:
+def write_bam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False, whole: bool = True, mates: bool = False) -> list[str]:
     """One file for each sample, lane and status: S<sample>_L<lane>_<status>.bam, in the order of places if order is asked for.
 
     Tasks write blocks; then, for each file, one task copies its blocks, which are compressed by then, from a sorted shuffle that spills. Not whole: folders
@@ -189,7 +189,7 @@ def write_bam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False,
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        encoded(df, contigs, order).write.mode("overwrite").option("compression", "none").parquet(f"{path}/_blocks")
+        encoded(df, contigs, order, mates).write.mode("overwrite").option("compression", "none").parquet(f"{path}/_blocks")
         found = spark.read.parquet(f"{path}/_blocks")
         ends = found.select(*KEYS).distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(at).cast("bigint").alias("at"), F.lit(bytes(d)).alias("data")) for at, d in ((-1, head), ((1 << 63) - 1, END))])))
         rows = found.select(*KEYS, "at", "data").unionByName(ends.select(*KEYS, "x.at", "x.data"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import rng
+from strandloom.functions.cigar import reference_length
 from strandloom.functions.sequence import reverse_complement, sam_flag
 from strandloom.operators.molecules import COLUMNS
 
@@ -164,15 +165,29 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(parts, [*keys, "_file", "_block"]).select(F.col("sample_id").cast("string").alias("sample_id"), "lane", "read", "status", number.alias("number"), record.alias("record"))
 
 
-def sam_records(df: DataFrame, as_stored: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """sample_id, lane, status and the eleven fields, and the columns asked for. Bases of reversed reads are turned, and so are their qualities, unless as_stored."""
+def sam_records(df: DataFrame, as_stored: bool = False, extra: tuple[str, ...] = (), mates: bool = False) -> DataFrame:
+    """sample_id, lane, status and the eleven fields, and the columns asked for. Bases of reversed reads are turned, and so are their qualities, unless as_stored.
+
+    mates: the fields of the mate are filled in, where both reads of a cluster have a place: its place, and the length from the first base of the
+    two to the last, below zero for the read that begins later (for the second one if they begin together).
+    """
     r = F.col("_r")
     turned = r["strand"] == "-"
     seq = F.when(turned, reverse_complement(r["called_sequence"])).otherwise(r["called_sequence"])
     qual = r["quality"] if as_stored else F.when(turned, F.reverse(r["quality"])).otherwise(r["quality"])
+    rnext, pnext, tlen = F.lit("*"), F.lit(0), F.lit(0)
+    if mates:
+        end = lambda x: x["start"] + reference_length(x["cigar"])
+        mate = F.get(F.filter("reads", lambda x: (x["direction"] != r["direction"]) & (x["start"] > 0)), F.lit(0))
+        both = mate.isNotNull() & (r["start"] > 0)
+        first = (r["start"] < mate["start"]) | ((r["start"] == mate["start"]) & (r["direction"] < mate["direction"]))
+        size = F.greatest(end(r), end(mate)) - F.least(r["start"], mate["start"])
+        rnext = F.when(both, "=").otherwise("*")
+        pnext = F.when(both, mate["start"]).otherwise(0)
+        tlen = F.when(both, F.when(first, size).otherwise(-size)).otherwise(0).cast("int")
     return each_read(df).select(
         "sample_id", "lane", "status", read_name().alias("qname"), sam_flag(r["direction"], r["strand"]).alias("flag"), F.col("source_chrom").alias("rname"), r["start"].alias("pos"),
-        F.lit(255).alias("mapq"), r["cigar"].alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), seq.alias("seq"), qual.alias("qual"), *extra,
+        F.lit(255).alias("mapq"), r["cigar"].alias("cigar"), rnext.alias("rnext"), pnext.alias("pnext"), tlen.alias("tlen"), seq.alias("seq"), qual.alias("qual"), *extra,
     )
 
 
@@ -184,15 +199,15 @@ def sam_header(contigs: DataFrame) -> list[str]:
     return ["@HD\tVN:1.0", *[f"@SQ\tSN:{r['name']}\tLN:{r['length']}" for r in contigs.orderBy("ordinal").select("name", "length").toLocalIterator()]]
 
 
-def write_sam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False, parts: int | None = None) -> None:
+def write_sam(df: DataFrame, contigs: DataFrame, path: str, order: bool = False, parts: int | None = None, mates: bool = False) -> None:
     """Text files by sample, lane and status, in so many parts each (as many as shuffles have, unless given), every one a whole SAM file
-    with its header. order: the files of a folder, one after another by name, are one SAM file from the first place of the flowcell to the last."""
+    with its header. mates: with the fields of the mate. order: the files of a folder, one after another by name, are one SAM file from the first place of the flowcell to the last."""
     spark = df.sparkSession
     parts = 1 if order else parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["sample_id", "lane", "status", "part"]
     place = [c.split(".")[-1] for c in PLACE]
     line = F.concat_ws("\t", *[F.col(c).cast("string") for c in SAM_FIELDS])
-    body = sam_records(df, extra=tuple(PLACE)).select(*keys[:3], F.pmod(F.hash("qname"), F.lit(parts)).alias("part"), F.lit(1).alias("_rank"), *place, line.alias("value"))
+    body = sam_records(df, extra=tuple(PLACE), mates=mates).select(*keys[:3], F.pmod(F.hash("qname"), F.lit(parts)).alias("part"), F.lit(1).alias("_rank"), *place, line.alias("value"))
     blank = [F.lit(None).cast(t).alias(c) for c, t in zip(place, ("int", "int", "int", "string"), strict=True)]
     head = body.select(*keys).distinct().select(*keys, F.lit(0).alias("_rank"), *blank, F.lit("\n".join(sam_header(contigs))).alias("value"))
     rows = body.unionByName(head)

@@ -58,6 +58,16 @@ def test_quant_and_packets(spark, sf, tmp_path):
     assert spark.read.option("sep", "\t").option("header", "true").csv((tmp_path / "log").as_uri()).count() == m.count()
 
 
+def test_mates(spark):
+    read = "struct<direction:int,called_sequence:string,quality:string,start:bigint,cigar:string,strand:string>"
+    one = lambda d, start, cigar: (d, "ACGT", "IIII", start, cigar, "+")
+    rows = [("a", [one(1, 100, "4M"), one(2, 90, "2M3N2M")]), ("b", [one(1, 50, "4M"), one(2, 50, "2S2M")]), ("c", [one(1, 10, "4M")]), ("d", [one(1, 0, "4S"), one(2, 7, "4M")])]
+    df = spark.createDataFrame(rows, f"molecule_id string, reads array<{read}>")
+    df = df.selectExpr("*", "'1' sample_id", "1 lane", "'identified' status", "'x' source_chrom", "named_struct('tile', 1, 'x', 2, 'y', 3) coordinates")
+    got = {(r.qname[-1], r.flag & 64 > 0): (r.rnext, r.pnext, r.tlen) for r in formats.sam_records(df, mates=True).collect()}
+    assert got == {("a", True): ("=", 90, -14), ("a", False): ("=", 100, 14), ("b", True): ("=", 50, 4), ("b", False): ("=", 50, -4), ("c", True): ("*", 0, 0), ("d", True): ("*", 0, 0), ("d", False): ("*", 0, 0)}
+
+
 def test_ordered_files(spark, sf, tmp_path):
     """The files of each folder, read by name, are what a full sort gives; there are several, so no task had them all."""
     reads = Q.identified(spark, sf)
