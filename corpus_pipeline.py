@@ -30,7 +30,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; of rows with the same id and text, one. An id's other texts are judged for themselves."""
     scratch, digest = Scratch(spark, "near_duplicates"), F.sha2("text", 256)
-    copies, _ = scratch.keep(minhash.near_duplicates(docs).filter("not kept").select("doc_id", "digest").distinct())
+    copies, _ = scratch.keep(minhash.near_duplicates(docs).filter("not kept").select("doc_id", "digest"))
     rows = docs.filter("doc_id is not null and text is not null").groupBy("doc_id", digest.alias("digest")).agg(F.count("*").alias("n"))
     repeated, _ = scratch.keep(rows.filter("n > 1").select("doc_id", "digest"))
     alone = without(docs, copies.unionByName(repeated), scratch, digest)
