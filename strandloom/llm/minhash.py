@@ -177,8 +177,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame, reps: DataFrame, scratch: Scrat
     small = (lambda x: F.broadcast(x)) if ids.count() <= BROADCAST_IDS else (lambda x: x)
 
     def read(ids: DataFrame) -> DataFrame:
-        found = docs.join(small(ids.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.sha2("text", 256).alias("digest"), "text")
-        return found.join(small(ids.select("rep", "digest", "node")), ["rep", "digest"]).select("node", "text")
+        # three numbers a node are sent; the texts of one id are told apart by a hash of their digests
+        found = docs.join(small(ids.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.xxhash64(F.sha2("text", 256)).alias("h"), "text")
+        return found.join(small(ids.select("rep", F.xxhash64("digest").alias("h"), "node")), ["rep", "h"]).select("node", "text")
 
     texts, twice = read(ids.filter("rows = 1")), ids.filter("rows > 1")
     return texts if twice.isEmpty() else texts.unionByName(read(twice).dropDuplicates(["node"]))
