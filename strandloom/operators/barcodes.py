@@ -1,9 +1,10 @@
-"""Called barcodes against the barcodes of all samples, by hash joins.
+"""Called barcodes against the barcodes of all samples, by sorted joins.
 
 Two codes of one length differ in at most m places exactly if they agree once some m places are left out of both. Each
-code gives one key for every choice of m places, with a mark in them, and keys are joined as they are: no code is compared with
-all others, and neither side is broadcast. Under one key there are as many codes as the alphabet allows. Called codes are reduced to distinct ones first, so a
-code that very many reads share is one row until its answer goes back to the reads.
+code gives one key for every choice of m places, and keys are joined as they are: no code is compared with
+all others, and neither side is broadcast. Both sides are reduced to distinct codes first: a
+code that very many reads or samples share is one row until its answer goes back to them. So the search is bounded by the alphabet,
+and under one key there are as many codes as it allows. A pair that meets under several keys counts under one of them, told from its places alone.
 
 Edge cases: codes of different lengths don't match; null codes match nothing; codes shorter than m match all others of their length; two samples
 with one code, or with codes near one called code, are reported as ambiguous; empty tables give no matches; other columns stay.
@@ -14,32 +15,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import hamming
-
 #: Stands for a place that is left out; barcodes don't hold it.
 MARK = "*"
 
 
 def left_out(code: Column, places: int) -> Column:
-    """array<string>: the code with every choice of so many places marked."""
+    """array<struct<at:array<int>,key:string>>: the code with every choice of so many places marked, and the places, in order."""
 
-    def choose(marked: Column, first: Column, more: int) -> Column:
+    def choose(marked: Column, at: list[Column], more: int) -> Column:
         if more == 0:
-            return F.array(marked)
-        at = F.when(first <= F.length(marked), F.sequence(first, F.length(marked))).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(at, lambda i: choose(F.overlay(marked, F.lit(MARK), i, F.lit(1)), i + 1, more - 1)))
+            return F.array(F.struct(F.array(*at).cast("array<int>").alias("at"), marked.alias("key")))
+        first = at[-1] + 1 if at else F.lit(1)
+        rest = F.when(first <= F.length(marked), F.sequence(first, F.length(marked))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(rest, lambda i: choose(F.overlay(marked, F.lit(MARK), i, F.lit(1)), [*at, i], more - 1)))
+
+    every = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code))).otherwise(F.array().cast("array<int>"))
+    short = F.array(F.struct(every.alias("at"), F.repeat(F.lit(MARK), F.length(code)).alias("key")))
+    return F.when(F.length(code) < places, short).otherwise(choose(code, [], places))
+
 
-    return F.when(F.length(code) < places, F.array(F.repeat(F.lit(MARK), F.length(code)))).otherwise(choose(code, F.lit(1), places))
+def near(called: DataFrame, codes: DataFrame, most: int) -> DataFrame:
+    """called_barcode, code, mismatches: every pair of at most so many mismatches, once, from distinct codes on both sides. Other columns of codes stay."""
+    ours = codes.withColumn("_k", F.explode(left_out(F.col("code"), most)))
+    theirs = called.withColumn("_k", F.explode(left_out(F.col("called_barcode"), most)))
+    met = theirs.join(ours.hint("merge"), "_k")
+    # only places left out can differ; of all keys of a pair one has its mismatches and, of the places that agree, the first
+    places = [F.get("_k.at", F.lit(i)) for i in range(most)]
+    differs = [F.coalesce(F.substring("called_barcode", p, F.lit(1)) != F.substring("code", p, F.lit(1)), F.lit(False)) for p in places]
+    for i, (p, other) in enumerate(zip(places, differs, strict=True)):
+        met = met.filter(other | F.coalesce(p == i + 1, F.lit(True)))
+    return met.withColumn("mismatches", sum((other.cast("int") for other in differs), F.lit(0))).drop("_k")
 
 
 def matches(called: DataFrame, codes: DataFrame, most: int = 1) -> DataFrame:
     """called_barcode, sample_id, mismatches: every pair of at most so many mismatches. called: called_barcode; codes: sample_id, code."""
     if most < 0:
         raise ValueError("mismatches can't be fewer than none")
-    ours = codes.filter("code is not null").select("sample_id", "code", F.explode(left_out(F.col("code"), most)).alias("_key"))
-    theirs = called.filter("called_barcode is not null").select("called_barcode").distinct().select("called_barcode", F.explode(left_out(F.col("called_barcode"), most)).alias("_key"))
-    found = theirs.join(ours, "_key").select("called_barcode", "sample_id", "code").distinct()  # equal codes meet under each of their keys
-    return found.select("called_barcode", "sample_id", hamming("called_barcode", "code").alias("mismatches"))
+    ours = codes.filter("code is not null").select("sample_id", "code").distinct()
+    theirs = called.filter("called_barcode is not null").select("called_barcode").distinct()
+    found = near(theirs, ours.select("code").distinct(), most)
+    return ours.join(found.hint("merge"), "code").select("called_barcode", "sample_id", "mismatches")  # a code's samples pass by its few neighbours
 
 
 def identify(reads: DataFrame, samples: DataFrame, most: int = 1) -> DataFrame:

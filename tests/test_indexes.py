@@ -49,6 +49,32 @@ def test_very_many_barcodes(spark):
     assert kinds == {"identified", "ambiguous", "unidentified"}
 
 
+def keyed_columns(df):
+    """What a row for each key of a code holds."""
+
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+
+    return " ".join(n.output().mkString(" ") for n in nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate")
+
+
+def test_barcodes_meet_without_broadcast(spark, sf):
+    """Estimates don't see how many keys a code has, so a small file of codes must not tempt Spark into sending all keys."""
+    q = Q.QUERIES["barcode_matches"](spark, sf)
+    assert "Broadcast" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_barcode_that_many_samples_share(spark, most):
+    """Keys are made of distinct codes: with one of a sample's own each, samples would be in every key."""
+    ours = spark.range(3000).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 2990, "ACGTACGT").otherwise("ACGTTTTT").alias("code"))
+    got = barcodes.matches(spark.createDataFrame([("ACGTACGA",), ("ACGTACGA",), ("NCGTACGT",), ("GGGGGGGG",)], "called_barcode string"), ours, most)
+    assert "sample_id" not in keyed_columns(got)
+    assert sorted((r.called_barcode, r.mismatches, r["count"]) for r in got.groupBy("called_barcode", "mismatches").count().collect()) == [("ACGTACGA", 1, 2990), ("NCGTACGT", 1, 2990)]
+
+
 @pytest.mark.parametrize("library, least", [(["ACGTTGCAACGT", "GGATCCTTAA", "TTTTACGGCAT"], 8), (["ACGTACGT"], 8), (["ACGTACGT", "AAAACCCC"], 5), (["ACGTA", "ACGT", "GT"], 4)])
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_sites_by_pieces(spark, monkeypatch, library, least, broadcast):
