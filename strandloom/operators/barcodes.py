@@ -60,8 +60,12 @@ def matches(called: DataFrame, codes: DataFrame, most: int = 1) -> DataFrame:
 def identify(reads: DataFrame, samples: DataFrame, most: int = 1) -> DataFrame:
     """Adds found_sample, n_matches and status to reads (called_barcode): identified if one sample's barcode is within so many
     mismatches, ambiguous if several are (found_sample is null), else unidentified. samples: sample_id, i5, i7."""
-    codes = samples.select("sample_id", F.concat("i5", "i7").alias("code"))
-    each = matches(reads, codes, most).groupBy("called_barcode").agg(F.count("*").alias("n_matches"), F.min("sample_id").alias("_one"))
+    if most < 0:
+        raise ValueError("mismatches can't be fewer than none")
+    codes = samples.select("sample_id", F.concat("i5", "i7").alias("code")).filter("code is not null").distinct()
+    codes = codes.groupBy("code").agg(F.count("*").alias("n_matches"), F.min("sample_id").alias("_one"))
+    called = reads.filter("called_barcode is not null").select("called_barcode").distinct()
+    each = near(called, codes, most).groupBy("called_barcode").agg(F.sum("n_matches").alias("n_matches"), F.min("_one").alias("_one"))
     out = reads.join(each, "called_barcode", "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("bigint")))
     status = F.when(F.col("n_matches") == 1, "identified").when(F.col("n_matches") > 1, "ambiguous").otherwise("unidentified")
     return out.withColumns({"found_sample": F.when(F.col("n_matches") == 1, F.col("_one")), "status": status}).drop("_one").select(*reads.columns, "found_sample", "n_matches", "status")

@@ -49,15 +49,15 @@ def test_very_many_barcodes(spark):
     assert kinds == {"identified", "ambiguous", "unidentified"}
 
 
-def keyed_columns(df):
-    """What a row for each key of a code holds."""
+def keyed_columns(df, *kinds):
+    """What a row for each key of a code holds, and what rows of other named nodes do."""
 
     def nodes(p):
         yield p
         for i in range(p.children().size()):
             yield from nodes(p.children().apply(i))
 
-    return " ".join(n.output().mkString(" ") for n in nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Generate")
+    return " ".join(n.output().mkString(" ") for n in nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() in ("Generate", *kinds))
 
 
 def test_barcodes_meet_without_broadcast(spark, sf):
@@ -75,6 +75,15 @@ def test_barcode_that_many_samples_share(spark, most):
     assert sorted((r.called_barcode, r.mismatches, r["count"]) for r in got.groupBy("called_barcode", "mismatches").count().collect()) == [("ACGTACGA", 1, 2990), ("NCGTACGT", 1, 2990)]
 
 
+def test_samples_are_counted_before_they_meet_reads(spark):
+    """A row of pairs for each code, not for each sample, so that a task's memory doesn't grow with the samples."""
+    ours = spark.range(3000).select(F.col("id").alias("sample_id"), F.lit("ACGT").alias("i5"), F.when(F.col("id") < 2999, "ACGT").otherwise("TTTT").alias("i7"))
+    reads = spark.createDataFrame([(1, "ACGTACGA"), (2, "ACGTTTTT"), (3, "GGGGGGGG"), (4, None), (5, "ACGTTATT")], "read long, called_barcode string")
+    got = barcodes.identify(reads, ours)
+    assert "sample_id" not in keyed_columns(got, "Join")
+    assert sorted((r.read, r.found_sample, r.n_matches, r.status) for r in got.collect()) == [(1, None, 2999, "ambiguous"), (2, 2999, 1, "identified"), (3, None, 0, "unidentified"), (4, None, 0, "unidentified"), (5, 2999, 1, "identified")]
+
+
 @pytest.mark.parametrize("library, least", [(["ACGTTGCAACGT", "GGATCCTTAA", "TTTTACGGCAT"], 8), (["ACGTACGT"], 8), (["ACGTACGT", "AAAACCCC"], 5), (["ACGTA", "ACGT", "GT"], 4)])
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_sites_by_pieces(spark, monkeypatch, library, least, broadcast):
