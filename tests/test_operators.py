@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,19 @@ def test_bridge(spark, rate):
         assert (right == 1024).all() if not rate else 0.9 < right.mean() / 1024 < 1
 
 
+def test_counts_are_unpacked_in_blocks(spark):
+    """Whole batches of counts, 10,000 rows or 64 MB, as objects of Python took gigabytes in an executor's workers."""
+    batch = (pa.array(map(str, range(1000))), pa.array([[[i]] * 4 for i in range(1000)]))
+    cut = list(sequencing.blocks(iter([batch, tuple(x.slice(0, 0) for x in batch), batch])))
+    assert [len(k) for k, _ in cut] == [256, 256, 256, 232] * 2 == [len(c) for _, c in cut]
+    assert {b.address for _, c in cut for b in c.buffers() if b} == {b.address for b in batch[1].buffers() if b}
+    assert [k for few, _ in cut for k in few.to_pylist()] == batch[0].to_pylist() * 2
+    seqs = random_seqs(600, 30)
+    m = molecules(spark, seqs).coalesce(1)
+    got = {r.row_key: r.base_counts for r in sequencing.bridge(m, 0, 10, 0.01).collect()}
+    assert got == {r.row_key: r.base_counts for r in sequencing.bridge(m.repartition(5), 0, 10, 0.01).collect()} and len(got) == 600
+
+
 def test_sequencing_reads_what_is_there(spark):
     seqs = random_seqs(10, 150)
     c = sequencing.Chemistry(read_length=50, pre_i5="AA", post_i5="GG", pre_i7="TT", post_i7="AC", i5_length=4, i7_length=4)
